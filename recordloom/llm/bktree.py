@@ -82,12 +82,14 @@ def candidates(keys: DataFrame, similarity: float) -> DataFrame:
     """(a long, b long), a < b: classes that meet in a shard within the radius; repeats are possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(list(batches), schema=pa.schema([("key", pa.int64()), ("ck", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary())]))
+        if not (all_ := [b for b in batches if b.num_rows]):
+            return
+        whole = pa.Table.from_batches(all_)
         key = whole.column(0).to_numpy()
         # a shard of one class has no pairs
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
-        order = order[np.r_[same, False] | np.r_[False, same]] if len(key) else order
+        order = order[np.r_[same, False] | np.r_[False, same]]
         if not len(order):
             return
         whole = whole.take(pa.array(order))

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from recordloom.llm.words import scope_key, set_key, word_set
 from recordloom.session import stored
 
-BUCKETS = 1 << 16  # of the word frequencies: 512 KB to each executor, whatever the corpus
-HOT_SHARE = 2048  # a bucket with more than 1/HOT_SHARE of all classes is split further
+BUCKETS = 1 << 20  # of the word frequencies: 4 MB to each executor, whatever the corpus
+HOT_LEAST, HOT_SHARE = 1000, 8192  # a bucket with more classes than that, and than 1/HOT_SHARE of all, is split further
 SKETCH_WORDS = 4  # 64-bit words of a sketch
 
 
@@ -68,10 +68,9 @@ def with_word_sets(df: DataFrame, keep: list[str], least: int, by_scope: bool) -
 
 def frequencies(classes: DataFrame) -> np.ndarray:
     """How many classes use each bucket of words; BUCKETS numbers, counted over all classes."""
-    out = np.zeros(BUCKETS, np.int64)
-    counted = classes.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).count()
-    for r in counted.toLocalIterator():
-        out[r["b"]] = r["count"]
+    out = np.zeros(BUCKETS, np.int32)
+    counted = classes.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).agg(F.least(F.count("*"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    out[counted["b"].to_numpy()] = counted["n"].to_numpy()
     return out
 
 
@@ -125,7 +124,7 @@ def key_rows(flat: np.ndarray, offsets: np.ndarray, freq: np.ndarray, hot: int,
 def prefix_keys(classes: DataFrame, freq: np.ndarray, total: int, similarity: float, extra: list[str] = []) -> DataFrame:  # noqa: B006
     """(key long, ck long, n int, sketch binary, *extra long) of classes(ck, words, *extra)."""
     shared = classes.sparkSession.sparkContext.broadcast(freq)  # BUCKETS numbers
-    hot = max(64, total // HOT_SHARE)
+    hot = max(HOT_LEAST, total // HOT_SHARE)
     schema = "key long, ck long, n int, sketch binary" + "".join(f", {c} long" for c in extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
