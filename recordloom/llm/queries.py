@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import bktree
+from recordloom.llm import bktree, history
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.found(_read(spark, sf_dir, "memories"), _read(spark, sf_dir, "export_envelopes"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bktree.near_pairs(_read(spark, sf_dir, "memories"))
 
