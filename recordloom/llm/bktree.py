@@ -1,7 +1,7 @@
 """Near-duplicate records with small edits: BK-trees over odd sketches, sharded by prefix keys.
 
 The Hamming distance between the sets of words of two texts is the integer metric; an odd sketch
-(setjoin) bounds it from below in 256 bits. The classes filed under one key form a shard; each shard
+(setjoin) bounds it from below in 128 bits. The classes filed under one key form a shard; each shard
 becomes one BK-tree, whose children are keyed by the distance to the parent, and a search follows
 only edges within the radius. All trees of a partition are built and searched level by level in
 NumPy. Shards are shuffled to where they are searched, not broadcast: their total size grows with
@@ -82,41 +82,35 @@ def candidates(keys: DataFrame, similarity: float) -> DataFrame:
     """(a long, b long), a < b: classes that meet in a shard within the radius; repeats are possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (all_ := [b for b in batches if b.num_rows]):
+        if (whole := S.read_keys(batches)) is None:
             return
-        whole = pa.Table.from_batches(all_)
-        key = whole.column(0).to_numpy()
+        key = whole["key"].to_numpy()
         # a shard of one class has no pairs
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        order = order[np.r_[same, False] | np.r_[False, same]]
-        if not len(order):
-            return
-        whole = whole.take(pa.array(order))
-        key, ck, size = whole.column(0).to_numpy(), whole.column(1).to_numpy(), whole.column(2).to_numpy().astype(np.int64)
-        forest = Forest(key, S.read_sketches(whole.column(3)))
+        same = key[1:] == key[:-1]
+        whole = whole.filter(pa.array(np.r_[same, False] | np.r_[False, same]))
+        key, ck, size = whole["key"].to_numpy(), whole["ck"].to_numpy(), whole["n"].to_numpy().astype(np.int64)
+        forest = Forest(key, S.read_sketches(whole))
         for a, b in forest.search(np.arange(len(key)), size, similarity):
-            if len(a):
-                x = np.unique(np.stack([np.minimum(ck[a], ck[b]), np.maximum(ck[a], ck[b])], axis=1), axis=0)
-                x = x[x[:, 0] < x[:, 1]]
+            x = np.unique(np.stack([np.minimum(ck[a], ck[b]), np.maximum(ck[a], ck[b])], axis=1), axis=0)
+            x = x[x[:, 0] < x[:, 1]]
+            if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
-    return keys.select("key", "ck", "n", "sketch").repartition("key").mapInArrow(run, "a long, b long")
+    return keys.repartition("key").mapInArrow(run, "a long, b long")
 
 
-def near_classes(df: DataFrame, similarity: float = 0.7, least: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, classes, links) of df(seq, scope, text): rows(seq, ck); classes(ck, words, seq); links(a, b), pairs of classes of one scope."""
+def near_classes(df: DataFrame, similarity: float = 0.7, least: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(rows, links) of df(seq, scope, text): rows(seq, ck), ck the class of the scope and set of words; links(a, b), the pairs of similar classes."""
     rows = stored(S.with_word_sets(df, ["seq"], least, by_scope=True), "p4-rows")
-    classes = S.class_table(rows, "p4-classes", seq=F.min("seq"))
-    total = classes.count()
-    keys = S.prefix_keys(classes, S.frequencies(classes), total, similarity)
-    links = stored(S.verified(candidates(keys, similarity), classes, similarity), "p4-links")
-    return rows.select("seq", "ck"), classes, links
+    classes = S.once_per_task(rows)
+    keys = S.prefix_keys(classes, S.frequencies(classes), rows.count(), similarity)
+    pairs = stored(candidates(keys, similarity).distinct(), "p4-pairs")
+    return rows.select("seq", "ck"), stored(S.verified(pairs, rows, similarity), "p4-links")
 
 
 def near_pairs(df: DataFrame, similarity: float = 0.7, least: int = 8) -> DataFrame:
     """(seq_a, seq_b), seq_a < seq_b: all pairs of rows of one scope whose texts are similar enough, repeats included."""
-    rows, _, links = near_classes(df, similarity, least)
+    rows, links = near_classes(df, similarity, least)
     a, b = rows.select(F.col("seq").alias("x"), F.col("ck").alias("a")), rows.select(F.col("seq").alias("y"), F.col("ck").alias("b"))
     apart = links.join(a, "a").join(b, "b").select("x", "y")
     alike = a.join(b, F.col("a") == F.col("b")).where("x < y").select("x", "y")
@@ -125,9 +119,9 @@ def near_pairs(df: DataFrame, similarity: float = 0.7, least: int = 8) -> DataFr
 
 def near_groups(df: DataFrame, similarity: float = 0.7, least: int = 8) -> DataFrame:
     """(seq, group_seq, links): one row per text long enough; group_seq is the smallest seq it is connected to, links the number of its similar texts (classes)."""
-    rows, classes, links = near_classes(df, similarity, least)
+    rows, links = near_classes(df, similarity, least)
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    named = classes.select("ck", F.col("seq").alias("group_seq"))
+    named = rows.groupBy("ck").agg(F.min("seq").alias("group_seq"))
     labels = components(both, named)
     degree = both.groupBy(F.col("a").alias("ck")).agg(F.count("*").alias("links"))
     return rows.join(labels, "ck").join(degree, "ck", "left").select("seq", "group_seq", F.coalesce("links", F.lit(0)).alias("links"))

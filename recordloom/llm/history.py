@@ -1,8 +1,8 @@
 """Deduplicating new batches against all history: multi-key sorted-neighbourhood runs.
 
 A HistoryIndex is a folder of sorted runs. A run files each accepted class of texts under its prefix
-keys (setjoin), sorted by key and number of words, in RANGES key ranges; a second table has the word
-sets. Ingesting batches sorts their keys likewise, merges them into the ranges they touch, and compares
+keys (setjoin), sorted by key and number of words; a second table has the word sets. Ingesting batches
+takes from the runs only records of keys that occur in the batches, merges both in order, and compares
 each new record only with the window around it: the records of the same key whose number of words
 allows the similarity. Under prefix keys these windows hold every text that is similar enough, so
 nothing is lost. Accepted texts become a new run; compact() merges the runs.
@@ -31,26 +31,19 @@ from pyspark.sql import functions as F
 from recordloom.llm import setjoin as S
 from recordloom.session import shared_dir, stored
 
-RANGES = 64
+BLOOM_WORDS = 1 << 17  # 64-bit words of the filter of fresh keys: 1 MB to each executor, whatever the batch
 WINDOW_BLOCK = 2_000_000  # comparisons looked at together
 
 
-def key_range() -> F.Column:
-    return F.shiftrightunsigned("key", 64 - int(math.log2(RANGES))).cast("int")
-
-
 def window_pairs(keys: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, old): a is a fresh class; b another class in the window around it, fresh if not old."""
+    """(a, b, old) of keys(KEY_SCHEMA, fresh): a is a fresh class; b another class in the window around it, fresh if not old."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (all_ := [b for b in batches if b.num_rows]):
+        if (whole := S.read_keys(batches)) is None:
             return
-        whole = pa.Table.from_batches(all_)
-        key, size = whole.column(0).to_numpy(), whole.column(2).to_numpy().astype(np.int64)
-        order = np.lexsort((size, key))
-        whole, key, size = whole.take(pa.array(order)), key[order], size[order]
-        ck, fresh = whole.column(1).to_numpy(), whole.column(4).combine_chunks().to_numpy(zero_copy_only=False)
-        sketch = S.read_sketches(whole.column(3))
+        key, size, ck = whole["key"].to_numpy(), whole["n"].to_numpy().astype(np.int64), whole["ck"].to_numpy()
+        fresh = whole["fresh"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+        sketch = S.read_sketches(whole)
         group = np.cumsum(np.r_[False, key[1:] != key[:-1]])
         at = group * (1 << 24) + size
         new = np.flatnonzero(fresh)
@@ -69,13 +62,28 @@ def window_pairs(keys: DataFrame, similarity: float) -> DataFrame:
             keep = (ck[b] != ck[a]) & (~fresh[b] | (b < a))
             a, b = a[keep], b[keep]
             hit = S.hamming(sketch[a], sketch[b]) <= S.radius(size[a], size[b], similarity)
-            a, b = a[hit], b[hit]
-            if len(a):
-                x = np.unique(np.stack([ck[a], ck[b], (~fresh[b]).astype(np.int64)], axis=1), axis=0)
+            x = np.unique(np.stack([ck[a[hit]], ck[b[hit]], ~fresh[b[hit]]], axis=1), axis=0)
+            if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2] == 1)], names=["a", "b", "old"])
             done = until
 
-    return keys.select("key", "ck", "n", "sketch", "fresh").repartition("key").mapInArrow(run, "a long, b long, old boolean")
+    return keys.repartition("key").mapInArrow(run, "a long, b long, old boolean")
+
+
+def with_keys_of(history: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The rows of history whose key may be one of fresh: a filter of fixed size, before anything is shuffled. It lets too much pass, never too little."""
+    word, bit = F.shiftrightunsigned("key", 6).bitwiseAND(BLOOM_WORDS - 1), F.expr("shiftleft(1L, cast(key & 63 as int))")
+    bits = fresh.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most BLOOM_WORDS rows
+    table = np.zeros(BLOOM_WORDS, np.int64)
+    table[bits["w"].to_numpy()] = bits["b"].to_numpy()
+    shared = history.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column(0).to_numpy()
+            yield b.filter(pa.array((shared.value[(key >> 6) & (BLOOM_WORDS - 1)] >> (key & 63)) & 1 == 1))
+
+    return history.mapInArrow(run, S.KEY_SCHEMA)
 
 
 class HistoryIndex:
@@ -94,62 +102,59 @@ class HistoryIndex:
         return self.spark.read.schema("ck long, words array<long>").parquet(*[f"{self.path}/sets/{r}" for r in self.runs])
 
     def _keys(self) -> DataFrame:
-        return self.spark.read.schema("key long, ck long, n int, sketch binary, range int").parquet(*[f"{self.path}/keys/{r}" for r in self.runs])
+        return self.spark.read.schema(S.KEY_SCHEMA).parquet(*[f"{self.path}/keys/{r}" for r in self.runs])
 
-    def _append(self, classes: DataFrame) -> None:
-        """classes(ck, words) as a new sorted run."""
-        run = f"run-{len(self.runs):05d}-{uuid.uuid4().hex[:8]}"
-        classes.select("ck", "words").write.parquet(f"{self.path}/sets/{run}")
-        classes = self.spark.read.schema("ck long, words array<long>").parquet(f"{self.path}/sets/{run}")
+    def _order(self, rows: DataFrame) -> None:
+        """The order of words, fixed by the first texts: any fixed order is exact."""
         if self.freq is None:
-            # the order of words stays as it is at the first run: any fixed order is exact
-            self.total, self.freq = classes.count(), S.frequencies(classes)
-        keys = S.prefix_keys(classes, self.freq, self.total, self.similarity).withColumn("range", key_range())
-        keys.repartition("range").sortWithinPartitions("range", "key", "n").write.partitionBy("range").parquet(f"{self.path}/keys/{run}")
+            self.total, self.freq = rows.count(), S.frequencies(S.once_per_task(rows))
+
+    def _append(self, rows: DataFrame) -> None:
+        """rows(ck, words) as a new run: files sorted by key and size, each over the key ranges of a task."""
+        run = f"run-{len(self.runs):05d}-{uuid.uuid4().hex[:8]}"
+        S.once_per_task(rows).write.parquet(f"{self.path}/sets/{run}")
+        rows = self.spark.read.schema("ck long, words array<long>").parquet(f"{self.path}/sets/{run}")
+        self._order(rows)
+        S.prefix_keys(rows, self.freq, self.total, self.similarity).sortWithinPartitions("key", "n").write.parquet(f"{self.path}/keys/{run}")
         self.runs.append(run)
 
     def start(self, texts: DataFrame) -> HistoryIndex:
         """The first run, of all texts already accepted."""
-        rows = S.with_word_sets(texts, [], self.partner, by_scope=False)
-        self._append(rows.groupBy("ck").agg(F.first("words").alias("words")))
+        self._append(S.with_word_sets(texts, [], self.partner, by_scope=False))
         return self
 
     def compact(self) -> None:
-        """All runs merged into one."""
+        """All runs merged into one of disjoint key ranges, each class once."""
         sets, keys = self._sets(), self._keys()
         run = f"run-compact-{uuid.uuid4().hex[:8]}"
-        sets.dropDuplicates(["ck"]).write.parquet(f"{self.path}/sets/{run}")
-        keys.dropDuplicates(["key", "ck"]).repartition("range").sortWithinPartitions("range", "key", "n").write.partitionBy("range").parquet(f"{self.path}/keys/{run}")
+        sets.groupBy("ck").agg(F.first("words").alias("words")).write.parquet(f"{self.path}/sets/{run}")
+        keys.dropDuplicates(["key", "ck"]).repartitionByRange("key").sortWithinPartitions("key", "n").write.parquet(f"{self.path}/keys/{run}")
         self.runs = [run]
 
     def ingest(self, items: DataFrame) -> DataFrame:
         """(batch_no, pos, is_case) of items(batch_no, pos, text) that are long enough to be cases; the accepted ones join the history."""
         place = F.shiftleft("batch_no", 32) + F.col("pos")
         rows = stored(S.with_word_sets(items, ["batch_no", "pos"], self.partner, by_scope=False).withColumn("ord", place), "p3-items")
-        classes = stored(rows.groupBy("ck").agg(F.first("words").alias("words"), F.min("ord").alias("ord")), "p3-classes")
-        if self.freq is None:
-            self.total, self.freq = classes.count(), S.frequencies(classes)
-        fresh = S.prefix_keys(classes, self.freq, self.total, self.similarity).withColumn("range", key_range())
-        sets = classes.select("ck", "words")
-        both = fresh.withColumn("fresh", F.lit(True))
+        self._order(rows)
+        classes = rows.groupBy("ck").agg(F.min("ord").alias("ord"), F.first(F.size("words")).alias("size"))
+        fresh = S.prefix_keys(S.once_per_task(rows), self.freq, self.total, self.similarity)
+        sets = rows.select("ck", "words")
         if self.runs:
-            touched = [r[0] for r in fresh.select("range").distinct().collect()]  # at most RANGES numbers
-            both = both.unionByName(self._keys().where(F.col("range").isin(touched)).withColumn("fresh", F.lit(False)))
+            old = with_keys_of(self._keys(), fresh).withColumn("fresh", F.lit(False))
             sets = sets.unionByName(self._sets())
-            known = classes.select("ck").join(self._sets().select("ck"), "ck", "left_semi").distinct()
-        else:
-            known = classes.select("ck").limit(0)
-        pairs = stored(window_pairs(both, self.similarity), "p3-pairs").distinct()
-        needed = pairs.select(F.col("a").alias("ck")).unionByName(pairs.select(F.col("b").alias("ck"))).distinct()
-        links = stored(S.verified(pairs.select("a", "b"), sets.join(needed, "ck", "left_semi").dropDuplicates(["ck"]), self.similarity).join(pairs, ["a", "b"]).distinct(), "p3-links")
-
-        short = F.size("words") < self.least
-        old = links.where("old").select(F.col("a").alias("ck")).unionByName(known).distinct().withColumn("hit", F.lit(True))
-        begun = classes.join(old, "ck", "left").select("ck", "ord", F.when(short, 1).when(F.col("hit"), 2).otherwise(0).alias("state"))
-        verdict = self._resolve(stored(begun, "p3-begun"), links.where("not old").select("a", "b"))
-        out = rows.where(~short).join(verdict.select("ck", F.col("ord").alias("first"), "state"), "ck")
-        out = stored(out.select("batch_no", "pos", ((F.col("state") == 2) | (F.col("ord") != F.col("first"))).alias("is_case")), "p3-verdicts")
-        self._append(classes.join(verdict.where("state = 1").select("ck"), "ck"))
+            known = self._sets().select("ck").join(rows.select("ck").distinct(), "ck", "left_semi").distinct()
+        both = fresh.withColumn("fresh", F.lit(True))
+        pairs = stored(window_pairs(both.unionByName(old) if self.runs else both, self.similarity).distinct(), "p3-pairs")
+        links = stored(S.verified(pairs, sets, self.similarity), "p3-links")
+        hits = links.where("old").select(F.col("a").alias("ck"))
+
+        hits = (hits.unionByName(known) if self.runs else hits).distinct().withColumn("hit", F.lit(True))
+        state = F.when(F.col("size") < self.least, 1).when(F.col("hit"), 2).otherwise(0)
+        verdict = self._resolve(stored(classes.join(hits, "ck", "left").select("ck", "ord", state.alias("state")), "p3-begun"), links.where("not old").select("a", "b"))
+        verdict = stored(verdict, "p3-states")
+        items = rows.where(F.size("words") >= self.least).join(verdict.select("ck", F.col("ord").alias("first"), "state"), "ck")
+        out = stored(items.select("batch_no", "pos", ((F.col("state") == 2) | (F.col("ord") != F.col("first"))).alias("is_case")), "p3-verdicts")
+        self._append(rows.join(verdict.where("state = 1").select("ck"), "ck", "left_semi").select("ck", "words"))
         return out
 
     @staticmethod

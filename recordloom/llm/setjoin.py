@@ -2,20 +2,20 @@
 frequency, exact prefix keys, odd sketches and the exact check of candidates.
 
 Two sets A and B of a Jaccard similarity of at least t share a word among the |A| - ceil(t|A|) + 1
-rarest words of A and the like of B, under any common order of words. Every class is therefore filed
-under those words ("prefix keys"). A word that very many texts use is filed as pairs with each other
-word of the prefix longer by one: sets that meet under it share a second word there, so this splits
-hot keys and loses nothing. Word frequencies are counted over all texts in a fixed number of buckets;
-the order only decides how evenly the keys spread, never which pairs are found.
-
-An odd sketch keeps the parity of the words that fall into each of 256 bits. The Hamming distance of
+rarest words of A and the like of B, under any common order of words, and two among one word more if
+they share two at all. Every class is therefore filed under the former ("prefix keys"), except that
+words used by very many texts are replaced by the pairs of such words in the longer prefix: sets that
+have no rarer word in common meet there, so this splits hot keys and loses nothing. Word frequencies
+are counted over all texts in a fixed number of buckets; the order only decides how evenly the keys
+spread, never which pairs are found.
+
+An odd sketch keeps the parity of the words that fall into each of 128 bits. The Hamming distance of
 two sketches never exceeds the size of the symmetric difference of the sets, and
 J >= t  <=>  |A xor B| <= (1-t)/(1+t) (|A|+|B|), so a search with that radius misses nothing.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.words import scope_key, set_key, word_set
-from recordloom.session import stored
 
 BUCKETS = 1 << 20  # of the word frequencies: 4 MB to each executor, whatever the corpus
 HOT_LEAST, HOT_SHARE = 1000, 8192  # a bucket with more classes than that, and than 1/HOT_SHARE of all, is split further
-SKETCH_WORDS = 4  # 64-bit words of a sketch
+SKETCH_WORDS = 2  # 64-bit words of a sketch
+KEY_SCHEMA = "key long, ck long, n int, s0 long, s1 long"
 
 
 def floor_sim(similarity: float) -> float:
@@ -74,13 +74,30 @@ def frequencies(classes: DataFrame) -> np.ndarray:
     return out
 
 
+def once_per_task(rows: DataFrame, *cols: str) -> DataFrame:
+    """rows(ck, words, *cols (longs)), of each class only the first row of a task: what is left of hot classes is small, without a shuffle. A class may still come from several tasks."""
+    schema = "ck long, words array<long>" + "".join(f", {c} long" for c in cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            take = []
+            for i, k in enumerate(b.column(0).to_pylist()):
+                if k not in seen:
+                    seen.add(k)
+                    take.append(i)
+            yield b.take(pa.array(take, pa.int64()))
+
+    return rows.select("ck", "words", *cols).mapInArrow(run, schema)
+
+
 def sketches(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """uint64[n, SKETCH_WORDS]: odd sketches of the lists."""
+    """int64[n, SKETCH_WORDS]: odd sketches of the lists."""
     n = len(offsets) - 1
     row = np.repeat(np.arange(n), np.diff(offsets))
-    bit = (flat.view(np.uint64) >> np.uint64(20)).astype(np.int64) & (64 * SKETCH_WORDS - 1)
+    bit = (flat.view(np.uint64) >> np.uint64(24)).astype(np.int64) & (64 * SKETCH_WORDS - 1)
     odd = np.bincount(row * (64 * SKETCH_WORDS) + bit, minlength=n * 64 * SKETCH_WORDS).reshape(n, 8 * SKETCH_WORDS, 8) & 1
-    return np.packbits(odd.astype(np.uint8), axis=2, bitorder="little").reshape(n, 8 * SKETCH_WORDS).view(np.uint64)
+    return np.packbits(odd.astype(np.uint8), axis=2, bitorder="little").reshape(n, 8 * SKETCH_WORDS).view(np.int64)
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -100,52 +117,38 @@ def key_rows(flat: np.ndarray, offsets: np.ndarray, freq: np.ndarray, hot: int,
     order = np.lexsort((flat, f, row))
     flat, f = flat[order], f[order]
     place = np.arange(len(flat)) - np.repeat(offsets[:-1], sizes)
-    # the two sizes of a set that decide: words in its prefix, and one more
-    prefix = sizes - np.ceil(sizes * floor_sim(similarity)).astype(np.int64) + 1
-    limit = np.repeat(prefix, sizes)
-    plain = (place < limit) & (f <= hot)
-    rows, keys = [row[plain]], [flat[plain]]
-    frequent = np.flatnonzero((place < limit) & (f > hot))
-    if len(frequent):
-        # each frequent word with every other word of the prefix longer by one
-        start, span = offsets[:-1][row[frequent]], np.minimum(prefix + 1, sizes)[row[frequent]]
-        left = np.repeat(frequent, span)
-        right = np.repeat(start, span) + np.arange(len(left)) - np.repeat(np.cumsum(span) - span, span)
-        other = left != right
-        left, right = left[other], right[other]
-        rows.append(row[left])
-        keys.append(mixed(flat[left], flat[right]))
-        single = np.flatnonzero(sizes[row[frequent]] == 1)
-        rows.append(row[frequent][single])
-        keys.append(flat[frequent][single])
-    return np.concatenate(rows), np.concatenate(keys)
-
-
-def prefix_keys(classes: DataFrame, freq: np.ndarray, total: int, similarity: float, extra: list[str] = []) -> DataFrame:  # noqa: B006
-    """(key long, ck long, n int, sketch binary, *extra long) of classes(ck, words, *extra)."""
+    overlap = np.ceil(sizes * floor_sim(similarity)).astype(np.int64)
+    prefix = sizes - overlap + 1
+    frequent = f > hot
+    # sets that may share a single word keep the frequent ones as keys, too
+    plain = (place < np.repeat(prefix, sizes)) & (~frequent | np.repeat(overlap < 2, sizes))
+    # frequent words end the order, so the pairs of frequent words in the prefix longer by one are a tail of it
+    longer = np.minimum(prefix + 1, sizes)
+    left = np.flatnonzero(frequent & (place < np.repeat(longer, sizes)))
+    count = (offsets[:-1] + longer)[row[left]] - left - 1
+    right = np.repeat(left + 1, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    left = np.repeat(left, count)
+    return np.concatenate([row[plain], row[left]]), np.concatenate([flat[plain], mixed(flat[left], flat[right])])
+
+
+def prefix_keys(classes: DataFrame, freq: np.ndarray, total: int, similarity: float) -> DataFrame:
+    """(key long, ck long, n int, s0 long, s1 long) of classes(ck, words)."""
     shared = classes.sparkSession.sparkContext.broadcast(freq)  # BUCKETS numbers
     hot = max(HOT_LEAST, total // HOT_SHARE)
-    schema = "key long, ck long, n int, sketch binary" + "".join(f", {c} long" for c in extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
             lists = b.column(1)
             offsets = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-            offsets -= offsets[0]
+            flat = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]] if len(lists) else np.empty(0)
             if not len(flat):
                 continue
+            offsets -= offsets[0]
             rows, keys = key_rows(flat, offsets, shared.value, hot, similarity)
-            sk = sketches(flat, offsets)
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), b.column(0).take(take), pa.array(np.diff(offsets)[rows].astype(np.int32)), pa.array([x.tobytes() for x in sk], pa.binary()).take(take), *(b.column(2 + i).take(take) for i in range(len(extra)))],
-                names=["key", "ck", "n", "sketch", *extra],
-            )
+            sk = sketches(flat, offsets)[rows]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(pa.array(rows)), pa.array(np.diff(offsets)[rows].astype(np.int32)), pa.array(sk[:, 0]), pa.array(sk[:, 1])], names=["key", "ck", "n", "s0", "s1"])
 
-    return classes.select("ck", "words", *extra).mapInArrow(run, schema)
+    return classes.select("ck", "words").mapInArrow(run, KEY_SCHEMA)
 
 
 def radius(na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
@@ -158,29 +161,23 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
-def read_sketches(column: pa.Array) -> np.ndarray:
-    """uint64[n, SKETCH_WORDS] of a column of binaries of equal length."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    raw = column.buffers()[2]
-    width = 8 * SKETCH_WORDS
-    if raw is None or not len(column):
-        return np.zeros((0, SKETCH_WORDS), np.uint64)
-    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
-    return np.frombuffer(raw, np.uint64, count=len(column) * SKETCH_WORDS, offset=int(first)).reshape(len(column), width // 8)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float, left: str = "a", right: str = "b") -> DataFrame:
-    """The distinct pairs(left, right) of classes whose word sets(ck, words) are similar enough, exactly."""
-    a, b = sets.select(F.col("ck").alias(left), F.col("words").alias("_wa")), sets.select(F.col("ck").alias(right), F.col("words").alias("_wb"))
-    shared = F.size(F.array_intersect("_wa", "_wb"))
-    both = pairs.distinct().join(a, left).join(b, right).withColumn("_s", shared)
-    return both.where(F.col("_s") >= F.lit(floor_sim(similarity)) * (F.size("_wa") + F.size("_wb") - F.col("_s"))).select(left, right)
+def read_keys(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    """All key rows of a task, sorted by key and size, or None."""
+    some = [b for b in batches if b.num_rows]
+    if not some:
+        return None
+    whole = pa.Table.from_batches(some)
+    return whole.take(pa.array(np.lexsort((whole["n"].to_numpy(), whole["key"].to_numpy()))))
 
 
-def least_prefix(size: int, similarity: float) -> int:
-    return size - math.ceil(size * floor_sim(similarity)) + 1
+def read_sketches(whole: pa.Table) -> np.ndarray:
+    return np.stack([whole["s0"].to_numpy(), whole["s1"].to_numpy()], axis=1).view(np.uint64)
 
 
-def class_table(rows: DataFrame, name: str, **aggs) -> DataFrame:
-    """One stored row per class: ck, words and the aggregates given."""
-    return stored(rows.groupBy("ck").agg(F.first("words").alias("words"), *(c.alias(k) for k, c in aggs.items())), name)
+def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Those of the distinct pairs(a, b, ...) of classes whose word sets are similar enough, exactly; rows(ck, words) may repeat classes."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("ck")).distinct()
+    sets = rows.select("ck", "words").join(needed, "ck", "left_semi").groupBy("ck").agg(F.first("words").alias("words"))
+    a, b = sets.toDF("a", "_wa"), sets.toDF("b", "_wb")
+    both = pairs.join(a, "a").join(b, "b").withColumn("_s", F.size(F.array_intersect("_wa", "_wb")))
+    return both.where(F.col("_s") >= F.lit(floor_sim(similarity)) * (F.size("_wa") + F.size("_wb") - F.col("_s"))).select(pairs.columns)
