@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import bktree, history
+from recordloom.llm import bktree, history, survivors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,14 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bktree.near_groups(_read(spark, sf_dir, "memories"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.found(_read(spark, sf_dir, "memories"))
+
+
+def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.survivors(_read(spark, sf_dir, "memories"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
