@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import bktree, history, survivors
+from recordloom.llm import bktree, history, pii, survivors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(_read(spark, sf_dir, "memories"), _read(spark, sf_dir, "gate_log"), _read(spark, sf_dir, "given_names"))
+
+
+def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _read(spark, sf_dir, "given_names")
+    both = [pii.detect(_read(spark, sf_dir, t), key, names).selectExpr(f"'{t}' as table_name", "row_key", "masked") for t, key in (("memories", "seq"), ("gate_log", "line_no"))]
+    return both[0].unionByName(both[1])
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.found(_read(spark, sf_dir, "memories"), _read(spark, sf_dir, "export_envelopes"))
 
