@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import bktree, history, pii, survivors
+from recordloom.llm import bktree, history, pii, split, survivors, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +43,18 @@ def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.survivors(_read(spark, sf_dir, "memories"))
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encoded(_read(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.found(_read(spark, sf_dir, "documents"))
+
+
+def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.split(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
