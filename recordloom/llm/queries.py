@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import bktree, history, pii, split, survivors, tokens
+from recordloom.llm import bktree, history, neighbours, pii, split, survivors, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.found(_read(spark, sf_dir, "memories"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(_read(spark, sf_dir, "memories"), _read(spark, sf_dir, "gate_log"), _read(spark, sf_dir, "given_names"))
 
