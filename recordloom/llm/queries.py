@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import bktree, history, neighbours, pii, split, survivors, tokens
+from recordloom.llm import bktree, history, leaks, neighbours, pii, split, survivors, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,6 +51,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(_read(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.found(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.found(_read(spark, sf_dir, "documents"))
 
