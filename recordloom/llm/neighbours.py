@@ -3,7 +3,7 @@
 Vectors are scaled to length 1; equal ones form a class, and each class is compared once. Spherical
 k-means on a bounded sample gives cells; every vector is filed under its PROBES nearest cells, so two
 similar vectors share a cell almost surely. In a cell, a vector less the common centre is rotated at
-random and kept as one bit per dimension; the Hamming distance of two codes and a correction scalar
+random, padded to twice its length, and kept as one bit per dimension; the Hamming distance of two codes and a correction scalar
 each (the inner product of code and vector) estimate their inner product, with an error bound of Z
 standard deviations. Pairs whose upper bound reaches the wanted cosine are reranked with their full
 vectors, which travel as 24-bit fixed point numbers (error of a cosine about 1e-7).
@@ -100,42 +100,46 @@ def nearest_cells(v: np.ndarray, cells: np.ndarray, probes: int) -> np.ndarray:
     return out
 
 
+def turn(dim: int, seed: int = 11) -> np.ndarray:
+    """float64[dim, BITS(dim)]: the first rows of a random rotation of the padded space."""
+    bits = code_bits(dim)
+    return np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))[0][:dim]
+
+
+def code_bits(dim: int) -> int:
+    """Vectors are padded with zeros to twice their length, up to whole words: more bits, a tighter bound."""
+    return 64 * -(-2 * dim // 64)
+
+
 class Codes:
     """One-bit codes of vectors about a centre, and what their estimates need."""
 
     def __init__(self, v: np.ndarray, centre: np.ndarray, rotation: np.ndarray):
-        dim = v.shape[1]
         rest = v - centre
+        self.size = rotation.shape[1]
         self.norm = np.maximum(np.linalg.norm(rest, axis=1), 1e-9)
         turned = (rest / self.norm[:, None]) @ rotation
-        words = -(-dim // 64)
-        bits = np.zeros((len(v), words * 64), bool)
-        bits[:, :dim] = turned > 0
-        self.bits = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        self.bits = np.packbits(turned > 0, axis=1, bitorder="little").view(np.uint64)
         #: the inner product of the code (of length 1) and the vector
-        self.fit = np.abs(turned).sum(axis=1) / math.sqrt(dim)
+        self.fit = np.abs(turned).sum(axis=1) / math.sqrt(self.size)
         self.along = v @ centre
         self.square = float(centre @ centre)
-        self.dim = dim
-
-    def upper(self, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
-        """An upper bound of the inner products of pairs of vectors whose codes differ in so many bits."""
-        a, b = self.fit[i], self.fit[j]
-        about = (1 - 2 * apart / self.dim) / (a * b)
-        bounded = np.clip(about, -1, 1)
-        spread = (a * a * (1 - b * b) + b * b * (1 - a * a)) * (1 - bounded * bounded) + (1 - a * a) * (1 - b * b)
-        error = Z * np.sqrt(spread / (self.dim - 1)) / (a * b) if self.dim > 1 else 2.0
-        return self.norm[i] * self.norm[j] * (about + error) + self.along[i] + self.along[j] - self.square
-
-    def reach(self, i: np.ndarray, least: float) -> np.ndarray:
-        """Per vector, the most differing bits at which a pair with any other can still reach `least`."""
-        most = np.zeros(len(i), np.int64)
-        ends = [np.full(len(i), f(self.fit)) for f in (np.argmin, np.argmax)] + [np.full(len(i), f(self.norm)) for f in (np.argmin, np.argmax)] + [np.full(len(i), f(self.along)) for f in (np.argmin, np.argmax)]
-        for h in range(self.dim + 1):
-            for j in ends:
-                # the extremes of each scalar over the others, with a margin for their mixtures
-                most[self.upper(i, j, np.full(len(i), h)) >= least - 0.05] = h
-        return most
+
+    def most_apart(self, a: np.ndarray, b: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """The most differing bits of codes of fits a and b, if the vectors about the centre have a cosine of at least `wanted`, but for an error of Z standard deviations."""
+        s = np.clip(wanted, -1, 1)
+        spread = (a * a * (1 - b * b) + b * b * (1 - a * a)) * (1 - s * s) + (1 - a * a) * (1 - b * b)
+        return self.size / 2 * (1 - a * b * s + Z * np.sqrt(spread / (self.size - 1)))
+
+    def wanted(self, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+        """The cosine about the centre at which two vectors have an inner product of `least`."""
+        return (least - self.along[i] - self.along[j] + self.square) / (self.norm[i] * self.norm[j])
+
+    def reach(self, i: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
+        """Per vector, the most differing bits at which a pair with any of the others can still reach `least`."""
+        over = least - self.along[i] - self.along[others].max() + self.square
+        low = np.minimum(over / (self.norm[i] * self.norm[others].max()), over / (self.norm[i] * self.norm[others].min()))
+        return self.most_apart(self.fit[i], np.full(len(i), self.fit[others].min()), low)
 
 
 def similar_pairs(v: np.ndarray, codes: Codes, left: np.ndarray, right: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -143,21 +147,21 @@ def similar_pairs(v: np.ndarray, codes: Codes, left: np.ndarray, right: np.ndarr
     if not len(left) or not len(right):
         return
     own = left is right
-    reach = codes.reach(left, least)
+    reach = np.minimum(codes.reach(left, right, least), codes.size).astype(np.int64)
     single = v.astype(np.float32)
-    step = max(1, PAIRS_AT_ONCE // len(right))
-    facing = codes.bits[right]
+    step = max(1, PAIRS_AT_ONCE // (4 * len(right)))
     for at in range(0, len(left), step):
-        i = left[at : at + step]
+        i, facing = left[at : at + step], codes.bits[right[at:] if own else right]
         apart = np.bitwise_count(codes.bits[i][:, None, 0] ^ facing[None, :, 0])
         for w in range(1, facing.shape[1]):
-            apart = apart.astype(np.uint16) + np.bitwise_count(codes.bits[i][:, None, w] ^ facing[None, :, w])
-        p, q = np.nonzero(apart <= reach[at : at + step, None])
+            more = np.bitwise_count(codes.bits[i][:, None, w] ^ facing[None, :, w])
+            apart = apart + more if codes.size < 256 else apart.astype(np.uint16) + more
+        p, q = np.nonzero(apart <= reach[at : at + step, None].astype(apart.dtype))
         if own:
-            p, q = (x[q > p + at] for x in (p, q))
-        h = apart[p, q].astype(np.float64)
-        p, q = i[p], right[q]
-        near = codes.upper(p, q, h) >= least
+            p, q = (x[q > p] for x in (p, q))
+        h = apart[p, q]
+        p, q = i[p], right[q + at if own else q]
+        near = h <= codes.most_apart(codes.fit[p], codes.fit[q], codes.wanted(p, q, least))
         p, q = p[near], q[near]
         for k in range(0, len(p), PAIRS_AT_ONCE):
             pp, qq = p[k : k + PAIRS_AT_ONCE], q[k : k + PAIRS_AT_ONCE]
@@ -199,8 +203,7 @@ def class_neighbours(vectors: DataFrame, k: int, least: float, dim: int) -> tupl
     # the keys are hashes, so those below a bound are a random sample of the classes; at most MOST_SAMPLE vectors
     got = source.mapInArrow(sampled, "v binary").limit(MOST_SAMPLE).toArrow()["v"].to_pylist()
     sample = np.frombuffer(b"".join(got), np.float32).reshape(-1, dim) if got else np.eye(1, dim, dtype=np.float32)
-    rotation = np.linalg.qr(np.random.default_rng(11).standard_normal((dim, dim)))[0]
-    shared = vectors.sparkSession.sparkContext.broadcast((fit_cells(sample, cells), sample.mean(axis=0).astype(np.float64), rotation))
+    shared = vectors.sparkSession.sparkContext.broadcast((fit_cells(sample, cells), sample.mean(axis=0).astype(np.float64), turn(dim)))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, seen = shared.value[0], set()
@@ -246,7 +249,7 @@ def class_neighbours(vectors: DataFrame, k: int, least: float, dim: int) -> tupl
             yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(mine), pa.array(ck[row]), pa.array(seq[row]), data], names=["task", "block", "ck", "seq", "v"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, centre, turn = shared.value
+        _, centre, rotation = shared.value
         some = [b for b in batches if b.num_rows]
         if not some:
             return
@@ -262,7 +265,7 @@ def class_neighbours(vectors: DataFrame, k: int, least: float, dim: int) -> tupl
                 continue
             at = keep[lo:hi]
             v = unpack(raw[at], dim)
-            codes = Codes(v, centre, turn)
+            codes = Codes(v, centre, rotation)
             name = int(task[at[0]])
             one, two = (name >> 20) & 0xFFFFF, name & 0xFFFFF
             every = np.arange(len(at))
