@@ -6,5 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from recordloom.operators import timestamps
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": lambda s, d: timestamps.found(_read(s, d, "raw_entries")),
+    "p5_normalised": lambda s, d: timestamps.normalised(_read(s, d, "raw_entries")),
+}
 SQL: dict[str, str] = {}
