@@ -35,9 +35,9 @@ LEVELS = (SECTION, PARAGRAPH, SENTENCE)
 class Counted:
     """A text with the number of tokens up to each end of a word."""
 
-    def __init__(self, bpe: ByteBPE, text: str):
+    def __init__(self, bpe: ByteBPE, text: str, counts: tuple[np.ndarray, np.ndarray] | None = None):
         self.bpe, self.text = bpe, text
-        self.ends, self.upto = bpe.word_counts(text)
+        self.ends, self.upto = counts or next(iter(bpe.word_counts([text])))
         self.total = int(self.upto[-1])
 
     def snap(self, at: int) -> int:
@@ -112,16 +112,15 @@ def split(df: DataFrame, key: str = "doc_id", limit: int = LIMIT, overlap: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE.load(path)
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             rows: list[tuple] = []
-            for k, text in zip(keys, texts, strict=True):
-                # a token has at least one byte
-                if not text or len(text) * 4 <= limit or len(text) <= limit and len(text.encode("utf-8", "replace")) <= limit:
-                    continue
-                counted = Counted(bpe, text)
-                if counted.total <= limit:
-                    continue
-                rows += [(k, i, s, e, f, n, *([text[s:e]] if with_text else [])) for i, (s, e, f, n) in enumerate(counted.pieces(limit, overlap))]
+            # a token has at least one byte
+            large = [(k, t) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t and (len(t) > limit or len(t) * 4 > limit and len(t.encode("utf-8", "replace")) > limit)]
+            for at in range(0, len(large), 128):
+                part = large[at : at + 128]
+                for (k, text), counts in zip(part, bpe.word_counts([t for _, t in part]), strict=True):
+                    if counts[1][-1] > limit:
+                        pieces = Counted(bpe, text, counts).pieces(limit, overlap)
+                        rows += [(k, i, s, e, f, n, *([text[s:e]] if with_text else [])) for i, (s, e, f, n) in enumerate(pieces)]
             names = [key, "piece_no", "start", "end", "fresh", "n_tokens", *(["piece"] if with_text else [])]
             types = [pa.int64(), *[pa.int32()] * 5, pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in zip(range(len(names)), types, strict=False)], names=names)

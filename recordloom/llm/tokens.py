@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,11 @@ class ByteBPE:
         for i in range(len(merges) - 1, -1, -1):
             self.rank[made[i]], self.left[made[i]], self.right[made[i]] = i, left[i], right[i]
         self.merge = {(int(a), int(b)): (i, int(c)) for i, (a, b, c) in enumerate(zip(left, right, made, strict=True))}
-        self.longest = max(map(len, self.vocab))
+        #: the length of the longest token that begins with these three bytes
+        self.longest: dict[bytes, int] = {}
+        for t in self.vocab:
+            if len(t) > 2:
+                self.longest[t[:3]] = max(len(t), self.longest.get(t[:3], 0))
         self.byte = [self.vocab[bytes([b])] for b in range(256)]
         self.split = regex.compile(PATTERN).findall
         self.index: dict[str, int] = {}
@@ -88,12 +93,12 @@ class ByteBPE:
         self.flat, self.start, self.length = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def greedy(self, word: bytes) -> list[int]:
-        out, at, n, vocab = [], 0, len(word), self.vocab
+        out, at, n, vocab, longest = [], 0, len(word), self.vocab, self.longest
         whole = vocab.get(word)
         if whole is not None:
             return [whole]
         while at < n:
-            end = min(n, at + self.longest)
+            end = min(n, at + longest.get(word[at : at + 3], 2))
             while (t := vocab.get(word[at:end])) is None:
                 end -= 1
             out.append(t)
@@ -183,10 +188,9 @@ class ByteBPE:
         if len(self.index) > WORDS_KEPT:
             self._reset()
         index = self.index
-        new = {w for p in parts for w in p if w not in index}
-        if new:
+        if new := set(chain.from_iterable(parts)).difference(index):
             self._learn(list(new))
-        return np.fromiter((index[w] for p in parts for w in p), np.int64, sum(map(len, parts))), np.fromiter(map(len, parts), np.int64, len(parts))
+        return np.fromiter(map(index.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts))), np.fromiter(map(len, parts), np.int64, len(parts))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of the texts in them)."""
@@ -203,11 +207,13 @@ class ByteBPE:
         at = np.concatenate([[0], np.cumsum(words)])
         return ends[at[1:]] - ends[at[:-1]]
 
-    def word_counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(where each word of the text ends, in characters; how many ids there are up to there), each with a leading 0."""
-        parts = self.split(SURROGATE.sub("\ufffd", text))
-        entry, _ = self._entries([parts])
-        return np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))]), np.concatenate([[0], np.cumsum(self.length[entry])])
+    def word_counts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each text: where its words end, in characters; how many ids there are up to there; each with a leading 0."""
+        parts = [self.split(SURROGATE.sub("\ufffd", t)) for t in texts]
+        entry, words = self._entries(parts)
+        ends = np.cumsum(words)
+        for p, lo, hi in zip(parts, ends - words, ends, strict=True):
+            yield np.concatenate([[0], np.cumsum(np.fromiter(map(len, p), np.int64, len(p)))]), np.concatenate([[0], np.cumsum(self.length[entry[lo:hi]])])
 
 
 def encoded(df: DataFrame, key: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
