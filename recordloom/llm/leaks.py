@@ -116,6 +116,27 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
+def window_hash(w: np.ndarray) -> np.ndarray:
+    """uint64 that tell windows apart."""
+    out = np.zeros(len(w), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(w.shape[1]):
+            out = (out ^ (w[:, j].astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+            out ^= out >> np.uint64(31)
+    return out
+
+
+def answer_bits(w: np.ndarray, idf: np.ndarray, digits: np.ndarray) -> np.ndarray:
+    """uint64: a bit for each answer of a window, that is each number and each word of the rarer half."""
+    out = np.zeros(len(w), np.uint64)
+    counts = digits | (idf >= np.quantile(idf, 0.5))
+    for j in range(w.shape[1]):
+        x = w[:, j].astype(np.int64)
+        bit = np.uint64(1) << ((np.maximum(x, 0) * 0x9E3779B1 >> 7) % 64).astype(np.uint64)
+        out |= np.where((x >= 0) & counts[np.maximum(x, 0)], bit, np.uint64(0))
+    return out
+
+
 def lists_of(b: pa.RecordBatch, column: int) -> list[np.ndarray]:
     c = b.column(column)
     offsets, flat = c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)
@@ -219,7 +240,10 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, item, place, f, base, goal, digits = shared.value
-        rare = f >= np.quantile(f, 0.5)
+        targets = np.concatenate([windows_of(t) for t in texts])
+        theirs, their_answers = window_hash(targets), answer_bits(targets, f, digits)
+        their_count = np.bitwise_count(their_answers)
+        rare = digits | (f >= np.quantile(f, 0.5))
         for b in batches:
             docs, lists = b.column(0).to_pylist(), lists_of(b, 1)
             found: dict[tuple[int, int], tuple[float, int, int]] = {}
@@ -232,15 +256,20 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
             back = back.ravel()
             order = np.argsort(back, kind="stable")
             first = np.searchsorted(back[order], np.arange(len(w) + 1))
+            mine, my_answers = window_hash(w), answer_bits(w, f, digits)
             for i in range(0, len(w), 256):
                 part = w[i : i + 256].astype(np.int64)
                 cos = unit(project(part, weights(part, f), base)) @ goal.T
-                for p, g in zip(*np.nonzero(cos >= NEAR), strict=True):
-                    c = float(cos[p, g])
-                    for o in order[first[i + p] : first[i + p + 1]].tolist():
-                        key = (int(row[o]), int(item[g]))
+                p, g = np.nonzero(cos >= NEAR)
+                # before words are compared: the same window, or enough of its answers
+                shared_bits = np.bitwise_count(my_answers[i + p] & their_answers[g])
+                likely = (mine[i + p] == theirs[g]) | ((shared_bits > 0) & (shared_bits >= np.ceil(ANSWER_SHARE * their_count[g])))
+                for p_, g_ in zip(p[likely].tolist(), g[likely].tolist(), strict=True):
+                    c = float(cos[p_, g_])
+                    for o in order[first[i + p_] : first[i + p_ + 1]].tolist():
+                        key = (int(row[o]), int(item[g_]))
                         if key not in found or c > found[key][0]:
-                            found[key] = (c, int(at[o]), int(place[g]))
+                            found[key] = (c, int(at[o]), int(place[g_]))
             rows = []
             for (r, k), (c, p, g) in found.items():
                 text, target = lists[r], texts[k]
@@ -248,7 +277,7 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
                 window = target[g : g + RUN]
                 near = text[max(0, p - RUN // 2) : p + RUN + RUN // 2]
                 lcs = common_subsequence(near, window)
-                answers = window[digits[window] | rare[window]]
+                answers = window[rare[window]]
                 share = float(np.isin(answers, near).mean()) if len(answers) else 0.0
                 if together >= RUN or lcs >= math.ceil(LCS_SHARE * RUN) and share >= ANSWER_SHARE:
                     rows.append((docs[r], ids[k], together, lcs, round(c, 4), round(share, 4), together >= RUN))
