@@ -4,8 +4,6 @@ Null in, null out. JavaScript's notion of white space is used for trimming, ASCI
 patterns; both are spelled out because the JVM's differ.
 """
 
-from __future__ import annotations
-
 import unicodedata
 
 import pandas as pd
@@ -45,10 +43,13 @@ def fold_text(text: str | None) -> str | None:
     return unicodedata.normalize("NFC", plain).lower()
 
 
-@F.pandas_udf("string")
-def fold(text: pd.Series) -> pd.Series:
+def fold(c: Column) -> Column:
     """fold_text of a column; Spark has no normaliser of its own."""
-    return text.map(fold_text, na_action="ignore")
+
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(fold_text, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(c)
 
 
 def words(c: Column) -> Column:

@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
+_FOLDERS: dict[str, str] = {}
 
 
 def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "recordloom") -> SparkSession:
@@ -30,18 +30,28 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "reco
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one on a local master only."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        if not spark.sparkContext.master.startswith("local["):
+    """This application's folder among those all executors share: in spark.checkpoint.dir, or a temporary one on a local master only. It is removed when the driver's Python ends."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app not in _FOLDERS:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named:
+            _FOLDERS[app] = f"{named.rstrip('/')}/recordloom-{app}"
+        elif sc.master.startswith("local["):
+            _FOLDERS[app] = f"file://{tempfile.mkdtemp(prefix='recordloom-')}"
+            sc.setCheckpointDir(_FOLDERS[app])
+        else:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        _LOCAL[app] = tempfile.mkdtemp(prefix="recordloom-")
-        spark.sparkContext.setCheckpointDir(f"file://{_LOCAL[app]}")
-        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
-    return f"file://{_LOCAL[app]}"
+        atexit.register(_remove, sc._jvm, sc._jsc.hadoopConfiguration(), _FOLDERS[app])
+    return _FOLDERS[app]
+
+
+def _remove(jvm, configuration, folder: str) -> None:  # noqa: ANN001
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(configuration).delete(path, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone at exit
+        shutil.rmtree(folder.removeprefix("file:"), ignore_errors=True)
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:

@@ -45,7 +45,7 @@ def text_entries(df: DataFrame, key: str = "doc_id", column: str = "text") -> Da
     lines = df.select(F.col(key), F.split(F.col(column), "\r?\n").alias("ls"))
     ticks = F.transform("ls", lambda x: x.rlike(FENCE).cast("int"))
     # running parities of the fences, one pass over the lines
-    parity = F.aggregate(ticks, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array((F.coalesce(F.element_at(a, -1), F.lit(0)) + x) % 2)))
+    parity = F.aggregate(ticks, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array((F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x) % 2)))
     few = lines.where(F.exists("ls", lambda x: x.rlike(FENCE))).withColumn("inside", parity)
     none = lines.where(~F.exists("ls", lambda x: x.rlike(FENCE))).withColumn("inside", F.lit(None).cast("array<int>"))
     each = few.unionByName(none).select(key, "inside", F.posexplode("ls").alias("line", "raw")).where("inside is null or get(inside, line) = 0")
