@@ -263,7 +263,12 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
                 p, g = np.nonzero(cos >= NEAR)
                 # before words are compared: the same window, or enough of its answers
                 shared_bits = np.bitwise_count(my_answers[i + p] & their_answers[g])
-                likely = (mine[i + p] == theirs[g]) | ((shared_bits > 0) & (shared_bits >= np.ceil(ANSWER_SHARE * their_count[g])))
+                same = mine[i + p] == theirs[g]
+                likely = np.flatnonzero(same | ((shared_bits > 0) & (shared_bits >= np.ceil(ANSWER_SHARE * their_count[g]))))
+                p, g, same = p[likely], g[likely], same[likely]
+                meets = (targets[g][:, :, None] == part[p][:, None, :]).any(axis=2)
+                key_words = rare[targets[g]]
+                likely = same | (((meets & key_words).sum(axis=1) >= ANSWER_SHARE * key_words.sum(axis=1)) & (meets.sum(axis=1) >= LCS_SHARE * RUN - RUN // 4) & key_words.any(axis=1))
                 for p_, g_ in zip(p[likely].tolist(), g[likely].tolist(), strict=True):
                     c = float(cos[p_, g_])
                     for o in order[first[i + p_] : first[i + p_ + 1]].tolist():
@@ -273,9 +278,11 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
             rows = []
             for (r, k), (c, p, g) in found.items():
                 text, target = lists[r], texts[k]
-                together = longest_run(text, target)
                 window = target[g : g + RUN]
                 near = text[max(0, p - RUN // 2) : p + RUN + RUN // 2]
+                if len(set(window.tolist()) & set(near.tolist())) < LCS_SHARE * len(set(window.tolist())) - 1e-9:
+                    continue
+                together = longest_run(text, target)
                 lcs = common_subsequence(near, window)
                 answers = window[rare[window]]
                 share = float(np.isin(answers, near).mean()) if len(answers) else 0.0
