@@ -269,8 +269,8 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
                 meets = (targets[g][:, :, None] == part[p][:, None, :]).any(axis=2)
                 key_words = rare[targets[g]]
                 likely = same | (((meets & key_words).sum(axis=1) >= ANSWER_SHARE * key_words.sum(axis=1)) & (meets.sum(axis=1) >= LCS_SHARE * RUN - RUN // 4) & key_words.any(axis=1))
-                for p_, g_ in zip(p[likely].tolist(), g[likely].tolist(), strict=True):
-                    c = float(cos[p_, g_])
+                for p_, g_, s_ in zip(p[likely].tolist(), g[likely].tolist(), same[likely].tolist(), strict=True):
+                    c = float(cos[p_, g_]) + s_  # the same window comes before any other
                     for o in order[first[i + p_] : first[i + p_ + 1]].tolist():
                         key = (int(row[o]), int(item[g_]))
                         if key not in found or c > found[key][0]:
@@ -287,7 +287,7 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
                 answers = window[rare[window]]
                 share = float(np.isin(answers, near).mean()) if len(answers) else 0.0
                 if together >= RUN or lcs >= math.ceil(LCS_SHARE * RUN) and share >= ANSWER_SHARE:
-                    rows.append((docs[r], ids[k], together, lcs, round(c, 4), round(share, 4), together >= RUN))
+                    rows.append((docs[r], ids[k], together, lcs, round(min(c, 1.0), 4), round(share, 4), together >= RUN))
             if rows:
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=["doc_id", "item_id", "run", "lcs", "cosine", "answers", "verbatim"])
