@@ -123,7 +123,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
             rows = [e for c in b.column(1).to_pylist() for e in zip_entries(c)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["name", "content"])
 
-    plain = wanted.where(~is_zip).select(F.col("path").alias("name"), F.when(F.col("length") <= MOST_BYTES, F.decode("content", "UTF-8")).otherwise("").alias("content"))
+    plain = wanted.where(~is_zip).select(F.col("path").alias("name"), F.when(F.col("length") <= MOST_BYTES, F.make_valid_utf8(F.col("content").cast("string"))).otherwise("").alias("content"))
     return plain.unionByName(wanted.where(is_zip).select("path", "content").mapInArrow(unpack, "name string, content string"))
 
 

@@ -52,10 +52,10 @@ def unwrapped(docs: DataFrame) -> DataFrame:
     listed = docs.withColumn("kind", kind)
     one = F.from_json("doc", ENVELOPE_JSON)
     is_list = F.col("kind").startswith("ARRAY")
-    records = F.when(is_list, bare).otherwise(one["memories"])
+    broken = F.raise_error(F.concat(F.lit("invalid JSON in "), F.col("path")))
+    records = F.when(F.col("kind").isNull(), broken).when(is_list, bare).otherwise(one["memories"])
     version = F.when(is_list, 1).otherwise(F.coalesce(one["schemaVersion"], F.lit(SCHEMA_VERSION)))
-    bad = F.when(F.col("kind").isNull(), F.raise_error(F.concat(F.lit("invalid JSON in "), F.col("path"))).cast("int")).otherwise(version)
-    return listed.select("path", bad.alias("version"), F.posexplode(records).alias("pos", "m"))
+    return listed.select("path", version.alias("version"), F.posexplode(records).alias("pos", "m"))
 
 
 def migrated(raw: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa: B008
