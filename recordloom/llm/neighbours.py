@@ -64,7 +64,7 @@ def class_keys(v: np.ndarray) -> np.ndarray:
 def pack(v: np.ndarray) -> np.ndarray:
     """uint8[n, 3 * dim]: 24-bit fixed point."""
     whole = np.rint(v * FIXED).astype("<i4")
-    return np.ascontiguousarray(whole.view(np.uint8).reshape(len(v), -1, 4)[:, :, :3]).reshape(len(v), -1)
+    return np.ascontiguousarray(whole.view(np.uint8).reshape(*v.shape, 4)[:, :, :3]).reshape(len(v), 3 * v.shape[1])
 
 
 def unpack(raw: np.ndarray, dim: int) -> np.ndarray:
