@@ -5,13 +5,14 @@ patterns; both are spelled out because the JVM's differ.
 """
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters that count as white space, as a character class.
-SPACES = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
+# The characters that count as white space.
+SPACES = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 # Scripts written without spaces; each of their characters is a word.
 SINGLES = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}"
 # Words without meaning of their own in a search.
@@ -27,8 +28,13 @@ def bounded(pattern: str) -> str:
     return f"(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim(c: Column | str) -> Column:
-    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, f"^[{SPACES}]+|[{SPACES}]+\\z", "")
+    return F.trim(F.col(c) if isinstance(c, str) else c, F.lit(SPACES))
 
 
 def blank_to_null(c: Column | str) -> Column:

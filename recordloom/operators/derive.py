@@ -5,12 +5,12 @@ Null texts give a null subject and type, and count as suitable (they have no let
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recordloom.functions.text import bounded
+from recordloom.functions.text import bounded, let
 
 MOST_CHARS = 300
 # Patterns that name a subject, over the text in lower case.
@@ -31,19 +31,21 @@ LATIN_SHARE = 0.8
 
 
 def java(pattern: str) -> str:
-    """A pattern whose word boundaries are ASCII on the JVM, too."""
-    return pattern.replace("\\b", "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+    """A pattern whose word boundaries are ASCII on the JVM, too: before a word or group, else after one."""
+    pattern = re.sub(r"\\b(?=[a-z(])", lambda _: "(?<![A-Za-z0-9_])", pattern)
+    return pattern.replace("\\b", "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
 
 
 def subject_of(text: Column) -> Column:
     """A subject if exactly one pattern names it, else the phrase of the first "my ... is"; null for long texts and unclear ones."""
-    low = F.lower(text)
-    hits = [low.rlike(java(p)) for p in SUBJECTS.values()]
-    count = reduce(lambda a, b: a + b, (h.cast("int") for h in hits))
-    one = F.coalesce(*(F.when(h, F.lit(s)) for s, h in zip(SUBJECTS, hits, strict=True)))
-    phrase = F.filter(F.split(F.regexp_extract(low, java(OWNED), 1), "\\s+"), lambda w: (w != "") & ~w.isin(*NOT_KEY))
-    key = F.when((F.size(phrase) >= 2) | ((F.size(phrase) == 1) & (F.length(F.element_at(phrase, 1)) >= 3)), F.array_join(phrase, "-"))
-    return F.when(F.length(low) > MOST_CHARS, None).when(count == 1, one).when(count == 0, key)
+
+    def named(low: Column) -> Column:
+        hits = F.filter(F.array(*(F.when(low.rlike(java(p)), F.lit(s)) for s, p in SUBJECTS.items())), lambda h: h.isNotNull())
+        phrase = F.filter(F.split(F.regexp_extract(low, java(OWNED), 1), "\\s+"), lambda w: (w != "") & ~w.isin(*NOT_KEY))
+        key = let(phrase, lambda p: F.when((F.size(p) >= 2) | ((F.size(p) == 1) & (F.length(F.get(p, F.lit(0))) >= 3)), F.array_join(p, "-")))
+        return let(hits, lambda h: F.when(F.size(h) == 1, F.get(h, F.lit(0))).when(F.size(h) == 0, key))
+
+    return F.when(F.length(text) <= MOST_CHARS, let(F.lower(text), named))
 
 
 def type_of(text: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recordloom.functions.text import bounded, trim, words
+from recordloom.functions.text import bounded, let, trim, words
 
 LEAST, MOST = 4, 32_000
 # Word lists of the rules.
@@ -49,40 +49,41 @@ def entropy(token: Column) -> Column:
     return F.aggregate(chars, F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c)))
 
 
-def has_secret(text: Column) -> Column:
+def has_secret(text: Column, low: Column) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(f"[A-Za-z0-9_+/=-]{{{TOKEN_LEAST},}}"), F.lit(0))
     mixed = lambda t: t.rlike("[a-z]") & t.rlike("[A-Z]") & t.rlike("[0-9]") & (entropy(t) >= ENTROPY_FLOOR)
-    near = F.lower(text).rlike(bounded(SECRET_WORDS))
-    return text.rlike(SECRET_SHAPES) | F.lower(text).rlike(f"(?<![a-z0-9_]){ASSIGNED}") | (near & F.exists(tokens, mixed))
+    # the words of a credential come first: most texts have none, and then neither a value nor a context
+    worded = low.rlike(SECRET_WORDS) & (low.rlike(f"(?<![a-z0-9_]){ASSIGNED}") | (low.rlike(bounded(SECRET_WORDS)) & F.exists(tokens, mixed)))
+    return text.rlike(SECRET_SHAPES) | worded
 
 
-def no_statement(text: Column) -> Column:
-    tokens = words(F.lower(text))
+def no_statement(tokens: Column) -> Column:
     return (F.size(tokens) < 2) | F.forall(tokens, lambda t: t.isin(*FILLER, *PLACEHOLDERS))
 
 
-def is_question(text: Column) -> Column:
-    low = F.lower(text)
+def is_question(text: Column, low: Column) -> Column:
     opens = low.rlike(f"^(?:{ASKING}|{HELPING})(?![A-Za-z0-9_])")
     single = ~F.substring(text, F.lit(1), F.length(text) - 1).rlike(SENTENCE_ENDS)
     return text.rlike(f"{QUESTION_MARKS}\\z") & (opens | single)
 
 
-def is_passing(text: Column) -> Column:
-    low = F.lower(text)
-    return low.rlike(bounded(PASSING)) | low.rlike(PASSING_FA) | low.rlike(bounded(WEATHER)) | low.rlike(f"{DEGREES}(?![A-Za-z0-9_])")
+def is_passing(low: Column) -> Column:
+    return low.rlike(bounded(f"{PASSING}|{WEATHER}")) | low.rlike(PASSING_FA) | low.rlike(f"{DEGREES}(?![A-Za-z0-9_])")
 
 
 def verdict(text: Column | str = "text", type_: Column | str = "type") -> Column:
     """struct(ok boolean, rule string, redact boolean, n int): rule is null if the text may be stored; n is its trimmed length."""
     text, type_ = (F.col(c) if isinstance(c, str) else c for c in (text, type_))
-    t = trim(F.coalesce(text, F.lit("")))
-    n = F.length(t)
-    rule = (
-        F.when(n < LEAST, "too_short").when(n > MOST, "too_long").when(has_secret(t), "credential").when(F.lower(t).isin(*PLEASANTRIES), "pleasantry")
-        .when(no_statement(t), "no_statement").when(is_question(t), "question").when(is_passing(t) & type_.isNull(), "passing")
-    )
-    return F.struct(rule.isNull().alias("ok"), rule.alias("rule"), F.coalesce(rule.isin(*REDACTED), F.lit(False)).alias("redact"), n.alias("n"))
+
+    def judged(t: Column, low: Column) -> Column:
+        n = F.length(t)
+        rule = (
+            F.when(n < LEAST, "too_short").when(n > MOST, "too_long").when(has_secret(t, low), "credential").when(low.isin(*PLEASANTRIES), "pleasantry")
+            .when(no_statement(words(low)), "no_statement").when(is_question(t, low), "question").when(type_.isNull() & is_passing(low), "passing")
+        )
+        return let(rule, lambda r: F.struct(r.isNull().alias("ok"), r.alias("rule"), F.coalesce(r.isin(*REDACTED), F.lit(False)).alias("redact"), n.alias("n")))
+
+    return let(trim(F.coalesce(text, F.lit(""))), lambda t: let(F.lower(t), lambda low: judged(t, low)))
 
 
 def logged_text(text: Column, redact: Column) -> Column:

@@ -53,7 +53,7 @@ def ms(c: str) -> Column:
 
 # ---- pieces of SQL ----------------------------------------------------------------------------
 
-WS = "\t\n\x0b\x0c\r   " + "".join(map(chr, range(0x2000, 0x200B))) + "    　﻿"
+WS = X.SPACES
 NOW = f"TIMESTAMPTZ '{AS_OF}'"
 
 
