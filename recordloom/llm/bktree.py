@@ -103,7 +103,8 @@ def near_classes(df: DataFrame, similarity: float = 0.7, least: int = 8) -> tupl
     """(rows, links) of df(seq, scope, text): rows(seq, ck), ck the class of the scope and set of words; links(a, b), the pairs of similar classes."""
     rows = stored(S.with_word_sets(df, ["seq"], least, by_scope=True), "p4-rows")
     classes = S.once_per_task(rows)
-    keys = S.prefix_keys(classes, S.frequencies(classes), rows.count(), similarity)
+    freq = S.frequencies(classes)
+    keys = S.spread(S.prefix_keys(classes, freq, rows.count(), similarity), int(freq.max()))
     pairs = stored(candidates(keys, similarity).distinct(), "p4-pairs")
     return rows.select("seq", "ck"), stored(S.verified(pairs, rows, similarity), "p4-links")
 

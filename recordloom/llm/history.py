@@ -144,7 +144,8 @@ class HistoryIndex:
             sets = sets.unionByName(self._sets())
             known = self._sets().select("ck").join(rows.select("ck").distinct(), "ck", "left_semi").distinct()
         both = fresh.withColumn("fresh", F.lit(True))
-        pairs = stored(window_pairs(both.unionByName(old) if self.runs else both, self.similarity).distinct(), "p3-pairs")
+        both = S.spread(both.unionByName(old) if self.runs else both, int(self.freq.max()) if len(self.runs) < 2 else S.SHARD_MOST + 1)
+        pairs = stored(window_pairs(both, self.similarity).distinct(), "p3-pairs")
         links = stored(S.verified(pairs, sets, self.similarity), "p3-links")
         hits = links.where("old").select(F.col("a").alias("ck"))
 

@@ -142,6 +142,7 @@ _PART = r"(?:van|von|de|der|den|la|le|del|di|da|du|af|bin|al)\s"
 TITLED = re.compile(rf"(?<![\w.])(?:(?:{TITLES})\b\.?|(?-i:M\.))\s(?:{_U}\.\s)?(?:{_PART}){{0,2}}{_NAME}(?:\s{_NAME})?", re.I)
 CUES = r"met|reports\sto|partner|calls?\sthem|calls?\s(?:him|her)|contact(?:\sperson)?\sis|goes\sby|made\sout\sto|account\swith|name\sis|married\sto|wife|husband|boss\sis|manager\sis|signed\sby|written\sby|on\sbehalf\sof|attn|kind\sregards|regards|sincerely"
 CUED = re.compile(rf"\b(?:{CUES})[:,]?\s(?P<name>{_NAME},\s{_NAME}|{_NAME}\s(?:{_U}\.\s)?(?:{_PART}){{0,2}}{_NAME})", re.I)
+CUED_LOWER = re.compile(r"(?:reports to|partner:|call them|contact is|goes by|made out to|account with|met) (?P<name>(?P<given>[^\W\d_]{4,}) [^\W\d_]{4,})\b")
 AFTER_GIVEN = re.compile(rf"(?:-{_W})*\s(?:{_U}\.\s)?(?:{_PART}){{0,2}}({_W}(?:-{_W})*)")
 AFTER_LOWER = re.compile(r"(?:-[^\W\d_]+)*\s(?:[^\W\d_]\.\s)?([^\W\d_]{3,}(?:-[^\W\d_]+)*)")
 BEFORE_GIVEN = re.compile(rf"({_W}(?:-{_W})*),\s(?:{_W}-)?$")
@@ -180,6 +181,8 @@ class Detector:
         for g in given:
             if g and (g := g.strip().lower()):
                 words.setdefault(g, set()).add("given")
+        #: how listed given names end; a name in lower case that isn't listed must end like one, and follow a cue
+        self.endings = {g.strip().lower()[-3:] for g in given if g and len(g.strip()) > 4}
         self.hints = ahocorasick.Automaton()
         for w, kinds_ in words.items():
             self.hints.add_word(w, (len(w), "given" in kinds_, frozenset(kinds_ - {"given"})))
@@ -280,6 +283,9 @@ class Detector:
         for m in CUED.finditer(text) if "cue" in seen else ():
             if not NOT_FAMILY & {w.lower() for w in re.split(r"[\s,-]+", m.group("name"))}:
                 found.append(Span(m.start("name"), m.end("name"), "name", 0.7))
+        for m in CUED_LOWER.finditer(low) if "cue" in seen else ():
+            if text[m.start("name")].islower() and m.group("given")[-3:] in self.endings and not NOT_FAMILY & set(m.group("name").split()):
+                found.append(Span(m.start("name"), m.end("name"), "name", 0.55))
         for start, stop in given:
             if (start and (low[start - 1].isalnum() or low[start - 1] in "@_")) or (stop < len(low) and (low[stop].isalnum() or low[stop] in "@_")):
                 continue

@@ -27,6 +27,7 @@ from recordloom.llm.words import scope_key, set_key, word_set
 
 BUCKETS = 1 << 20  # of the word frequencies: 4 MB to each executor, whatever the corpus
 HOT_LEAST, HOT_SHARE = 1000, 8192  # a bucket with more classes than that, and than 1/HOT_SHARE of all, is split further
+SHARD_MOST = 100_000  # rows of a key that one task compares
 SKETCH_WORDS = 2  # 64-bit words of a sketch
 KEY_SCHEMA = "key long, ck long, n int, s0 long, s1 long"
 
@@ -151,6 +152,24 @@ def prefix_keys(classes: DataFrame, freq: np.ndarray, total: int, similarity: fl
     return classes.select("ck", "words").mapInArrow(run, KEY_SCHEMA)
 
 
+def spread(keys: DataFrame, largest: int) -> DataFrame:
+    """keys(KEY_SCHEMA, ...) in which no key has many more than SHARD_MOST rows, if any may have more than `largest` of them.
+
+    The rows of a larger key are dealt to blocks by class, and each pair of blocks becomes a key of its own, so that its tasks together still compare every pair."""
+    if largest <= SHARD_MOST:
+        return keys
+    bucket = F.col("key").bitwiseAND(BUCKETS - 1)
+    counted = keys.groupBy(bucket.alias("_b")).count().where(F.col("count") > SHARD_MOST).select("_b", F.ceil(F.col("count") / SHARD_MOST).alias("_n")).toArrow()
+    if not counted.num_rows:
+        return keys
+    # at most BUCKETS rows
+    large = keys.sparkSession.createDataFrame(counted.to_pandas(), "_b long, _n long")
+    dealt = keys.withColumn("_b", bucket).join(F.broadcast(large), "_b", "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    dealt = dealt.withColumn("_i", F.pmod("ck", "_n")).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    key = F.when(F.col("_n") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("_i", "_j"), F.greatest("_i", "_j")))
+    return dealt.withColumn("key", key).select(keys.columns)
+
+
 def radius(na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
     """The largest symmetric difference of sets of these sizes that are similar enough."""
     t = floor_sim(similarity)

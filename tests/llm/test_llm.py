@@ -99,6 +99,9 @@ def test_near_pairs_and_groups(spark, monkeypatch):
     for _ in range(40):
         for a, b in want:
             label[a] = label[b] = min(label[a], label[b])
+    # keys cut into blocks give the same
+    monkeypatch.setattr(S, "SHARD_MOST", 4)
+    assert {tuple(r) for r in bktree.near_pairs(df).collect()} == want
     groups = {r["seq"]: r["group_seq"] for r in bktree.near_groups(df).collect()}
     assert groups == label
 
@@ -146,6 +149,7 @@ def test_batches_against_history(spark, monkeypatch):
     items = [(i + 1, p, t) for i, b in enumerate(batches) for p, t in enumerate(b or [])]
     want = expected_cases(store, items)
     assert {tuple(r) for r in history.found(clashing(memory), envelopes).collect()} == want and want
+    monkeypatch.setattr(S, "SHARD_MOST", 4)  # keys cut into blocks
     # one batch after another, with the runs merged in between, gives the same
     index = history.HistoryIndex(spark).start(memory)
     got = set()
