@@ -101,8 +101,8 @@ class RecordStore:
         none = {"type": "string", "subject": "string", "scope": "string", "expires_at": "timestamp", "embedding": "array<double>", "client": "struct<name:string,version:string>", "seq": "long"}
         records = records.select(*records.columns, *(F.lit(None).cast(t).alias(c) for c, t in none.items() if c not in have))
         active = records.where(F.coalesce("status", F.lit("active")) == "active")
-        order = Window.orderBy("created_at", "seq", "id")  # an import file is one list, replayed in one order
-        offered = active.withColumn("n", F.row_number().over(order).cast("long")).select("n", "id", "text", "type", "subject", "scope", "source", "client", "created_at", "expires_at", "embedding")
+        # one order for the whole list: ids that rise along a range-partitioned sort
+        offered = active.orderBy("created_at", "seq", "id").withColumn("n", F.monotonically_increasing_id()).select("n", "id", "text", "type", "subject", "scope", "source", "client", "created_at", "expires_at", "embedding")
         outcome = self._integrate(offered, now, write=not dry_run)
         report = integrate.import_report(outcome).crossJoin(records.agg((F.count("*") - F.count_if(F.coalesce("status", F.lit("active")) == "active")).alias("skipped")))  # two single rows
         return outcome.select("n", "id", "action", "match_id"), report

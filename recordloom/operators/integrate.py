@@ -30,7 +30,7 @@ def first_of_text(df: DataFrame) -> DataFrame:
 
 def duplicates(candidates: DataFrame, store: DataFrame, as_of: F.Column) -> DataFrame:
     """The candidates whose text a live record of their scope has already."""
-    held = store.where(live(as_of)).select(scope_key().alias("scope_key"), text_key().alias("text_key"))
+    held = store.where(live(as_of)).select(scope_key().alias("scope_key"), text_key().alias("text_key")).distinct()  # copies of a hot text are merged before the shuffle
     return candidates.withColumns({"scope_key": scope_key(), "text_key": text_key()}).join(held, ["scope_key", "text_key"], "left_semi")
 
 
@@ -45,18 +45,21 @@ def subject_matches(candidates: DataFrame, store: DataFrame) -> DataFrame:
     return keyed.join(held, ["scope_key", "subject_key"], "left").withColumn("action", action)
 
 
-def supersession(df: DataFrame) -> DataFrame:
+def supersession(df: DataFrame, chunk: int = 1 << 20) -> DataFrame:
     """df(seq, scope, subject, source, ...) in order: action and, for accepted rows, the seq that supersedes each.
 
-    Exact where no text repeats within a subject and no vector interferes."""
-    keyed = df.withColumns({"scope_key": scope_key(), "subject_key": subject_key(), "trust": F.coalesce(trust(), F.lit(1))}).where("subject_key is not null")
-    w = Window.partitionBy("scope_key", "subject_key").orderBy("seq")
-    before = F.max("trust").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    Exact where no text repeats within a subject and no vector interferes. A prefix scan: the rows of a key are cut into chunks of seq, windows run within a chunk, and what a chunk needs of the others comes from one row per key and chunk; a hot subject is spread over as many tasks as it has chunks."""
+    keyed = df.withColumns({"scope_key": scope_key(), "subject_key": subject_key(), "trust": F.coalesce(trust(), F.lit(1))}).where("subject_key is not null").withColumn("_c", F.floor(F.col("seq") / chunk))
+    key = ["scope_key", "subject_key", "_c"]
+    of_key, within = Window.partitionBy("scope_key", "subject_key").orderBy("_c"), Window.partitionBy(*key).orderBy("seq")
     # a conflict never raises the maximum, so the running maximum is that of the accepted rows
-    acted = keyed.withColumn("action", F.when(before.isNull(), "created").when(F.col("trust") < before, "conflict").otherwise("superseded"))
-    accepted = F.col("action") != "conflict"
-    following = F.min(F.when(accepted, F.col("seq"))).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return acted.withColumn("superseded_by_seq", F.when(accepted, following))
+    most = keyed.groupBy(*key).agg(F.max("trust").alias("_m")).withColumn("_earlier", F.max("_m").over(of_key.rowsBetween(Window.unboundedPreceding, -1))).drop("_m")
+    before = F.greatest(F.max("trust").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("_earlier"))
+    acted = keyed.join(most, key).withColumn("_b", before).withColumn("action", F.when(F.col("_b").isNull(), "created").when(F.col("trust") < F.col("_b"), "conflict").otherwise("superseded"))
+    accepted = F.when(F.col("action") != "conflict", F.col("seq"))
+    first = acted.groupBy(*key).agg(F.min(accepted).alias("_f")).withColumn("_later", F.min("_f").over(of_key.rowsBetween(1, Window.unboundedFollowing))).drop("_f")
+    following = F.coalesce(F.min(accepted).over(within.rowsBetween(1, Window.unboundedFollowing)), F.col("_later"))
+    return acted.join(first, key).withColumn("superseded_by_seq", F.when(accepted.isNotNull(), following)).drop("_c", "_b", "_earlier", "_later")
 
 
 def current_facts(df: DataFrame) -> DataFrame:

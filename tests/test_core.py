@@ -108,6 +108,8 @@ def test_set_forms_agree_with_the_fold(spark):
     chain = {r["seq"]: r["action"] for r in integrate.supersession(df).collect()}
     exact = {r["seq"]: r["action"] for r in integrate.fold(df).collect() if r["subject_key"]}
     assert chain == exact
+    whole = sorted((r["seq"], r["action"], r["superseded_by_seq"]) for r in integrate.supersession(df).collect())
+    assert whole == sorted((r["seq"], r["action"], r["superseded_by_seq"]) for r in integrate.supersession(df, chunk=7).collect())
     facts = {(r["scope_key"], r["subject_key"]): r["seq"] for r in integrate.current_facts(df).collect()}
     last = {}
     for r in sorted(integrate.fold(df).collect()):
