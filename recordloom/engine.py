@@ -103,11 +103,11 @@ class RecordStore:
         active = records.where(F.coalesce("status", F.lit("active")) == "active")
         # one order for the whole list: ids that rise along a range-partitioned sort
         offered = active.orderBy("created_at", "seq", "id").withColumn("n", F.monotonically_increasing_id()).select("n", "id", "text", "type", "subject", "scope", "source", "client", "created_at", "expires_at", "embedding")
-        outcome = self._integrate(offered, now, write=not dry_run)
+        outcome = self._integrate(offered, now, write=not dry_run, reason="imported")
         report = integrate.import_report(outcome).crossJoin(records.agg((F.count("*") - F.count_if(F.coalesce("status", F.lit("active")) == "active")).alias("skipped")))  # two single rows
         return outcome.select("n", "id", "action", "match_id"), report
 
-    def _integrate(self, offered: DataFrame, now: dt.datetime, write: bool = True) -> DataFrame:
+    def _integrate(self, offered: DataFrame, now: dt.datetime, write: bool = True, reason: str | None = None) -> DataFrame:
         """Candidates with action and match_id, after the store was changed by them."""
         held = stored(self.records(), "held")
         last = held.agg(F.coalesce(F.max("seq"), F.lit(0))).head()[0]
@@ -132,7 +132,7 @@ class RecordStore:
             self._replace(age.compacted(every.withColumns(retired), at(now), self.policy))
         if write:
             decision = F.when(F.col("action") == "created", "saved").otherwise(F.col("action"))
-            self._append_log(outcome.select(at(now).alias("ts"), decision.alias("decision"), "type", "subject", "source", "scope", F.col("client.name").alias("client"), "text"))
+            self._append_log(outcome.select(at(now).alias("ts"), decision.alias("decision"), F.lit(reason).cast("string").alias("reason"), "type", "subject", "source", "scope", F.col("client.name").alias("client"), "text"))
         return outcome
 
     def forget(self, ids: DataFrame, now: dt.datetime) -> DataFrame:

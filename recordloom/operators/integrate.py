@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.operators.normalize import RELATED_AT, Policy, live, scope_key, subject_key, text_key, trust
+from recordloom.session import stored
 
 
 def first_of_text(df: DataFrame) -> DataFrame:
@@ -76,6 +77,23 @@ def successors(df: DataFrame) -> DataFrame:
     return df.where("superseded_by is not null").select("seq", "superseded_by").join(first.withColumnRenamed("id", "superseded_by"), "superseded_by", "left").select("seq", "next_seq", "next_status")
 
 
+def chain_ends(df: DataFrame) -> DataFrame:
+    """Superseded rows with the last row of their chain of successors and its length, by pointer doubling: as many rounds as the length has binary digits.
+
+    A successor that isn't there ends a chain at the row before it; rows of a cycle have neither end nor length."""
+    step = stored(successors(df).where("next_seq is not null").select("seq", F.col("next_seq").alias("end"), F.lit(1).cast("long").alias("length")), "chain")
+    for _ in range(40):
+        further = step.select(F.col("seq").alias("end"), F.col("end").alias("_e"), F.col("length").alias("_l"))
+        after = stored(step.join(further, "end", "left").select("seq", F.coalesce("_e", "end").alias("end"), (F.col("length") + F.coalesce("_l", F.lit(0))).alias("length"), F.col("_e").isNotNull().alias("moved")), "chain")
+        step = after.drop("moved")
+        if not after.where("moved").limit(1).count():
+            return step
+        if after.agg(F.max("length")).head()[0] > df.count():
+            break  # longer than there are rows: a cycle
+    ends = step.join(step.select(F.col("seq").alias("end")), "end", "left_anti")
+    return step.join(ends.select("seq", F.lit(True).alias("_ok")), "seq", "left").select("seq", F.when(F.col("_ok"), F.col("end")).alias("end"), F.when(F.col("_ok"), F.col("length")).alias("length"))
+
+
 OUTCOME = "seq long, scope_key string, subject_key string, action string, match_seq long, retired int, related int"
 
 

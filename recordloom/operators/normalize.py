@@ -40,6 +40,17 @@ def days_setting(value: str | float | None, default: float | None) -> float | No
     return days if 0 <= days < float("inf") else default
 
 
+def truthy(value: object) -> bool:
+    """A flag as callers write it."""
+    return str(value).strip().lower() in ("1", "true", "yes", "on")
+
+
+def limit_setting(value: object, default: int = 5) -> int:
+    """A positive whole number, else the default."""
+    text = str(value).strip()
+    return int(text) if text.isascii() and text.isdigit() and int(text) > 0 else default
+
+
 @dataclass(frozen=True)
 class Policy:
     """Lifetimes in days by type (None: for ever), grace before removal, and the duplicate threshold."""

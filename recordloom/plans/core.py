@@ -162,6 +162,13 @@ def successors(s: SparkSession, d: str) -> DataFrame:
     return integrate.successors(read(s, d, "memories"))
 
 
+@query("""WITH RECURSIVE f AS (SELECT id, min(seq) AS n FROM memories GROUP BY id), s AS (SELECT m.seq, f.n FROM memories m JOIN f ON m.superseded_by = f.id),
+c AS (SELECT seq, n AS node, CAST(1 AS BIGINT) AS length FROM s UNION ALL SELECT c.seq, s.n, c.length + 1 FROM c JOIN s ON s.seq = c.node WHERE c.length < 1000)
+SELECT seq, arg_max(node, length) AS "end", max(length) AS length FROM c GROUP BY seq""")
+def chain_ends(s: SparkSession, d: str) -> DataFrame:
+    return integrate.chain_ends(read(s, d, "memories"))
+
+
 @query()
 def gate_fold_exact(s: SparkSession, d: str) -> DataFrame:
     """The order-dependent fold of all batches into the store."""

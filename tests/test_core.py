@@ -34,6 +34,18 @@ def test_settings():
     assert (p.ttl_days["state"], p.duplicate_at, p.grace_days) == (None, 0.88, 0.0)
 
 
+    assert [N.truthy(v) for v in ("1", "Yes", "on", "0", None)] == [True, True, True, False, False]
+    assert [N.limit_setting(v) for v in ("3", "0", "-1", "x", None, "2.5")] == [3, 5, 5, 5, 5, 5]
+
+
+def test_chains(spark):
+    rows = [(1, "a", "b"), (2, "b", "c"), (3, "c", "d"), (4, "d", None), (5, "x", "gone"), (6, "p", "q"), (7, "q", "p"), (8, "e", "a")]
+    df = spark.createDataFrame([(*r, "active") for r in rows], "seq long, id string, superseded_by string, status string")
+    got = {r["seq"]: (r["end"], r["length"]) for r in integrate.chain_ends(df).collect()}
+    assert got == {1: (4, 3), 2: (4, 2), 3: (4, 1), 8: (4, 4), 6: (None, None), 7: (None, None)}
+    assert integrate.chain_ends(df.limit(0)).count() == 0
+
+
 def test_words_and_stems(spark):
     assert column(spark, ["Café Müller", "iPhone用のアプリ", "", None], lambda c: X.words(X.fold(c))) == [["cafe", "muller"], ["iphone", "用", "の", "ア", "フ", "リ"], [], None]
     assert column(spark, ["projecting", "memories", "boxes", "bus", "lived"], X.stem) == ["project", "memory", "box", "bus", "liv"]
