@@ -408,7 +408,7 @@ def _normalised_items(m: DataFrame) -> DataFrame:
 
 def _as_documents(s: SparkSession, d: str, bare: bool) -> DataFrame:
     """(path, doc): each batch as a JSON document, its number for a path."""
-    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    iso = lambda c: store.iso(c, 6)
     record = lambda m: F.struct(m["id"].alias("id"), m["text"].alias("text"), m["type"].alias("type"), m["subject"].alias("subject"), m["scope"].alias("scope"), m["source"].alias("source"), m["status"].alias("status"), iso(m["created_at"]).alias("createdAt"), iso(m["updated_at"]).alias("updatedAt"), m["client"].alias("client"))
     records = F.transform("memories", record)
     doc = F.to_json(records) if bare else F.to_json(F.struct(F.col("schema_version").alias("schemaVersion"), records.alias("memories")))

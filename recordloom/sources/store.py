@@ -36,6 +36,11 @@ def instant(c: Column | str) -> Column:
     return F.try_to_timestamp(F.col(c) if isinstance(c, str) else c)
 
 
+def iso(c: Column | str, digits: int = 3) -> Column:
+    """A timestamp as ISO text in UTC, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), f"yyyy-MM-dd'T'HH:mm:ss.{'S' * digits}'Z'")
+
+
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, doc): the JSON documents of a file or folder as whole texts; none if nothing is there."""
     jvm = spark._jvm
@@ -102,7 +107,6 @@ def read_import(spark: SparkSession, path: str, now: Column) -> DataFrame:
 def envelope(df: DataFrame, exported_at: str, generator: str, active_only: bool = False) -> DataFrame:
     """(seq, record): each record as the JSON object of an export; superseded and expired ones too, unless active_only."""
     rows = df.where("status = 'active'") if active_only else df
-    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     fields = [F.col(c).alias({v: k for k, v in NAMES.items()}.get(c, c)) if not isinstance(df.schema[c].dataType, T.TimestampType) else iso(c).alias({v: k for k, v in NAMES.items()}[c]) for c in df.columns if c != "seq"]
     return rows.select("seq", F.to_json(F.struct(*fields), {"ignoreNullFields": "true"}).alias("record"))
 
