@@ -7,10 +7,13 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "recordloom") -> SparkSession:
@@ -61,6 +64,21 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once per application; for clusters that don't have it on their path."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="recordloom-code-")) / "recordloom.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f"recordloom/{f.relative_to(root)}")
+        sc.addPyFile(str(target))
+        atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
+        _SHIPPED.add(sc.applicationId)
+    return spark
+
+
 def tokenizer_path(name: str) -> str:
     """A file of the public tokenizers; the folder is the setting RECORDLOOM_TOKENIZERS, else /opt/tokenizers."""
     return os.path.join(os.environ.get("RECORDLOOM_TOKENIZERS", "/opt/tokenizers"), name)

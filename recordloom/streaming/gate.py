@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +38,9 @@ def supersession_stream(stream: DataFrame) -> DataFrame:
     def judge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         most = state.get[0] if state.exists else 0
         # a key's rows of one micro-batch are judged in order of seq
-        rows = pd.concat(list(parts)).sort_values("seq")
-        before = rows["trust"].cummax().shift(fill_value=0).clip(lower=most)
-        action = before.where(before > 0, 0).combine(rows["trust"], lambda b, t: "created" if b == 0 else "conflict" if t < b else "superseded")
+        rows = pd.concat(list(parts), ignore_index=True).sort_values("seq")
+        before = np.maximum(rows["trust"].cummax().shift(fill_value=0).to_numpy(), most)
+        action = np.where(before == 0, "created", np.where(rows["trust"].to_numpy() < before, "conflict", "superseded"))
         state.update((int(max(most, rows["trust"].max())),))
         yield pd.DataFrame({"seq": rows["seq"], "action": action})
 
