@@ -6,7 +6,8 @@ streams each scope in order through one Python state: duplicate of a live text,
 supersession by subject, then near-duplicate by vector, else created.
 
 Null texts count as empty, null sources as agent-inferred, null scopes as default. Ties of order don't
-arise: seq is unique. Empty inputs give empty results.
+arise: seq is unique. Empty inputs give empty results. Columns of the input that are named like those an
+operator adds are replaced.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def subject_matches(candidates: DataFrame, store: DataFrame) -> DataFrame:
         store.where("status = 'active'").select(scope_key().alias("scope_key"), subject_key().alias("subject_key"), trust().alias("t")).where("subject_key is not null")
         .groupBy("scope_key", "subject_key").agg(F.max("t").alias("max_trust"), F.count("*").alias("matches"))
     )
-    keyed = candidates.withColumns({"scope_key": scope_key(), "subject_key": subject_key(), "trust": F.coalesce(trust(), F.lit(1))})
+    keyed = candidates.drop("matches", "max_trust").withColumns({"scope_key": scope_key(), "subject_key": subject_key(), "trust": F.coalesce(trust(), F.lit(1))})
     action = F.when(F.col("matches").isNull(), "created").when(F.col("trust") < F.col("max_trust"), "conflict").otherwise("superseded")
     return keyed.join(held, ["scope_key", "subject_key"], "left").withColumn("action", action)
 
@@ -50,7 +51,7 @@ def supersession(df: DataFrame, chunk: int = 1 << 20) -> DataFrame:
     """df(seq, scope, subject, source, ...) in order: action and, for accepted rows, the seq that supersedes each.
 
     Exact where no text repeats within a subject and no vector interferes. A prefix scan: the rows of a key are cut into chunks of seq, windows run within a chunk, and what a chunk needs of the others comes from one row per key and chunk; a hot subject is spread over as many tasks as it has chunks."""
-    keyed = df.withColumns({"scope_key": scope_key(), "subject_key": subject_key(), "trust": F.coalesce(trust(), F.lit(1))}).where("subject_key is not null").withColumn("_c", F.floor(F.col("seq") / chunk))
+    keyed = df.drop("_b", "_m", "_f", "_earlier", "_later").withColumns({"scope_key": scope_key(), "subject_key": subject_key(), "trust": F.coalesce(trust(), F.lit(1))}).where("subject_key is not null").withColumn("_c", F.floor(F.col("seq") / chunk))
     key = ["scope_key", "subject_key", "_c"]
     of_key, within = Window.partitionBy("scope_key", "subject_key").orderBy("_c"), Window.partitionBy(*key).orderBy("seq")
     # a conflict never raises the maximum, so the running maximum is that of the accepted rows

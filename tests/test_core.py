@@ -130,6 +130,20 @@ def test_set_forms_agree_with_the_fold(spark):
     assert facts == last
 
 
+def test_clashing_columns(spark):
+    names = ["scope_key", "subject_key", "text_key", "trust", "action", "matches", "max_trust", "superseded_by_seq", "rank", "removable_at", "copies", "_c", "_b", "_m", "_earlier", "n", "block", "asks", "similarity", "query_id", "score"]
+    plain = records(spark, [record(i, f"fact {i % 3} of tea", subject="s", embedding=[1.0, float(i)], expires=T0 + dt.timedelta(days=i)) for i in range(6)]).withColumn("superseded_by", F.lit("00000005-aaaa"))
+    df = plain.withColumns({c: F.lit("x") for c in names})
+    now = F.lit(T0 + dt.timedelta(days=2))
+    ask = spark.createDataFrame([(1, "tea", None)], "query_id long, query string, scope string")
+    for f in (
+        integrate.first_of_text, integrate.supersession, integrate.current_facts, integrate.successors, integrate.chain_ends, integrate.fold, lambda d: integrate.subject_matches(d, d), lambda d: integrate.duplicates(d, d, now),
+        lambda d: age.expired_report(d, now), lambda d: age.hidden_by_scope(d, now), lambda d: age.removable(d, now), lambda d: rank.recall(d, ask), lambda d: rank.similar(d, d, 0.5), lambda d: rank.recent(d, 2),
+    ):
+        key = [c for c in f(plain).columns if c in ("seq", "action", "rank", "superseded_by_seq", "matches", "similarity", "copies")]
+        assert sorted(map(repr, f(df).select(key).collect())) == sorted(map(repr, f(plain).select(key).collect()))
+
+
 def records(spark, rows):
     return spark.createDataFrame(rows, "seq long, id string, text string, type string, subject string, scope string, source string, status string, created_at timestamp, updated_at timestamp, expires_at timestamp, embedding array<double>")
 
