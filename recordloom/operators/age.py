@@ -1,7 +1,8 @@
 """Ageing: soft expiry, the expiry report, removal, and what is told about short lives.
 
 Null expiry: never. A record expires at its instant (inclusive) and is removable after the grace,
-whatever its status. Every operator takes the instant it judges at.
+whatever its status. Every operator takes the instant it judges at; conditions compare the bare column
+with a constant, so that they reach the scan.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.operators.normalize import SHORT_LIFE_DAYS, Policy, expired, expiry, live, removable_at, scope_key
+from recordloom.operators.normalize import SHORT_LIFE_DAYS, Policy, expiry, live, plus_days, removable_at, scope_key
 
 
 def visible(df: DataFrame, as_of: Column, include_retired: bool = False) -> DataFrame:
@@ -18,7 +19,7 @@ def visible(df: DataFrame, as_of: Column, include_retired: bool = False) -> Data
 
 def expired_report(df: DataFrame, as_of: Column, policy: Policy = Policy()) -> DataFrame:  # noqa: B008
     """Active but expired records with the instant they become removable, soonest first where a caller orders by it."""
-    return df.where((F.col("status") == "active") & expired(as_of)).withColumns({"scope_key": scope_key(), "removable_at": removable_at(policy)})
+    return df.where((F.col("status") == "active") & (F.col("expires_at") <= as_of)).withColumns({"scope_key": scope_key(), "removable_at": removable_at(policy)})
 
 
 def hidden_by_scope(df: DataFrame, as_of: Column, policy: Policy = Policy()) -> DataFrame:  # noqa: B008
@@ -28,11 +29,11 @@ def hidden_by_scope(df: DataFrame, as_of: Column, policy: Policy = Policy()) ->
 
 
 def removable(df: DataFrame, as_of: Column, policy: Policy = Policy()) -> DataFrame:  # noqa: B008
-    return df.where(F.col("expires_at").isNotNull() & (removable_at(policy) <= as_of))
+    return df.where(F.col("expires_at") <= plus_days(as_of, -policy.grace_days))
 
 
 def compacted(df: DataFrame, as_of: Column, policy: Policy = Policy()) -> DataFrame:  # noqa: B008
-    return df.where(F.col("expires_at").isNull() | (removable_at(policy) > as_of))
+    return df.where(F.col("expires_at").isNull() | (F.col("expires_at") > plus_days(as_of, -policy.grace_days)))
 
 
 def with_expiry(df: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa: B008

@@ -67,9 +67,12 @@ def supersession(df: DataFrame, chunk: int = 1 << 20) -> DataFrame:
 def current_facts(df: DataFrame) -> DataFrame:
     """The accepted row of each scope and subject that nothing supersedes.
 
-    Trust never falls along the accepted rows, so it is the last row of the greatest trust: an aggregate, merged before the shuffle."""
+    Trust never falls along the accepted rows, so it is the last row of the greatest trust: an aggregate, merged before the shuffle. seq is from 0 to below 2^60."""
     keyed = df.withColumns({"scope_key": scope_key(), "subject_key": subject_key(), "trust": F.coalesce(trust(), F.lit(1))}).where("subject_key is not null")
-    return keyed.groupBy("scope_key", "subject_key").agg(F.max_by("seq", F.struct("trust", "seq")).alias("seq"), F.max("trust").alias("trust"), F.count("*").alias("candidates"))
+    # trust and seq in one number, so that the aggregate is hashed, not sorted
+    best = F.shiftleft(F.col("trust").cast("long"), 60) + F.col("seq")
+    out = keyed.groupBy("scope_key", "subject_key").agg(F.max(best).alias("_best"), F.count("*").alias("candidates"))
+    return out.select("scope_key", "subject_key", F.col("_best").bitwiseAND((1 << 60) - 1).alias("seq"), F.shiftright("_best", 60).cast("int").alias("trust"), "candidates")
 
 
 def successors(df: DataFrame) -> DataFrame:
