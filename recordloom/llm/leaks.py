@@ -31,7 +31,6 @@ from recordloom.session import stored
 RUN, ENOUGH = 12, 10
 RANK, OVERSAMPLE = 64, 8
 NEAR = 0.8  # least cosine of a candidate
-PARTIAL_STRIDE = 3  # every so many windows that are not wholly of item words
 MOST_ITEM_WORDS = 2_000_000
 CHUNK = 512  # rows of the vocabulary in one partial sum
 LCS_SHARE, ANSWER_SHARE = 0.8, 0.5
@@ -71,10 +70,9 @@ def stretches(numbers: np.ndarray) -> list[tuple[int, int]]:
 
 
 def passages(stretch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(windows, places): all windows wholly of item words, and every PARTIAL_STRIDE-th of the others with enough."""
+    """(windows, places): all windows with enough item words."""
     w = windows_of(stretch)
-    n = (w >= 0).sum(axis=1)
-    at = np.flatnonzero((n == RUN) | (n >= ENOUGH) & (np.arange(len(w)) % PARTIAL_STRIDE == 0))
+    at = np.flatnonzero((w >= 0).sum(axis=1) >= ENOUGH)
     return w[at], at
 
 

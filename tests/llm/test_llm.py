@@ -389,6 +389,16 @@ def test_paraphrases(spark):
     assert [(r["doc_id"], r["item_id"], r["verbatim"]) for r in rows] == [(1, 9, False)] and rows[0]["lcs"] >= 10
 
 
+def test_passages_are_all_windows_with_enough_item_words():
+    x = np.arange(16)
+    x[[7, 8]] = -1
+    for front in range(3):  # item words in front move the places, not what is kept
+        w, at = leaks.passages(np.r_[np.arange(50, 50 + front), x])
+        assert at.tolist() == list(range(5 + front)) and len(w) == 5 + front
+    x[9] = -1
+    assert leaks.passages(x)[1].tolist() == []
+
+
 def test_pn_queries_are_listed():
     from recordloom.llm import queries
 
