@@ -7,9 +7,10 @@
    random matrix, the driver only sees vocabulary x RANK numbers; one power step, then the basis.
 3. Passages are compared with all windows of the items by cosine in the latent space; a passage of
    RUN words in common has a cosine of 1 and can't be missed.
-4. Candidates are checked on the words: the longest run in common (verbatim from RUN words on), else,
-   for paraphrases, the longest common subsequence and the answers: the numbers and rarest words of
-   the item's window that the passage repeats.
+4. Every candidate is checked on the words, at each of its places: the longest run in common (verbatim
+   from RUN words on), else, for paraphrases, the longest common subsequence and the answers: the
+   numbers and rarest words of the item's window that are repeated in the passage or within RUN / 2
+   words of it. Of those that pass, the one of highest cosine is kept.
 
 Null, empty and short texts leak nothing; repeated rows of an item are one item each. The items are a
 bounded table (MOST_ITEM_WORDS), every other table may grow.
@@ -32,6 +33,7 @@ RUN, ENOUGH = 12, 10
 RANK, OVERSAMPLE = 64, 8
 NEAR = 0.8  # least cosine of a candidate
 MOST_ITEM_WORDS = 2_000_000
+PAIRS = 50_000  # of places and windows of items that are checked at once
 CHUNK = 512  # rows of the vocabulary in one partial sum
 LCS_SHARE, ANSWER_SHARE = 0.8, 0.5
 
@@ -50,7 +52,6 @@ class Items:
         self.texts = [np.array([self.number[x] for x in w]) for w in listed]
         self.windows = np.concatenate([windows_of(t) for t in self.texts]) if self.texts else np.zeros((0, RUN), np.int64)
         self.item = np.repeat(np.arange(len(self.texts)), [len(t) - RUN + 1 for t in self.texts]) if self.texts else np.zeros(0, np.int64)
-        self.place = np.concatenate([np.arange(len(t) - RUN + 1) for t in self.texts]) if self.texts else np.zeros(0, np.int64)
 
 
 def windows_of(text: np.ndarray) -> np.ndarray:
@@ -206,19 +207,34 @@ def basis_of(parts: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
 
 def longest_run(a: np.ndarray, b: np.ndarray) -> int:
     """The most consecutive words in common."""
-    best, row = 0, np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        row[1:] = np.where(b == x, row[:-1] + 1, 0) if x >= 0 else 0
-        best = max(best, int(row.max()))
-    return best
-
-
-def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        if x >= 0:
-            row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(b == x, row[:-1] + 1, 0)))
-    return int(row[-1])
+    if len(a) > len(b):
+        a, b = b, a
+    n, m = len(a), len(b)
+    same = np.zeros((n, m + n), bool)
+    same[:, :m] = (a[::-1, None] == b) & (a[::-1, None] >= 0)
+    # row i moved right by i: a diagonal is a column
+    columns = np.zeros((m + n - 1, n + 1), bool)
+    columns[:, :n] = same.ravel()[: n * (m + n - 1)].reshape(n, -1).T
+    return int(np.diff(np.flatnonzero(~columns.ravel()), prepend=-1).max()) - 1
+
+
+def in_common(near: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(met, lcs) of each row of targets: a bit for each of its words that near has, and the longest common subsequence with near."""
+    at = np.zeros(near.shape, np.int32)
+    for j in range(targets.shape[1]):
+        at |= (near == targets[:, j : j + 1]).astype(np.int32) << j
+    v = np.full(len(near), (1 << targets.shape[1]) - 1, np.int32)  # Hyyrö's bits: the zeros are the length
+    for j in range(near.shape[1]):
+        u = v & at[:, j]
+        v = ((v + u) | (v - u)) & ((1 << targets.shape[1]) - 1)
+    return np.bitwise_or.reduce(at, axis=1), targets.shape[1] - np.bitwise_count(v)
+
+
+def blocks(sizes: np.ndarray, most: int) -> list[slice]:
+    """Slices of consecutive sizes that come to most, or to one size more."""
+    ends = np.cumsum(sizes)
+    cuts = [0, *(np.flatnonzero(np.diff((ends - 1) // most)) + 1).tolist(), len(sizes)]
+    return [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
 
 
 def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
@@ -234,23 +250,26 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     basis = basis_of(parts, items, idf)
     latent = unit(project(items.windows, weights(items.windows, idf), basis))
     is_number = np.array([w.isdigit() for w in items.words])
-    shared = spark.sparkContext.broadcast((items.ids, items.texts, items.item, items.place, idf, basis, latent, is_number))
+    shared = spark.sparkContext.broadcast((items.ids, items.texts, items.item, idf, basis, latent, is_number))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, item, place, f, base, goal, digits = shared.value
-        targets = np.concatenate([windows_of(t) for t in texts])
+        ids, texts, item, f, base, goal, digits = shared.value
+        targets = np.concatenate([windows_of(t) for t in texts]).astype(np.int32)
         theirs, their_answers = window_hash(targets), answer_bits(targets, f, digits)
         their_count = np.bitwise_count(their_answers)
         rare = digits | (f >= np.quantile(f, 0.5))
+        keys = (rare[targets].astype(np.int32) << np.arange(RUN, dtype=np.int32)).sum(axis=1, dtype=np.int32)
+        key_count = np.bitwise_count(keys).astype(np.int64)
+        margin, least = np.full(RUN // 2, -1, np.int32), math.ceil(LCS_SHARE * RUN)
         for b in batches:
             docs, lists = b.column(0).to_pylist(), lists_of(b, 1)
-            found: dict[tuple[int, int], tuple[float, int, int]] = {}
+            found: dict[int, tuple[float, int, float]] = {}
             whole = [passages(x) for x in lists]
             row = np.repeat(np.arange(len(lists)), [len(x) for _, x in whole])
             if not len(row):
                 continue
+            around = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.r_[margin, x, margin], RUN + 2 * len(margin))[at] for x, (_, at) in zip(lists, whole, strict=True)]).astype(np.int32)
             w, back = np.unique(np.concatenate([x for x, _ in whole]), axis=0, return_inverse=True)
-            at = np.concatenate([x for _, x in whole])
             back = back.ravel()
             order = np.argsort(back, kind="stable")
             first = np.searchsorted(back[order], np.arange(len(w) + 1))
@@ -267,25 +286,28 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
                 meets = (targets[g][:, :, None] == part[p][:, None, :]).any(axis=2)
                 key_words = rare[targets[g]]
                 likely = same | (((meets & key_words).sum(axis=1) >= ANSWER_SHARE * key_words.sum(axis=1)) & (meets.sum(axis=1) >= LCS_SHARE * RUN - RUN // 4) & key_words.any(axis=1))
-                for p_, g_, s_ in zip(p[likely].tolist(), g[likely].tolist(), same[likely].tolist(), strict=True):
-                    c = float(cos[p_, g_]) + s_  # the same window comes before any other
-                    for o in order[first[i + p_] : first[i + p_ + 1]].tolist():
-                        key = (int(row[o]), int(item[g_]))
-                        if key not in found or c > found[key][0]:
-                            found[key] = (c, int(at[o]), int(place[g_]))
+                p, g = p[likely], g[likely]
+                c = cos[p, g] + (mine[i + p] == theirs[g])  # the same window comes before any other
+                # every place of every candidate is checked
+                n = first[i + p + 1] - first[i + p]
+                for s in blocks(n, PAIRS):
+                    k = np.repeat(np.arange(len(p))[s], n[s])
+                    o = order[np.repeat(first[i + p[s]] - np.cumsum(n[s]) + n[s], n[s]) + np.arange(len(k))]
+                    met, lcs = in_common(around[o], targets[g[k]])
+                    answers = np.bitwise_count(met & keys[g[k]]) / np.maximum(key_count[g[k]], 1)
+                    ok = np.flatnonzero((c[k] > 1.5) | (lcs >= least) & (answers >= ANSWER_SHARE))
+                    pair = row[o[ok]] * len(texts) + item[g[k[ok]]]
+                    best = ok[np.lexsort((-c[k[ok]], pair))]
+                    pair = np.sort(pair)
+                    for e in np.flatnonzero(np.diff(pair, prepend=-1)).tolist():
+                        key, x = int(pair[e]), best[e]
+                        if key not in found or c[k[x]] > found[key][0]:
+                            found[key] = (float(c[k[x]]), int(lcs[x]), float(answers[x]))
             rows = []
-            for (r, k), (c, p, g) in found.items():
-                text, target = lists[r], texts[k]
-                window = target[g : g + RUN]
-                near = text[max(0, p - RUN // 2) : p + RUN + RUN // 2]
-                if len(set(window.tolist()) & set(near.tolist())) < LCS_SHARE * len(set(window.tolist())) - 1e-9:
-                    continue
-                together = longest_run(text, target)
-                lcs = common_subsequence(near, window)
-                answers = window[rare[window]]
-                share = float(np.isin(answers, near).mean()) if len(answers) else 0.0
-                if together >= RUN or lcs >= math.ceil(LCS_SHARE * RUN) and share >= ANSWER_SHARE:
-                    rows.append((docs[r], ids[k], together, lcs, round(min(c, 1.0), 4), round(share, 4), together >= RUN))
+            for key, (c_, lcs_, share) in found.items():
+                r, k_ = divmod(key, len(texts))
+                together = longest_run(lists[r], texts[k_])
+                rows.append((docs[r], ids[k_], together, lcs_, round(min(c_, 1.0), 4), round(share, 4), together >= RUN))
             if rows:
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=["doc_id", "item_id", "run", "lcs", "cosine", "answers", "verbatim"])

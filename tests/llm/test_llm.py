@@ -399,6 +399,38 @@ def test_passages_are_all_windows_with_enough_item_words():
     assert leaks.passages(x)[1].tolist() == []
 
 
+def leaked(spark, told, *items):
+    rows = leaks.leaks(spark.createDataFrame([(1, told)], "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    return [(r["item_id"], r["lcs"], r["verbatim"]) for r in rows]
+
+
+def test_a_paraphrase_is_not_displaced_by_a_reordered_window(spark):
+    w = [f"w{i}" for i in range(12)]
+    told = " ".join([*w[::-1], "other", "words", *w[:5], "replaced", *w[6:]])
+    assert leaked(spark, told, " ".join(w)) == [(0, 11, False)]
+
+
+def test_the_words_of_candidates_are_compared_exactly():
+    rng = np.random.default_rng(17)
+    near, targets = rng.integers(-1, 15, (400, 24)), rng.integers(0, 15, (400, 12))
+    met, lcs = leaks.in_common(near, targets)
+
+    def subsequence(a, b):
+        t = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1, j + 1] = t[i, j] + 1 if x == y else max(t[i, j + 1], t[i + 1, j])
+        return t[-1, -1]
+
+    assert lcs.tolist() == [subsequence(a, b) for a, b in zip(near, targets, strict=True)]
+    assert [[bool(m >> j & 1) for j in range(12)] for m in met.tolist()] == np.array([np.isin(b, a) for a, b in zip(near, targets, strict=True)]).tolist()
+    for a, b in zip(near, targets, strict=True):
+        for x, y in ((a, b), (a[:5], b)):
+            runs = {n for n in range(1, 13) for i in range(len(x)) for j in range(len(y)) if len(x[i : i + n]) == n and (x[i : i + n] >= 0).all() and x[i : i + n].tolist() == y[j : j + n].tolist()}
+            assert leaks.longest_run(x, y) == max(runs, default=0)
+    assert sum((list(range(9))[s] for s in leaks.blocks(np.array([3, 1, 1, 9, 1, 1, 1, 1, 1]), 4)), []) == list(range(9)) and leaks.blocks(np.zeros(0, int), 4) == []
+
+
 def test_pn_queries_are_listed():
     from recordloom.llm import queries
 
