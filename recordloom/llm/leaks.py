@@ -125,17 +125,6 @@ def window_hash(w: np.ndarray) -> np.ndarray:
     return out
 
 
-def answer_bits(w: np.ndarray, idf: np.ndarray, digits: np.ndarray) -> np.ndarray:
-    """uint64: a bit for each answer of a window, that is each number and each word of the rarer half."""
-    out = np.zeros(len(w), np.uint64)
-    counts = digits | (idf >= np.quantile(idf, 0.5))
-    for j in range(w.shape[1]):
-        x = w[:, j].astype(np.int64)
-        bit = np.uint64(1) << ((np.maximum(x, 0) * 0x9E3779B1 >> 7) % 64).astype(np.uint64)
-        out |= np.where((x >= 0) & counts[np.maximum(x, 0)], bit, np.uint64(0))
-    return out
-
-
 def lists_of(b: pa.RecordBatch, column: int) -> list[np.ndarray]:
     c = b.column(column)
     offsets, flat = c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)
@@ -255,8 +244,7 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, item, f, base, goal, digits = shared.value
         targets = np.concatenate([windows_of(t) for t in texts]).astype(np.int32)
-        theirs, their_answers = window_hash(targets), answer_bits(targets, f, digits)
-        their_count = np.bitwise_count(their_answers)
+        theirs = window_hash(targets)
         rare = digits | (f >= np.quantile(f, 0.5))
         keys = (rare[targets].astype(np.int32) << np.arange(RUN, dtype=np.int32)).sum(axis=1, dtype=np.int32)
         key_count = np.bitwise_count(keys).astype(np.int64)
@@ -273,20 +261,11 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
             back = back.ravel()
             order = np.argsort(back, kind="stable")
             first = np.searchsorted(back[order], np.arange(len(w) + 1))
-            mine, my_answers = window_hash(w), answer_bits(w, f, digits)
+            mine = window_hash(w)
             for i in range(0, len(w), 256):
                 part = w[i : i + 256].astype(np.int64)
                 cos = unit(project(part, weights(part, f), base)) @ goal.T
                 p, g = np.nonzero(cos >= NEAR)
-                # before words are compared: the same window, or enough of its answers
-                shared_bits = np.bitwise_count(my_answers[i + p] & their_answers[g])
-                same = mine[i + p] == theirs[g]
-                likely = np.flatnonzero(same | ((shared_bits > 0) & (shared_bits >= np.ceil(ANSWER_SHARE * their_count[g]))))
-                p, g, same = p[likely], g[likely], same[likely]
-                meets = (targets[g][:, :, None] == part[p][:, None, :]).any(axis=2)
-                key_words = rare[targets[g]]
-                likely = same | (((meets & key_words).sum(axis=1) >= ANSWER_SHARE * key_words.sum(axis=1)) & (meets.sum(axis=1) >= LCS_SHARE * RUN - RUN // 4) & key_words.any(axis=1))
-                p, g = p[likely], g[likely]
                 c = cos[p, g] + (mine[i + p] == theirs[g])  # the same window comes before any other
                 # every place of every candidate is checked
                 n = first[i + p + 1] - first[i + p]

@@ -410,6 +410,15 @@ def test_a_paraphrase_is_not_displaced_by_a_reordered_window(spark):
     assert leaked(spark, told, " ".join(w)) == [(0, 11, False)]
 
 
+def test_answers_near_a_passage_count(spark):
+    w, other = [f"w{i}" for i in range(10)], [f"y{i}" for i in range(4)]
+    item = " ".join([*w, "4711", "4712"])
+    # the answers stand behind the only window that is similar enough, within the words around it
+    told = " ".join([*w, *other, "4711", "4712"])
+    rest = " ".join(f"rare{i}" for i in range(40))
+    assert leaked(spark, told, item, " ".join(other) + " " + rest) == [(0, 12, False)]
+
+
 def test_the_words_of_candidates_are_compared_exactly():
     rng = np.random.default_rng(17)
     near, targets = rng.integers(-1, 15, (400, 24)), rng.integers(0, 15, (400, 12))
