@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.text import FUZZY_FLOOR, STOPWORDS, fold_text
 from recordloom.functions.vectors import LEXICAL_WEIGHT, SEMANTIC_WEIGHT
+from recordloom.operators.groups import components
 from recordloom.operators.integrate import unit
-from recordloom.operators.normalize import LEXICAL_AT, SEMANTIC_AT, live, scope_key
+from recordloom.operators.normalize import DUPLICATE_AT, LEXICAL_AT, RELATED_AT, SEMANTIC_AT, live, scope_key
+from recordloom.session import stored
 
 MOST_QUERIES = 10_000
 TOKEN_WEIGHT, TRIGRAM_WEIGHT, TYPE_BOOST = 0.75, 0.25, 0.15
@@ -186,6 +188,75 @@ def similar(store: DataFrame, queries: DataFrame, floor: float, as_of: F.Column
     return both.repartition("scope", "block").sortWithinPartitions("scope", "block", F.desc("asks")).mapInArrow(run, "seq long, other_seq long, similarity double").withColumn("similarity", F.round("similarity", 6)).where(F.col("similarity") >= floor)
 
 
+def near_duplicates(store: DataFrame, as_of: F.Column | None = None, block: int = 16_384) -> DataFrame:
+    """(seq, class_seq, related, duplicates): one row for each record of store(seq, scope, embedding, status, expires_at).
+
+    related, duplicates: how many other live records of the scope have a cosine of at least RELATED_AT, DUPLICATE_AT;
+    class_seq: the least seq it is connected to by duplicates, equal vectors always being of one class. Every vector
+    meets every live one of its scope, so the work grows with the square of a scope."""
+    length = F.expr("aggregate(embedding, 0D, (a, x) -> a + x * x)")
+    alive = F.lit(True) if as_of is None else F.coalesce(live(as_of), F.lit(False))
+    rows = store.select("seq", scope_key().alias("scope"), F.col("embedding").cast("array<double>").alias("embedding"), alive.cast("int").alias("alive")).withColumn("usable", F.coalesce((length > 0) & (length < float("inf")), F.lit(False)))
+    nodes = stored(rows.where("usable").groupBy("scope", "embedding").agg(F.min("seq").alias("ck"), F.sum("alive").alias("n")), "vectors")
+    counts = nodes.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    asks = nodes.join(counts, "scope").withColumn("block", F.expr("cast(pmod(xxhash64(ck), blocks) as int)")).withColumn("asks", F.lit(True))
+    held = nodes.where("n > 0").join(counts, "scope").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(False))
+    both = asks.unionByName(held).select("scope", "block", "asks", "ck", "n", "embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, asked, held_ = None, {}, {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for d, rows_ in held_.items():
+                if d not in asked:
+                    continue
+                q = asked[d]
+                if isinstance(q, list):
+                    q = asked[d] = (np.array([k for k, _, _ in q]), np.stack([v for _, _, v in q]))
+                totals = np.zeros((2, len(q[0])), np.int64)
+                for i in range(0, len(rows_), 512):
+                    part = rows_[i : i + 512]
+                    keys, n = np.array([k for k, _, _ in part]), np.array([x for _, x, _ in part])
+                    cos = np.stack([v for _, _, v in part]) @ q[1].T
+                    h, a = np.nonzero(cos >= RELATED_AT - 1e-6)
+                    c = np.round(cos[h, a], 6)
+                    keep = (keys[h] != q[0][a]) & (c >= RELATED_AT)
+                    h, a, c = h[keep], a[keep], c[keep]
+                    near = c >= DUPLICATE_AT
+                    totals[0] += np.bincount(a, n[h], len(q[0])).astype(np.int64)
+                    totals[1] += np.bincount(a[near], n[h[near]], len(q[0])).astype(np.int64)
+                    yield made(q[0][a[near]], keys[h[near]], np.zeros((2, int(near.sum())), np.int64))
+                some = np.flatnonzero(totals[0])
+                yield made(q[0][some], None, totals[:, some])
+            held_.clear()
+
+        def made(a: np.ndarray, b: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64()), pa.array(n[0]), pa.array(n[1])], names=["a", "b", "related", "duplicates"])
+
+        for batch in batches:
+            vectors = batch.column(5)
+            offsets, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False)
+            for i, (scope, part, asks_, k, n) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True)):
+                if (scope, part) != at:
+                    yield from flush()
+                    at = (scope, part)
+                    asked.clear()
+                v = flat[offsets[i] : offsets[i + 1]]
+                (asked if asks_ else held_).setdefault(len(v), []).append((k, n, v / np.linalg.norm(v)))
+            yield from flush()
+
+    met = stored(both.repartition("scope", "block").sortWithinPartitions("scope", "block", F.desc("asks")).mapInArrow(run, "a long, b long, related long, duplicates long"), "near")
+    edges = met.where("b is not null").select("a", "b")
+    named = nodes.select("ck", F.col("ck").alias("group_seq"))
+    both_ways = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    groups = components(both_ways, named)
+    totals = met.where("b is null").groupBy(F.col("a").alias("ck")).agg(F.sum("related").alias("related"), F.sum("duplicates").alias("duplicates"))
+    each = nodes.join(groups, "ck").join(totals, "ck", "left").select("scope", "embedding", "n", "group_seq", "related", "duplicates")
+    own = lambda c: F.coalesce(c, F.lit(0)) + F.col("n") - F.col("alive")  # noqa: E731 - equal vectors
+    found = rows.where("usable").join(each, ["scope", "embedding"]).select("seq", F.col("group_seq").alias("class_seq"), own(F.col("related")).alias("related"), own(F.col("duplicates")).alias("duplicates"))
+    return found.unionByName(rows.where("not usable").select("seq", F.col("seq").alias("class_seq"), F.lit(0).cast("long").alias("related"), F.lit(0).cast("long").alias("duplicates")))
+
+
 def recent(store: DataFrame, k: int = 5, as_of: F.Column | None = None) -> DataFrame:
     """The k latest visible records of each scope by seq."""
     visible = store if as_of is None else store.where(live(as_of))

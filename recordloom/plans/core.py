@@ -358,10 +358,17 @@ SELECT a.seq, b.seq AS other_seq, round(CASE WHEN len(a.e) = len(b.e) THEN list_
 
 @query(f"SELECT seq, other_seq, similarity, similarity >= 0.88 AS duplicate FROM ({_SIMILAR}) WHERE similarity >= 0.6")
 def near_duplicate_records(s: SparkSession, d: str) -> DataFrame:
+    """A search, as findSimilar of single candidates: every 50th record asks. near_duplicate_classes has all records."""
     m = read(s, d, "memories")
     return rank.similar(m, m.where("seq % 50 = 0"), N.RELATED_AT, as_of()).withColumn("duplicate", F.col("similarity") >= N.DUPLICATE_AT)
 
 
+@query()
+def near_duplicate_classes(s: SparkSession, d: str) -> DataFrame:
+    """Every record, with its class and how many live records are related to it, and near-duplicates of it."""
+    return rank.near_duplicates(read(s, d, "memories"), as_of())
+
+
 @query(f"SELECT * FROM (SELECT seq, other_seq, similarity, row_number() OVER (PARTITION BY seq ORDER BY similarity DESC, other_seq) AS rank FROM ({_SIMILAR}) WHERE similarity >= 0.35) WHERE rank <= 5")
 def cosine_topk(s: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window

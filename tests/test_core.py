@@ -172,6 +172,31 @@ def test_recall(spark):
     assert rank.recall(df.limit(0), ask("berlin"), 5, now).count() == 0
 
 
+def test_near_duplicates_of_all_records(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(30, 8))
+    rows = []
+    for i in range(1, 241):  # no seq need be divisible by 50
+        v = base[rng.integers(30)] + rng.normal(size=8) * rng.choice([0, 0.2, 0.5])
+        rows.append(record(i, embedding=v.tolist(), scope=[None, "x"][i % 2], status="superseded" if i % 7 == 0 else "active"))
+    rows += [record(241), record(242, embedding=[0.0] * 8), record(243, embedding=[0.0] * 8), record(244, embedding=[1.0, None])]
+    e = {r[0]: np.array(r[11]) for r in rows if r[0] <= 240}
+    cos = lambda a, b: round(float(e[a] @ e[b] / np.linalg.norm(e[a]) / np.linalg.norm(e[b])), 6)
+    links = {a: [(b, cos(a, b)) for b in e if b != a and b % 2 == a % 2 and b % 7 and cos(a, b) >= 0.6] for a in e}
+    label = {r[0]: r[0] for r in rows}
+    for _ in range(14):
+        for a in e:
+            for b in [b for b, c in links[a] if c >= 0.88] + [b for b in e if b % 2 == a % 2 and (e[a] == e[b]).all()]:
+                label[a] = label[b] = min(label[a], label[b])
+    want = sorted((r[0], label[r[0]], len(links.get(r[0], [])), sum(c >= 0.88 for _, c in links.get(r[0], []))) for r in rows)
+    for block in (16_384, 20):
+        got = rank.near_duplicates(records(spark, rows), F.lit(T0), block)
+        assert sorted((r["seq"], r["class_seq"], r["related"], r["duplicates"]) for r in got.collect()) == want
+    assert rank.near_duplicates(records(spark, rows).limit(0)).count() == 0
+
+
 def test_similar(spark):
     df = records(spark, [record(1, embedding=[1.0, 0.0]), record(2, embedding=[2.0, 0.1]), record(3, embedding=[0.0, 1.0]), record(4, embedding=[1.0, 0.0], scope="x"), record(5, embedding=[0.0, 0.0]), record(6, embedding=[1.0, 0.0, 0.0]), record(7)])
     assert sorted((r["seq"], r["other_seq"]) for r in rank.similar(df, df, 0.6).collect()) == [(1, 2), (2, 1)]
