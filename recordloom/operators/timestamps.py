@@ -215,7 +215,13 @@ def local_to_utc(seconds: np.ndarray, zone: str | None) -> np.ndarray | None:
     table = transitions(zone.strip() if zone and zone.strip() else "UTC")
     if table is None:
         return None
-    return seconds - table[1][np.searchsorted(table[0], seconds, side="right")]
+    out = seconds - table[1][np.searchsorted(table[0], seconds, side="right")]
+    # outside the table, with two days for the offsets
+    first, last = (int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) for y in (FIRST_YEAR, LAST_YEAR))
+    for i in np.flatnonzero((seconds < first + 3 * 86400) | (seconds >= last - 2 * 86400)).tolist():
+        local = datetime(1970, 1, 1) + timedelta(seconds=int(seconds[i]))
+        out[i] = seconds[i] - int(ZoneInfo(zone.strip() if zone and zone.strip() else "UTC").utcoffset(local).total_seconds())
+    return out
 
 
 def _convert(parser: Parser, rows: list[list[str]], month_first: np.ndarray, zones: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -234,14 +240,14 @@ def _convert(parser: Parser, rows: list[list[str]], month_first: np.ndarray, zon
         y, m, d = whole // 10000, whole // 100 % 100, whole % 100
     else:
         y = number("year")
-        y = np.where(y < 100, y + 2000, y)
+        y = np.where(np.array([len(x) <= 2 for x in columns["year"]], bool), y + 2000, y)
         if "first" in columns:
             a, b = number("first"), number("second_")
             m, d = np.where(month_first, a, b), np.where(month_first, b, a)
         else:
             d = number("day")
             m = np.array([_MONTH[w] if (w := x) in _MONTH else int(x) for x in columns["month"]], np.int64)
-    good = (m >= 1) & (m <= 12) & (d >= 1) & (y >= FIRST_YEAR + 1) & (y < LAST_YEAR)
+    good = (m >= 1) & (m <= 12) & (d >= 1) & (y >= 1) & (y <= 9999)
     m = np.where(good, m, 1)
     leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
     good &= d <= np.array([31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])[m - 1] + ((m == 2) & leap)
@@ -256,6 +262,7 @@ def _convert(parser: Parser, rows: list[list[str]], month_first: np.ndarray, zon
         hour = hour % 12 + 12 * np.array([w == "pm" for w in columns["pm"]])
     good &= (hour < 24) & (minute < 60) & (second < 60)
     local = days_from_civil(y, m, np.where(good, d, 1)) * 86400 + hour * 3600 + minute * 60 + second
+    local = np.where(good, local, 0)
     fields = set(parser.fields)
     if "zone" in fields:
         return (local - 60 * np.array([ZONES[w] for w in columns["zone"]], np.int64)) * 1000 + millis, good
@@ -289,7 +296,7 @@ def to_utc_ms(texts: list[str | None], locales: list[str | None], hints: list[st
     masks: list[str | None] = [None] * len(texts)
     for i, t in enumerate(texts):
         if t is not None:
-            masks[i], tokens[i] = shape(t[:200]) if len(t) <= 200 else ("X", [])
+            masks[i], tokens[i] = shape(t)
             groups.setdefault(masks[i], []).append(i)
     out: list[int | None] = [None] * len(texts)
     for mask, at in groups.items():

@@ -72,3 +72,18 @@ def test_table(spark):
     assert sorted(tuple(r) for r in X.found(df).collect()) == [(1, 1704067200000)]
     assert X.normalised(df).count() == 4
     assert X.found(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "zone", "want"),
+    [
+        (" " * 150 + "2024-03-31" + "\n" * 150, "UTC", utc(2024, 3, 31)),
+        ("1900-01-01", "UTC", utc(1900, 1, 1)),
+        ("1850-07-01T12:00:00Z", None, utc(1850, 7, 1, 12)),
+        ("2100-01-01", "UTC", utc(2100, 1, 1)),
+        ("2150-07-01 12:00:00", "Europe/Berlin", utc(2150, 7, 1, 10)),
+        ("1870-01-01 00:53:28", "Europe/Berlin", utc(1870, 1, 1)),
+    ],
+)
+def test_padded_and_far_dates(text, zone, want):
+    assert ms(text, None, zone) == want
