@@ -14,6 +14,7 @@ whole; repeated rows give repeated results. Other columns are left alone.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -38,11 +39,34 @@ class Span(NamedTuple):
 
 # ---- e-mail addresses -------------------------------------------------------------------------
 
+# An address is found from its at sign outwards: its local part is read backwards, its domain forwards, both over
+# classes of characters disjoint from what separates them, so each character is read a bounded number of times.
 _AT = r"(?:@|＠|﹫|\s?[\[({<]\s?(?:at|AT|@|arroba|æt)\s?[\])}>]\s?|\s(?:AT|at)\s(?=[\w-]+(?:\s(?:dot|DOT)\s|\s?[\[({]\s?(?:dot|DOT)\s?[\])}])))"
 _DOT = r"(?:\.|．|\s?[\[({<]\s?(?:dot|DOT|punkt|point|punto|\.)\s?[\])}>]\s?|\s(?:dot|DOT)\s)"
-EMAIL = re.compile(rf"[\w](?:[\w.+'%-]|{_DOT}(?=[\w.+-]*{_AT}))*{_AT}[\w-]+(?:{_DOT}[\w-]+)*{_DOT}[^\W\d_]{{2,24}}(?![\w@])")
+AT_SIGN = re.compile(_AT)
+# The local part written backwards, with its spelled dots.
+LOCAL = re.compile(r"[\w.+'%-]++(?:(?:．|\s?[\])}>]\s?(?:tod|TOD|tknup|tniop|otnup|\.)\s?[\[({<]\s?|\s(?:tod|TOD)\s)[\w.+'%-]++)*+")
+DOMAIN = re.compile(rf"[\w-]++(?:{_DOT}[\w-]+)*{_DOT}[^\W\d_]{{2,24}}(?![\w@])")
 EMAIL_HINT = re.compile(r"@|＠|﹫|[\[({<]\s?(?:at|AT|arroba)\s?[\])}>]|\s(?:at|AT)\s[\w-]+\s?[\[({]?\s?(?:dot|DOT)")
 
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the addresses of a text."""
+    free = 0  # nothing before it belongs to an address
+    for m in AT_SIGN.finditer(text):
+        local = LOCAL.match(text[free : m.start()][::-1])
+        domain = local and DOMAIN.match(text, m.end())
+        start = m.start() - local.end() if local else 0
+        while local and start < m.start() and not (text[start].isalnum() or text[start] == "_"):
+            start += 1
+        if domain and start < m.start():
+            yield start, domain.end()
+            free = domain.end()
+        else:
+            free = m.end()
+
+
 # ---- numbers ----------------------------------------------------------------------------------
 
 NUMBER = re.compile(r"(?<![\w.,:/-])(?:tel:\s?)?(?:\+|\(\+?|00)?\d[\d\s().\-/ ‐-–]{5,24}\d(?![\w])(?![-:/]\d)")
@@ -73,7 +97,8 @@ ID_WORDS = re.compile(
 )
 SHORT_ID = frozenset(["ni", "nir", "sin", "nie", "nif", "tin", "utr", "cni", "dni"])
 DIGIT = re.compile(r"\d")
-ID_VALUE = re.compile(r"(?=[A-Z0-9 ./-]*\d[A-Z0-9 ./-]*\d[A-Z0-9 ./-]*\d)[A-Z0-9]{1,16}(?:[ ./-]?[A-Z0-9]*\d[A-Z0-9]*){0,5}(?:[ -][A-Z])?(?![\w])")
+SPACE = re.compile(r"\s")
+ID_VALUE = re.compile(r"(?=[A-Z0-9 ./-]{0,60}\d)[A-Z0-9]{1,16}(?:[ ./-]?[A-Z0-9]*\d[A-Z0-9]*){0,5}(?:[ -][A-Z])?(?![\w])")
 ID_SHAPES = [
     # shape, validator; alone they are not enough, unless the validator confirms them
     (re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), None),
@@ -119,10 +144,10 @@ STREET_ES = "calle|c/|avda\\.?|avenida|plaza|paseo|camino|carrera|carretera|rond
 BOX = "p\\.?\\s?o\\.?\\s?box|post\\s?box|postfach|apartado(?:\\sde\\scorreos)?|boîte\\spostale|casella\\spostale|b\\.?p\\.?"
 _L = r"[^\W\d_]"
 ADDRESS = [
-    re.compile(rf"\b(?:(?:apt|apartment|flat|unit|suite)\.?\s\d+[a-z]?,?\s)?(?<![\d.,:/-])\d{{1,5}}\s?(?:[a-h]\b)?\s(?:(?-i:[A-ZÀ-Þ])[\w'’.-]*\s){{1,3}}(?:{STREET_EN})\b\.?(?:,?\s(?:apt|apartment|flat|unit|suite)\.?\s\d+[a-z]?)?", re.I),
-    re.compile(rf"\b(?-i:[A-ZÀ-Þ])[\w-]*?(?:{STREET_DE})\s?\d{{1,4}}\s?(?:[a-h]\b)?(?:,\s\d{{5}}\s{_L}+)?", re.I),
+    re.compile(rf"\b(?:(?:apt|apartment|flat|unit|suite)\.?\s\d+[a-z]?,?\s)?(?<![\d.,:/-])\d{{1,5}}\s?(?:[a-h]\b)?\s(?:(?-i:[A-ZÀ-Þ])[\w'’.-]{{0,60}}\s){{1,3}}(?:{STREET_EN})\b\.?(?:,?\s(?:apt|apartment|flat|unit|suite)\.?\s\d+[a-z]?)?", re.I),
+    re.compile(rf"\b(?-i:[A-ZÀ-Þ])[\w-]{{0,60}}?(?:{STREET_DE})\s?\d{{1,4}}\s?(?:[a-h]\b)?(?:,\s\d{{5}}\s{_L}+)?", re.I),
     re.compile(rf"\b(?-i:[A-ZÀ-Þ])[\w-]+\s(?:straße|strasse|str\.|weg|platz|allee)\s\d{{1,4}}\s?(?:[a-h]\b)?", re.I),
-    re.compile(rf"\b\d{{1,4}}\s?(?:bis|ter|quater|[a-d]\b)?,?\s(?:{STREET_FR})\s(?:(?:de|du|des|de\sla|d[’']|l[’'])\s?)*{_L}[\w'’-]+", re.I),
+    re.compile(rf"\b\d{{1,4}}\s?(?:bis|ter|quater|[a-d]\b)?,?\s(?:{STREET_FR})\s(?:(?:de|du|des|de\sla|d[’']|l[’'])\s?){{0,4}}{_L}[\w'’-]+", re.I),
     re.compile(rf"(?<!\w)(?:{STREET_ES})\s(?:(?:de|del|de\sla|de\slos)\s)?(?-i:[A-ZÀ-Þ])[\w'’-]+(?:\s(?-i:[A-ZÀ-Þ])[\w'’-]+)?,?\s(?:n[°ºo.]+\s?)?\d{{1,4}}(?:,\s\d{{1,2}}[°ºª]\s?[A-Z]?)?", re.I),
     re.compile(rf"(?<!\w)(?:{BOX})\.?\s\d{{1,6}}\b", re.I),
 ]
@@ -137,16 +162,17 @@ NOT_ADDRESS = re.compile(r"\b(?:route|exit|version|room|build|chapter|step)\s*$"
 TITLES = "Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Professor|Sir|Herr|Frau|Mme|Mlle|Monsieur|Madame|Sr|Sra|Srta|Señor|Señora|Don|Doña|Signor|Signora"
 _U = r"(?-i:[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĮİĶĹĽŁŃŇŌŐŒŘŚŞŠŢŤŪŮŰŹŻŽ])"
 _W = rf"{_U}[^\W\d_]*(?:['’]{_U}?[^\W\d_]+)?"
-_NAME = rf"{_W}(?:-{_W})*"
+_NAME = rf"{_W}(?:-{_W}){{0,3}}"
 _PART = r"(?:van|von|de|der|den|la|le|del|di|da|du|af|bin|al)\s"
 TITLED = re.compile(rf"(?<![\w.])(?:(?:{TITLES})\b\.?|(?-i:M\.))\s(?:{_U}\.\s)?(?:{_PART}){{0,2}}{_NAME}(?:\s{_NAME})?", re.I)
 CUES = r"met|reports\sto|partner|calls?\sthem|calls?\s(?:him|her)|contact(?:\sperson)?\sis|goes\sby|made\sout\sto|account\swith|name\sis|married\sto|wife|husband|boss\sis|manager\sis|signed\sby|written\sby|on\sbehalf\sof|attn|kind\sregards|regards|sincerely"
-CUED = re.compile(rf"\b(?:{CUES})[:,]?\s(?P<name>{_NAME},\s{_NAME}|{_NAME}\s(?:{_U}\.\s)?(?:{_PART}){{0,2}}{_NAME})", re.I)
+KIN = r"friend|colleague|sister|brother|mother|father|cousin|aunt|uncle|daughter|son|neighbou?r|landlord|landlady|dentist|lawyer|accountant|therapist|teacher|tutor|coach|mentor|flatmate|roommate|fianc[ée]e?|girlfriend|boyfriend|dear"
+CUED = re.compile(rf"\b(?:{CUES}|{KIN})[:,]?\s(?P<name>{_NAME},\s{_NAME}|{_NAME}\s(?:{_U}\.\s)?(?:{_PART}){{0,2}}{_NAME})", re.I)
 CUED_LOWER = re.compile(r"(?:reports to|partner:|call them|contact is|goes by|made out to|account with|met) (?P<name>(?P<given>[^\W\d_]{4,}) [^\W\d_]{4,})\b")
-AFTER_GIVEN = re.compile(rf"(?:-{_W})*\s(?:{_U}\.\s)?(?:{_PART}){{0,2}}({_W}(?:-{_W})*)")
-AFTER_LOWER = re.compile(r"(?:-[^\W\d_]+)*\s(?:[^\W\d_]\.\s)?([^\W\d_]{3,}(?:-[^\W\d_]+)*)")
-BEFORE_GIVEN = re.compile(rf"({_W}(?:-{_W})*),\s(?:{_W}-)?$")
-BEFORE_LOWER = re.compile(r"([^\W\d_]{3,}(?:-[^\W\d_]+)*),\s$")
+AFTER_GIVEN = re.compile(rf"(?:-{_W}){{0,3}}\s(?:{_U}\.\s)?(?:{_PART}){{0,2}}({_W}(?:-{_W}){{0,3}})")
+AFTER_LOWER = re.compile(r"(?:-[^\W\d_]+){0,3}\s(?:[^\W\d_]\.\s)?([^\W\d_]{3,}(?:-[^\W\d_]+){0,3})")
+BEFORE_GIVEN = re.compile(rf"({_W}(?:-{_W}){{0,3}}),\s(?:{_W}-)?$")
+BEFORE_LOWER = re.compile(r"([^\W\d_]{3,}(?:-[^\W\d_]+){0,3}),\s$")
 # Capitalised words that are no family names.
 NOT_FAMILY = frozenset(
     "the this that these those user owner account person team project and or but with from for not also she he they his her their my our your is was has had will would can could "
@@ -155,16 +181,17 @@ NOT_FAMILY = frozenset(
 )
 
 
-# What a text must contain, in lower case, before the patterns of a kind are tried.
+# What a text must contain, in lower case and with any white space for a space, before the patterns of a kind are
+# tried. Where a hint ends in a space, anything but a letter may follow it.
 HINTS = {
-    "id": "passport|passeport|pasaporte|reisepass|passaporto|id card|id-card|idcard|identity|ausweis|identité|identite|cni|dni|nie|nif|identidad|driver|driving|führerschein|fuhrerschein|permis|licencia|carnet|carné|tax|tin|steuer|fiscal|utr|codice|ssn|social|sozial|seguridad|nir|sin |national insurance|nino|ni n|ni:|ni ",
+    "id": "passport|passeport|pasaporte|reisepass|passaporto|id card|id-card|idcard|identity|ausweis|identité|identite|cni|dni|nie|nif|identidad|driver|driving|führerschein|fuhrerschein|permis|licencia|carnet|carné|tax|tin|steuer|fiscal|utr|codice|ssn|social|sozial|seguridad|nir |sin |national insurance|nino|ni ",
     "en": "street| st|road| rd|avenue| ave|drive| dr|close|court| ct|lane| ln|boulevard|blvd| way|place| pl|terrace|square| sq|crescent| cres|parkway|pkwy|highway|hwy|circle| row|mews| walk|grove|gardens| hill|quay",
     "de": "straße|strasse|str.|str |weg |platz |allee |gasse |ufer |damm |ring |chaussee |steig |stieg ",
     "fr": " rue | avenue | boulevard | bd | place | quai | impasse | chemin | allée | allee | cours | passage | square | route ",
     "es": "calle |c/ |avda|avenida |plaza |paseo |camino |carrera |carretera |ronda |travesía |rúa |via |viale |piazza |corso |rua ",
     "box": "box |postfach |apartado |postale |b.p. |bp ",
-    "title": "|".join(f"{t.lower()}{e}" for t in [*TITLES.split("|"), "M."] for e in (" ", ". ")),
-    "cue": "met |reports to |partner|them |him |her |contact |goes by |made out to |account with |name is |married to |wife |husband |boss is |manager is |signed by |written by |on behalf of |attn|regards|sincerely",
+    "title": "|".join(f"{t.lower()} " for t in [*TITLES.split("|"), "M."]),
+    "cue": "met |reports to |partner|them |him |her |contact |goes by |made out to |account with |name is |married to |wife |husband |boss is |manager is |signed by |written by |on behalf of |attn|regards|sincerely|friend |colleague |sister |brother |mother |father |cousin |aunt |uncle |daughter |son |neighbor |neighbour |landlord |landlady |dentist |lawyer |accountant |therapist |teacher |tutor |coach |mentor |flatmate |roommate |fianc|girlfriend |boyfriend |dear ",
 }
 HINT_PARTS = dict.fromkeys(["en", "de", "fr", "es", "box"])
 NUMBER_THEN_NAME = re.compile(r"\d\s?[a-h]?\s[A-ZÀ-Þ]")
@@ -174,18 +201,20 @@ class Detector:
     """Spans of one text after another; given: the given names in lower case."""
 
     def __init__(self, given: list[str]):
-        words: dict[str, set[str]] = {}
+        words: dict[str, set[tuple[str, bool]]] = {}
         for kind, listed in HINTS.items():
             for w in listed.split("|"):
-                words.setdefault(w, set()).add(kind)
+                words.setdefault(w.rstrip(" "), set()).add((kind, w.endswith(" ")))
         for g in given:
             if g and (g := g.strip().lower()):
-                words.setdefault(g, set()).add("given")
+                words.setdefault(g, set()).add(("given", False))
         #: how listed given names end; a name in lower case that isn't listed must end like one, and follow a cue
         self.endings = {g.strip().lower()[-3:] for g in given if g and len(g.strip()) > 4}
         self.hints = ahocorasick.Automaton()
         for w, kinds_ in words.items():
-            self.hints.add_word(w, (len(w), "given" in kinds_, frozenset(kinds_ - {"given"})))
+            names = {k for k, _ in kinds_} - {"given"}
+            anywhere = frozenset(k for k, closed in kinds_ if not closed and k != "given")
+            self.hints.add_word(w, (len(w), ("given", False) in kinds_, anywhere, frozenset(names)))
         self.hints.make_automaton()
 
     def spans(self, text: str | None) -> list[Span]:
@@ -196,23 +225,24 @@ class Detector:
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         seen: set[str] = set()
         given: list[tuple[int, int]] = []
-        for end, (n, is_given, kinds_) in self.hints.iter(low):
+        for end, (n, is_given, anywhere, closed) in self.hints.iter(SPACE.sub(" ", low)):
             if is_given:
                 given.append((end + 1 - n, end + 1))
-            seen |= kinds_
+            seen |= closed if end + 1 == len(low) or not low[end + 1].isalpha() else anywhere
         found: list[Span] = []
         if EMAIL_HINT.search(text):
-            found += [Span(m.start(), m.end(), "email", 0.95) for m in EMAIL.finditer(text)]
+            found += [Span(a, b, "email", 0.95) for a, b in emails(text)]
         if DIGIT.search(text):
             self._numbers(text, found, "id" in seen)
             if seen & HINT_PARTS.keys():
                 self._addresses(text, found, seen)
         self._names(text, low, found, given, seen)
-        kept: list[Span] = []
+        kept: list[Span] = []  # in order and apart
         for s in sorted((s for s in found if s.score >= THRESHOLD), key=lambda s: (_RANK[s.kind], s.start - s.end, s.start)):
-            if all(s.end <= k.start or s.start >= k.end for k in kept):
-                kept.append(s)
-        return sorted(kept)
+            at = bisect.bisect_left(kept, s.start, key=lambda k: k.start)
+            if (at == 0 or kept[at - 1].end <= s.start) and (at == len(kept) or s.end <= kept[at].start):
+                kept.insert(at, s)
+        return kept
 
     def _numbers(self, text: str, found: list[Span], ids: bool) -> None:
         for m in IBAN.finditer(text):
@@ -294,9 +324,10 @@ class Detector:
             if a and a.group(1).lower() not in NOT_FAMILY and len(a.group(1)) > 1:
                 found.append(Span(start, a.end(), "name", 0.9 if proper else 0.6))
                 continue
-            b = (BEFORE_GIVEN if proper else BEFORE_LOWER).search(text[max(0, start - 60) : start])
+            before = text[max(0, start - 60) : start]
+            b = (BEFORE_GIVEN if proper else BEFORE_LOWER).search(before) if "," in before else None
             if b and b.group(1).lower() not in NOT_FAMILY:
-                found.append(Span(start - len(text[max(0, start - 60) : start]) + b.start(), stop, "name", 0.75))
+                found.append(Span(start - len(before) + b.start(), stop, "name", 0.75))
 
 
 def mask(text: str | None, spans: list[Span]) -> str | None:
