@@ -1,11 +1,13 @@
 """Splitting oversized texts at natural boundaries: a recursive hierarchy of separators.
 
-A text of more than `limit` tokens is cut into sections, a section over the limit into paragraphs, a
-paragraph into sentences, a sentence into words, a word into characters; the units are packed greedily
-into pieces of at most `limit` tokens. Each further piece begins with a trailing overlap of the one
-before: at the earliest sentence, else word, that leaves at most `overlap` tokens of it. Cuts fall
-between words of the tokenizer, so counts add up; every piece is counted again by itself, and cut
-further in the rare case that it is over the limit.
+A text of more than `limit` tokens is cut into sections, a section over limit - overlap into
+paragraphs, a paragraph into sentences, a sentence into words, a word into characters; the units are
+packed greedily into pieces of at most `limit` tokens. Each further piece begins with a trailing
+overlap of the one before: at the earliest sentence that leaves from half of `overlap` to all of it,
+else at the earliest word, else (within a word longer than that) character. So the overlap always
+has from half of `overlap` to `overlap` tokens, whatever the text; only a single character of more
+than limit - overlap tokens leaves less. Counts add up where cuts fall between words of the
+tokenizer; any other piece is counted by itself, and ends earlier if it is over the limit.
 
 Texts within the limit, empty and null texts give no pieces. Pieces follow each other without a gap:
 leaving the overlaps out gives the text back.
@@ -33,27 +35,49 @@ LEVELS = (SECTION, PARAGRAPH, SENTENCE)
 
 
 class Counted:
-    """A text with the number of tokens up to each end of a word."""
+    """A text with the number of tokens up to each place it may be cut at: ends of words, and within words that are too long, ends of tokens."""
 
-    def __init__(self, bpe: ByteBPE, text: str, counts: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, bpe: ByteBPE, text: str, counts: tuple[np.ndarray, np.ndarray] | None = None, atom: int = LIMIT):
         self.bpe, self.text = bpe, text
         self.ends, self.upto = counts or next(iter(bpe.word_counts([text])))
         self.total = int(self.upto[-1])
+        #: whether a place is an end of a word
+        self.whole = np.ones(len(self.ends), bool)
+        large = np.flatnonzero(np.diff(self.upto) > atom)
+        if len(large):
+            inner = [self._inside(int(self.ends[w]), int(self.ends[w + 1]), int(self.upto[w])) for w in large.tolist()]
+            at, n = (np.concatenate(x) for x in zip(*inner, strict=True))
+            order = np.argsort(np.concatenate([self.ends, at]), kind="stable")
+            self.whole = np.concatenate([self.whole, np.zeros(len(at), bool)])[order]
+            self.ends, self.upto = np.concatenate([self.ends, at])[order], np.concatenate([self.upto, n])[order]
+
+    def _inside(self, start: int, end: int, before: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, tokens up to there) of the ends of characters in a word that are ends of tokens as well."""
+        word = self.text[start:end]
+        token_ends = np.cumsum(self.bpe.token_bytes(word))
+        char_ends = np.cumsum(np.fromiter((len(c.encode("utf-8", "replace")) if not "\ud800" <= c <= "\udfff" else 3 for c in word), np.int64, len(word)))
+        k = np.searchsorted(char_ends, token_ends)
+        good = (k < len(char_ends) - 1) & (char_ends[np.minimum(k, len(char_ends) - 1)] == token_ends)
+        return start + 1 + k[good], before + 1 + np.flatnonzero(good)
 
     def snap(self, at: int) -> int:
-        """The number of the last word end at or before a place."""
-        return int(np.searchsorted(self.ends, at, side="right")) - 1
+        """The number of the last end of a word at or before a place."""
+        i = int(np.searchsorted(self.ends, at, side="right")) - 1
+        while not self.whole[i]:
+            i -= 1
+        return i
 
-    def units(self, limit: int) -> list[tuple[int, int, int]]:
-        """(first word end, last word end, level) of the units, none over the limit unless it is one word."""
-        out: list[tuple[int, int, int]] = []
+    def units(self, limit: int) -> np.ndarray:
+        """The places units end at; none is over the limit unless it can't be cut."""
+        out: list[np.ndarray] = []
 
         def cut(a: int, b: int, level: int) -> None:
-            if self.upto[b] - self.upto[a] <= limit or level > len(LEVELS):
-                out.append((a, b, level))
+            if self.upto[b] - self.upto[a] <= limit:
+                out.append(np.array([b]))
                 return
             if level == len(LEVELS):
-                out.extend((w, w + 1, level) for w in range(a, b))
+                # words, and the characters of a word over the limit
+                out.append(np.arange(a + 1, b + 1))
                 return
             last = a
             for m in LEVELS[level].finditer(self.text, int(self.ends[a]), int(self.ends[b])):
@@ -64,42 +88,62 @@ class Counted:
             cut(last, b, level + 1)
 
         cut(0, len(self.ends) - 1, 0)
-        return out
+        return np.concatenate(out)
 
     def pieces(self, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
         """(start, end, fresh, tokens): pieces in characters; from `fresh` on they are new."""
-        out: list[tuple[int, int, int]] = []
-        units, upto = self.units(limit), self.upto
-        sentences = None
-        begin = fresh = units[0][0]
-        at = fresh
-        for a, b, _ in units:
-            if upto[b] - upto[begin] > limit and at > fresh:
-                out.append((begin, at, fresh))
-                fresh = at
-                # the earliest place that leaves at most `overlap` tokens, and room for the next unit
-                room = min(overlap, limit - int(upto[b] - upto[a]))
-                begin = at
-                if room > 0:
-                    low = max(int(np.searchsorted(upto, upto[at] - room)), out[-1][0] + 1)
-                    if low < at:
-                        if sentences is None:
-                            sentences = np.unique([self.snap(m.end()) for m in SENTENCE.finditer(self.text)])
-                        k = int(np.searchsorted(sentences, low)) if len(sentences) else 0
-                        begin = int(sentences[k]) if k < len(sentences) and sentences[k] < at else low
-            at = b
-        out.append((begin, at, fresh))
-        return [p for x in out for p in self._within(*(int(self.ends[w]) for w in x), limit)]
-
-    def _within(self, start: int, end: int, fresh: int, limit: int) -> list[tuple[int, int, int, int]]:
-        """The piece itself, or parts of it by characters, so that each has at most `limit` tokens."""
-        n = int(self.bpe.count([self.text[start:end]])[0])
+        out: list[tuple[int, int, int, int]] = []
+        # new material of at most limit - overlap fits behind any overlap
+        ends, upto = self.units(limit - overlap), self.upto
+        unit_upto, last = upto[ends], len(self.ends) - 1
+        sentences = np.unique([self.snap(m.end()) for m in SENTENCE.finditer(self.text)]) if overlap else np.zeros(0, np.int64)
+        begin = fresh = 0
+        while fresh < last:
+            k = int(np.searchsorted(unit_upto, upto[begin] + limit, side="right")) - 1
+            at = int(ends[k]) if k >= 0 else 0
+            if at <= fresh:
+                # the next unit can't be cut and is over limit - overlap: it comes with less overlap, or none
+                at = int(ends[np.searchsorted(ends, fresh, side="right")])
+                begin = min(fresh, max(begin, int(np.searchsorted(upto, upto[at] - limit))))
+            n = self._count(begin, at)
+            while n > limit and at > fresh + 1:
+                # a cut within a word can change its tokens: fewer characters, as many as are over the limit
+                at = max(fresh + 1, min(at - 1, int(np.searchsorted(upto, upto[at] - (n - limit), side="right")) - 1))
+                n = self._count(begin, at)
+            if n > limit and begin < fresh:
+                begin, n = fresh, self._count(fresh, at)
+            out.append((int(self.ends[begin]), int(self.ends[at]), int(self.ends[fresh]), n))
+            begin = self._overlap(begin, at, overlap, sentences) if overlap else at
+            fresh = at
+        return [p for x in out for p in self._within(*x, limit)]
+
+    def _count(self, a: int, b: int) -> int:
+        if self.whole[a] and self.whole[b]:
+            n = int(self.upto[b] - self.upto[a])
+            # only a piece that begins or ends within a run of spaces is split anew
+            if not self.text[self.ends[b] - 1].isspace() and (a == 0 or not self.text[self.ends[a] - 1].isspace()):
+                return n
+        return int(self.bpe.count([self.text[int(self.ends[a]) : int(self.ends[b])]])[0])
+
+    def _overlap(self, begin: int, at: int, overlap: int, sentences: np.ndarray) -> int:
+        """Where the overlap before `at` begins: at the earliest place that leaves at most `overlap` tokens; at a sentence, if that leaves at least half of it."""
+        upto = self.upto
+        low = max(int(np.searchsorted(upto, upto[at] - overlap)), begin + 1)
+        k = int(np.searchsorted(sentences, low))
+        if k < len(sentences) and 2 * (upto[at] - upto[sentences[k]]) >= overlap:
+            return min(int(sentences[k]), at)
+        word = low + int(np.argmax(self.whole[low : at + 1]))  # the first end of a word there
+        return word if self.whole[word] and 2 * (upto[at] - upto[word]) >= overlap else min(low, at)
+
+    def _within(self, start: int, end: int, fresh: int, n: int, limit: int) -> list[tuple[int, int, int, int]]:
+        """The piece itself, or parts of it by characters, for places no token ends at."""
         if n <= limit or end - fresh <= 1:
             return [(start, end, fresh, n)]
         if start < fresh:
-            return self._within(fresh, end, fresh, limit)
+            return self._within(fresh, end, fresh, int(self.bpe.count([self.text[fresh:end]])[0]), limit)
         middle = (start + end) // 2
-        return self._within(start, middle, start, limit) + self._within(middle, end, middle, limit)
+        parts = ((a, b, a, int(self.bpe.count([self.text[a:b]])[0])) for a, b in ((start, middle), (middle, end)))
+        return [p for x in parts for p in self._within(*x, limit)]
 
 
 def split(df: DataFrame, key: str = "doc_id", limit: int = LIMIT, overlap: int = OVERLAP, with_text: bool = True, tokenizer: str | None = None) -> DataFrame:
@@ -119,7 +163,7 @@ def split(df: DataFrame, key: str = "doc_id", limit: int = LIMIT, overlap: int =
                 part = large[at : at + 128]
                 for (k, text), counts in zip(part, bpe.word_counts([t for _, t in part]), strict=True):
                     if counts[1][-1] > limit:
-                        pieces = Counted(bpe, text, counts).pieces(limit, overlap)
+                        pieces = Counted(bpe, text, counts, limit - overlap).pieces(limit, overlap)
                         rows += [(k, i, s, e, f, n, *([text[s:e]] if with_text else [])) for i, (s, e, f, n) in enumerate(pieces)]
             names = [key, "piece_no", "start", "end", "fresh", "n_tokens", *(["piece"] if with_text else [])]
             types = [pa.int64(), *[pa.int32()] * 5, pa.string()]

@@ -207,6 +207,14 @@ class ByteBPE:
         at = np.concatenate([[0], np.cumsum(words)])
         return ends[at[1:]] - ends[at[:-1]]
 
+    def token_bytes(self, word: str) -> np.ndarray:
+        """How many bytes each token of one word has."""
+        flat, _ = self.encode_words([SURROGATE.sub("\ufffd", word)])
+        if not hasattr(self, "size"):
+            self.size = np.zeros(len(self.rank), np.int64)
+            self.size[list(self.vocab.values())] = [len(t) for t in self.vocab]
+        return self.size[flat]
+
     def word_counts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of each text: where its words end, in characters; how many ids there are up to there; each with a leading 0."""
         parts = [self.split(SURROGATE.sub("\ufffd", t)) for t in texts]

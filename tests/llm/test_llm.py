@@ -382,7 +382,18 @@ def test_split(spark):
             over = [p for p in ps if p["n_tokens"] > limit]
             assert all(p["end"] - p["fresh"] <= 1 for p in over)  # a single character may be over a tiny limit
             assert all(p["n_tokens"] == bpe.count([p["piece"]])[0] for p in ps)
-            assert all(bpe.count([rows[i][p["start"] : p["fresh"]]])[0] <= overlap + 2 for p in ps)
+            shared = [bpe.count([rows[i][p["start"] : p["fresh"]]])[0] for p in ps[1:]]
+            assert all(n <= overlap + 2 for n in shared) and ps[0]["start"] == ps[0]["fresh"] == 0
+            # from half of the overlap up, whatever the text; a cut within a word counts anew, and a character of several tokens can't be cut
+            assert all(n >= overlap // 2 - (2 if limit > 50 else overlap) for n in shared), (i, limit, shared)
+    # sections just under the limit, and texts without spaces or of one run, keep the overlap, too
+    part = lambda n, h: f"# {h}\n" + " ".join("word" for _ in range(n)) + ".\n"
+    long = ["".join(part(n, f"h{i}") for i in range(6)) for n in (1188, 1145, 1079, 700, 90)] + ["漢字仮名" * 3000, "a" * 30_000, "ab1" * 8_000, "\n" * 5_000, " " * 9_000, "x" * 4000 + " " + "words and " * 1500]
+    for i, text in enumerate(long):
+        ps = split.Counted(bpe, text, atom=1080).pieces(1200, 120)
+        assert "".join(text[f:e] for _, e, f, _ in ps) == text and all(n <= 1200 == bpe.count([text[s:e]])[0] or n == bpe.count([text[s:e]])[0] <= 1200 for s, e, _, n in ps)
+        shared = [int(bpe.count([text[s:f]])[0]) for s, _, f, _ in ps[1:]]
+        assert (len(ps) > 1) == (bpe.count([text])[0] > 1200) and all(55 <= n <= 124 for n in shared), (i, shared)
     with pytest.raises(ValueError, match="overlap"):
         split.split(df, limit=10, overlap=10)
     # natural boundaries: short paragraphs are kept whole
