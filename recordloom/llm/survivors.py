@@ -1,11 +1,11 @@
 """Best representative of each duplicate group: votes per field.
 
 The rows of a group (same scope, same sequence of words) are unpivoted to one long row per field.
-Each value gets a vote of source trust times recency decay; votes are summed per normalised value,
-partly before the shuffle, and the winner of each field is chosen by max_by and pivoted back.
-Two results come of it: survivors(), the voted values, and provenance(), for each field the row its
-value is taken from under the strict order trust, then recency, then smallest seq (a vote in which
-trust outweighs any recency).
+Each row votes for its normalised value with source trust times recency decay; votes are summed per
+value, partly before the shuffle, and the winner of each field is chosen by max_by and pivoted back
+(elect). Two results come of it: survivors(), the voted values, and provenance(), the row each field
+is taken from, under a strict order (trust, then recency, then smallest seq), which is the same vote
+with weights that cannot add up.
 
 Texts of fewer than `least` distinct words and null texts form no group; groups of one row are left
 out. A null field gets no vote; a group without a value of a field has null (provenance: -1). Ties go
@@ -60,38 +60,58 @@ def grouped(df: DataFrame, fields: list[str], least: int = 8) -> DataFrame:
     return df.select(F.col("text").alias("_text"), F.col("scope").alias("_scope"), *extra).mapInArrow(run, schema)
 
 
+def elect(rows: DataFrame, ballots: dict[str, tuple[Column, Column]], weight: dict[str, Column] | Column, strict: bool) -> DataFrame:
+    """(g, first, copies, and of each field the struct `field` (seq, value)) of rows(g, seq, ...), groups of two or more.
+
+    ballots: of each field the normalised value a row votes for (null: it has none) and the value as it is. The rows are unpivoted to one per
+    field; the weights of a normalised value's rows are summed, or, if strict, its greatest weight counts, so that no number of small votes adds
+    up to a large one; of the value that wins, the row of the greatest weight, then the smallest seq, is the one taken. Ties of values go to
+    the one whose best row comes first."""
+    of = lambda f: weight[f] if isinstance(weight, dict) else weight
+    long = rows.select("g", "seq", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), key.cast("string").alias("key"), value.cast("string").alias("value"), of(f).alias("weight")) for f, (key, value) in ballots.items()))).alias("b"))
+    long = long.select("g", "seq", "b.*").withColumn("best", F.struct("weight", (-F.col("seq")).alias("s")))
+    # votes of a value are merged before the shuffle, so a hot group is a few rows per task
+    tally = F.max("weight") if strict else F.round(F.sum("weight"), 9)
+    votes = long.groupBy("g", "field", "key").agg(F.count("*").alias("n"), F.min("seq").alias("first"), tally.alias("votes"), F.max(F.struct("best", "value")).alias("top"))
+    cast = F.col("key").isNotNull()
+    order = F.when(cast, F.struct("votes", F.col("top.best").alias("best")))
+    winner = votes.groupBy("g", "field").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max_by(F.when(cast, F.col("top")), order).alias("top")).where("n > 1")
+    taken = F.struct((-F.col("top.best.s")).alias("seq"), F.col("top.value").alias("value"))
+    return winner.groupBy("g").agg(F.min("first").alias("first"), F.max("n").alias("copies"), *(F.max(F.when((F.col("field") == f) & F.col("top").isNotNull(), taken)).alias(f) for f in ballots))
+
+
+def shown(c: Column) -> Column:
+    """A value without regard to case, padding, and space, `_` or `-`."""
+    return F.regexp_replace(F.lower(F.trim(c)), r"[\s_\-]+", "-")
+
+
 def provenance(df: DataFrame, least: int = 8) -> DataFrame:
-    """(group_seq, source_seq, updated_seq, subject_seq) of df(seq, text, scope, source, subject, updated_at)."""
+    """(group_seq, source_seq, updated_seq, subject_seq) of df(seq, text, scope, source, subject, updated_at).
+
+    The voting of elect() with strict weights: a row's vote is its trust, then its recency; a source is voted for by its degree of trust."""
     rows = grouped(df, ["source", "subject", "updated_at"], least)
-    weight = F.struct(trust(F.col("source")).alias("trust"), F.col("updated_at").alias("at"), (-F.col("seq")).alias("s"))
-    late = F.struct(F.lit(0).alias("trust"), F.col("updated_at").alias("at"), (-F.col("seq")).alias("s"))
-    long = rows.select(
-        "g", "seq",
-        F.explode(F.array(
-            F.struct(F.lit("source").alias("field"), weight.alias("vote"), F.lit(True).alias("has")),
-            F.struct(F.lit("updated").alias("field"), late.alias("vote"), F.lit(True).alias("has")),
-            F.struct(F.lit("subject").alias("field"), weight.alias("vote"), has_subject(F.col("subject")).alias("has")),
-        )).alias("f"),
-    ).select("g", "seq", "f.*")
-    winners = long.groupBy("g", "field").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max_by(F.when(F.col("has"), F.col("seq")), F.when(F.col("has"), F.col("vote"))).alias("seq")).where("n > 1")
-    wide = winners.groupBy("g").agg(F.min("first").alias("group_seq"), *(F.max(F.when(F.col("field") == f, F.col("seq"))).alias(f"{f}_seq") for f in ("source", "updated", "subject")))
-    return wide.select("group_seq", "source_seq", "updated_seq", F.coalesce("subject_seq", F.lit(-1)).cast("long").alias("subject_seq"))
+    trusted = F.struct(trust(F.col("source")).alias("trust"), F.col("updated_at").alias("at"))
+    late = F.struct(F.lit(0).alias("trust"), F.col("updated_at").alias("at"))
+    ballots = {
+        "source": (trust(F.col("source")), F.col("source")),
+        "updated": (F.coalesce(F.unix_micros("updated_at").cast("string"), F.lit("")), F.col("updated_at")),
+        "subject": (F.when(has_subject(F.col("subject")), shown(F.col("subject"))), F.col("subject")),
+    }
+    wide = elect(rows, ballots, {"source": trusted, "updated": late, "subject": trusted}, strict=True)
+    return wide.select(F.col("first").alias("group_seq"), *(F.coalesce(F.col(f"{f}.seq"), F.lit(-1)).cast("long").alias(f"{f}_seq") for f in ballots))
 
 
 def survivors(df: DataFrame, fields: tuple[str, ...] = ("type", "subject", "source", "status"), least: int = 8, half_life_days: float = HALF_LIFE_DAYS) -> DataFrame:
-    """One row per group of two or more: group_seq, copies and the voted value of each field (strings).
+    """One row per group of two or more: group_seq, copies and the voted value of each field (strings), as the winning value's best row has it.
 
     A vote is (1 + trust) * 2^(-age / half life), the age counted from the latest updated_at of the table."""
     rows = grouped(df, [*dict.fromkeys([*fields, "source", "subject", "updated_at"])], least)
     latest = df.agg(F.max("updated_at").alias("latest"))  # one row
     age = F.coalesce((F.unix_micros("latest") - F.unix_micros("updated_at")) / F.lit(86_400_000_000.0), F.lit(3650.0))
-    vote = (1 + trust(F.col("source"))) * F.pow(F.lit(2.0), -age / half_life_days)
-    named = [F.struct(F.lit(f).alias("field"), (F.when(has_subject(F.col(f)), F.col(f)) if f == "subject" else F.col(f)).cast("string").alias("value")) for f in fields]
-    long = rows.crossJoin(F.broadcast(latest)).select("g", "seq", vote.alias("vote"), F.explode(F.array(*named)).alias("f")).select("g", "seq", "vote", "f.field", "f.value")
-    shown = F.regexp_replace(F.lower(F.trim("value")), r"[\s_\-]+", "-")
-    votes = long.groupBy("g", "field", shown.alias("key")).agg(F.count("*").alias("n"), F.sum("vote").alias("votes"), F.min("seq").alias("first"), F.min_by("value", "seq").alias("value"))
-    best = votes.groupBy("g", "field").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max_by(F.when(F.col("key").isNotNull(), F.col("value")), F.when(F.col("key").isNotNull(), F.struct(F.round("votes", 9), -F.col("first")))).alias("value")).where("n > 1")
-    return best.groupBy("g").agg(F.min("first").alias("group_seq"), F.max("n").alias("copies"), *(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields)).drop("g")
+    vote = F.round((1 + trust(F.col("source"))) * F.pow(F.lit(2.0), -age / half_life_days), 12)
+    ballots = {f: (F.when(has_subject(F.col(f)), shown(F.col(f))) if f == "subject" else shown(F.col(f).cast("string")), F.col(f)) for f in fields}
+    wide = elect(rows.crossJoin(F.broadcast(latest)), ballots, vote, strict=False)
+    return wide.select(F.col("first").alias("group_seq"), "copies", *(F.col(f"{f}.value").alias(f) for f in fields))
 
 
 def found(memories: DataFrame) -> DataFrame:

@@ -326,6 +326,17 @@ def test_survivors(spark):
     assert {tuple(r) for r in survivors.found(df).collect()} == want and len(want) > 2
     voted = {r["group_seq"]: r for r in survivors.survivors(df).collect()}
     assert set(voted) == {w[0] for w in want} and all(r["type"] == "state" for r in voted.values())
+    # the votes, counted again: trust times decay, summed per value; the value is shown as its best row has it
+    latest = max(r[5] for r in rows if r[5])
+    weight = lambda r: round((1 + trust.get(re.sub(r"[\s_-]", "", (r[3] or "").lower()), 0)) * 2 ** (-((latest - r[5]).days if r[5] else 3650) / 180), 12)
+    for g in (g for g in by.values() if len(g) > 1):
+        for column, name in ((3, "source"), (4, "subject")):
+            votes = collections.defaultdict(list)
+            for r in g:
+                if r[column] is not None and not (name == "subject" and r[4].strip().lower() in ("", "none", "n/a", "unknown")):
+                    votes[re.sub(r"[\s_-]+", "-", r[column].strip(" ").lower())].append((weight(r), -r[0], r[column]))
+            best = max(votes.values(), key=lambda v: (round(sum(x[0] for x in v), 9), max(v)), default=[(0, 0, None)])
+            assert voted[min(r[0] for r in g)][name] == max(best)[2]
     assert survivors.found(df.limit(0)).count() == survivors.survivors(df.limit(0)).count() == 0
 
 
