@@ -39,6 +39,10 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bktree.near_groups(_read(spark, sf_dir, "memories"))
 
 
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bktree.near_links(_read(spark, sf_dir, "memories"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.found(_read(spark, sf_dir, "memories"))
 

@@ -28,6 +28,7 @@ from recordloom.llm.words import scope_key, set_key, word_set
 BUCKETS = 1 << 20  # of the word frequencies: 4 MB to each executor, whatever the corpus
 HOT_LEAST, HOT_SHARE = 1000, 8192  # a bucket with more classes than that, and than 1/HOT_SHARE of all, is split further
 SHARD_MOST = 100_000  # rows of a key that one task compares
+CHUNK_ROWS = 250_000  # rows of whole keys that a task looks at together
 SKETCH_WORDS = 2  # 64-bit words of a sketch
 KEY_SCHEMA = "key long, ck long, n int, s0 long, s1 long"
 
@@ -153,21 +154,27 @@ def prefix_keys(classes: DataFrame, freq: np.ndarray, total: int, similarity: fl
 
 
 def spread(keys: DataFrame, largest: int) -> DataFrame:
-    """keys(KEY_SCHEMA, ...) in which no key has many more than SHARD_MOST rows, if any may have more than `largest` of them.
+    """keys(KEY_SCHEMA, ...) with `side`, in which no key has many more than SHARD_MOST rows, if any may have more than `largest` of them.
 
-    The rows of a larger key are dealt to blocks by class, and each pair of blocks becomes a key of its own, so that its tasks together still compare every pair."""
+    The rows of a larger key are dealt to blocks by class, and each pair of blocks becomes a key of its own, so that its tasks together still compare every pair: side 0 are rows of one block, to be compared with each other; sides 1 and 2 those of two blocks, to be compared with the other side only."""
     if largest <= SHARD_MOST:
-        return keys
+        return keys.withColumn("side", F.lit(0))
     bucket = F.col("key").bitwiseAND(BUCKETS - 1)
     counted = keys.groupBy(bucket.alias("_b")).count().where(F.col("count") > SHARD_MOST).select("_b", F.ceil(F.col("count") / SHARD_MOST).alias("_n")).toArrow()
     if not counted.num_rows:
-        return keys
+        return keys.withColumn("side", F.lit(0))
     # at most BUCKETS rows
     large = keys.sparkSession.createDataFrame(counted.to_pandas(), "_b long, _n long")
     dealt = keys.withColumn("_b", bucket).join(F.broadcast(large), "_b", "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
     dealt = dealt.withColumn("_i", F.pmod("ck", "_n")).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     key = F.when(F.col("_n") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("_i", "_j"), F.greatest("_i", "_j")))
-    return dealt.withColumn("key", key).select(keys.columns)
+    side = F.when(F.col("_i") == F.col("_j"), 0).when(F.col("_i") < F.col("_j"), 1).otherwise(2)
+    return dealt.withColumns({"key": key, "side": side}).select(*keys.columns, "side")
+
+
+def together(keys: DataFrame) -> DataFrame:
+    """The rows of a key in one task, side by side; by_keys reads them."""
+    return keys.repartition("key").sortWithinPartitions("key", "side")
 
 
 def radius(na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
@@ -180,13 +187,41 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
-def read_keys(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    """All key rows of a task, sorted by key and size, or None."""
-    some = [b for b in batches if b.num_rows]
-    if not some:
-        return None
-    whole = pa.Table.from_batches(some)
-    return whole.take(pa.array(np.lexsort((whole["n"].to_numpy(), whole["key"].to_numpy()))))
+def by_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a task of together(), as tables of whole keys, sorted by key, side and size, each class of a key once: what is in memory is bounded by CHUNK_ROWS and the largest key, not by the task."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n >= CHUNK_ROWS:
+            key = b.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut or held[0].column(0)[0].as_py() != key[-1]:
+                # all rows before the last key of the batch
+                before = [x for x in held[:-1] if x.column(0)[-1].as_py() != key[-1]]
+                split = held[len(before) : -1]
+                rest = []
+                for x in split:
+                    k = int(np.searchsorted(x.column(0).to_numpy(), key[-1]))
+                    before.append(x.slice(0, k))
+                    rest.append(x.slice(k))
+                yield _ordered(pa.Table.from_batches([*before, b.slice(0, cut)]))
+                held = [x for x in [*rest, b.slice(cut)] if x.num_rows]
+                n = sum(x.num_rows for x in held)
+    if held:
+        yield _ordered(pa.Table.from_batches(held))
+
+
+def _ordered(whole: pa.Table) -> pa.Table:
+    key, side, ck = (whole[c].to_numpy() for c in ("key", "side", "ck"))
+    order = np.lexsort((ck, whole["n"].to_numpy(), side, key))
+    k, s, c = key[order], side[order], ck[order]
+    # copies of a class come from several tasks of the scan
+    first = np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1]) | (c[1:] != c[:-1])] if len(order) else np.zeros(0, bool)
+    return whole.take(pa.array(order[first]))
 
 
 def read_sketches(whole: pa.Table) -> np.ndarray:

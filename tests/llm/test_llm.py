@@ -8,6 +8,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,7 +103,16 @@ def test_near_pairs_and_groups(spark, monkeypatch):
             label[a] = label[b] = min(label[a], label[b])
     # keys cut into blocks give the same
     monkeypatch.setattr(S, "SHARD_MOST", 4)
-    assert {tuple(r) for r in bktree.near_pairs(df).collect()} == want
+    monkeypatch.setattr(S, "CHUNK_ROWS", 50)
+    monkeypatch.setattr(bktree, "CLASS_BLOCK", 2)  # classes dealt to several blocks
+    again = [tuple(r) for r in bktree.near_pairs(df).collect()]
+    assert len(again) == len(set(again)) and set(again) == want
+    first = {}
+    for i, s, w in sets:
+        first.setdefault((s, frozenset(w)), i)
+    rep = {i: first[s, frozenset(w)] for i, s, w in sets}
+    assert {tuple(r) for r in bktree.near_links(df).collect()} == {(rep[a], rep[b]) if rep[a] < rep[b] else (rep[b], rep[a]) for a, b in want if rep[a] != rep[b]}
+    assert {r["seq"]: r["class_seq"] for r in bktree.near_groups(df).collect()} == rep
     groups = {r["seq"]: r["group_seq"] for r in bktree.near_groups(df).collect()}
     assert groups == label
 
@@ -123,6 +133,20 @@ def test_forest_finds_all_within_the_radius():
     assert found == want
 
 
+def test_keys_are_read_whole_in_chunks(monkeypatch):
+    monkeypatch.setattr(S, "CHUNK_ROWS", 7)
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        key = np.sort(rng.integers(0, rng.integers(1, 30), 60))
+        ck = rng.integers(0, 40, 60)
+        names = ["key", "ck", "n", "s0", "s1", "side"]
+        table = pa.table({"key": key, "ck": ck, "n": rng.integers(1, 9, 60).astype(np.int32), "s0": ck, "s1": ck, "side": np.zeros(60, np.int32)}).select(names)
+        parts = list(S.by_keys(iter(table.to_batches(max_chunksize=int(rng.integers(1, 20))))))
+        seen = [set(p["key"].to_pylist()) for p in parts]
+        assert not any(a & b for i, a in enumerate(seen) for b in seen[i + 1 :])
+        assert {(k, c) for p in parts for k, c in zip(p["key"].to_pylist(), p["ck"].to_pylist(), strict=True)} == set(zip(key.tolist(), ck.tolist(), strict=True))
+
+
 # ---- p3 ---------------------------------------------------------------------------------------
 
 
