@@ -162,12 +162,12 @@ def expected_cases(store, items):
     return out
 
 
-def test_batches_against_history(spark, monkeypatch):
+def test_batches_against_history(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(S, "HOT_LEAST", 8)
     rng = random.Random(5)
     all_ = texts(rng, 500)
     store, rest = all_[:250], all_[250:]
-    cuts = sorted(rng.sample(range(250), 6))
+    cuts = sorted(rng.sample(range(250), 3))
     batches = [rest[a:b] for a, b in zip([0, *cuts], [*cuts, 250], strict=True)] + [[], None]
     memory = spark.createDataFrame([(i, t) for i, t in enumerate(store)], "seq long, text string")
     envelopes = spark.createDataFrame([(i + 1, None if b is None else [(t,) for t in b]) for i, b in enumerate(batches)], "batch_no long, memories array<struct<text:string>>")
@@ -175,16 +175,76 @@ def test_batches_against_history(spark, monkeypatch):
     want = expected_cases(store, items)
     assert {tuple(r) for r in history.found(clashing(memory), envelopes).collect()} == want and want
     monkeypatch.setattr(S, "SHARD_MOST", 4)  # keys cut into blocks
-    # one batch after another, with the runs merged in between, gives the same
-    index = history.HistoryIndex(spark).start(memory)
-    got = set()
+    monkeypatch.setattr(history, "RANGE_KEYS", 500)  # several ranges
+    monkeypatch.setattr(history, "RANGE_SETS", 64)
+    monkeypatch.setattr(history, "BLOCK_ROWS", 600)  # several blocks of a batch
+    monkeypatch.setattr(history, "MOST_RUNS", 3)  # so that runs are merged on the way
+    monkeypatch.setattr(history, "ROUNDS", 1)  # what is open after a round is resolved in order
+    # one batch after another gives the same, each by an index of its own that takes up the folder
+    path = f"file://{tmp_path}/index"
+    history.HistoryIndex(spark, path).start(memory)
+    got, most = set(), 0
     for i in range(1, len(batches) + 1):
+        index = history.HistoryIndex(spark, path)
         out = index.ingest(history.batch_items(envelopes.where(F.col("batch_no") == i)))
         got |= {(r["batch_no"], r["pos"]) for r in out.where("is_case").collect()}
-        if i == 4:
-            index.compact()
-            assert len(index.runs) == 1
-    assert got == want
+        most = max(most, len(index.runs))
+    assert got == want and most == 3
+    index.compact()
+    assert len(index.runs) == 1
+    # texts that were accepted, and edits of them, are cases for whoever opens the folder
+    again = [(9, i, t) for i, t in enumerate(store)]
+    hit = {r["pos"] for r in history.HistoryIndex(spark, path).ingest(spark.createDataFrame(again, "batch_no long, pos long, text string")).where("is_case").collect()}
+    assert hit == {i for i, t in enumerate(store) if len(set(words(t))) >= 8}
+    with pytest.raises(ValueError, match="similarity"):
+        history.HistoryIndex(spark, path, similarity=0.8)
+
+
+def test_a_small_batch_reads_the_ranges_it_has_keys_in(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(history, "RANGE_KEYS", 100)
+    monkeypatch.setattr(history, "RANGE_SETS", 100)
+    rng = random.Random(8)
+    memory = spark.createDataFrame([(" ".join(f"x{rng.randrange(10**6)}" for _ in range(12)),) for _ in range(2000)], "text string")
+    index = history.HistoryIndex(spark, f"file://{tmp_path}/index").start(memory)
+    text = memory.head()[0].rsplit(" ", 1)[0] + " other"
+    ranges = {}
+    plain = history.HistoryIndex._table
+    monkeypatch.setattr(history.HistoryIndex, "_table", lambda self, kind, *a: ranges.setdefault(kind, plain(self, kind, *a)))
+    assert [tuple(r) for r in index.ingest(spark.createDataFrame([(1, 0, text)], "batch_no long, pos long, text string")).collect()] == [(1, 0, True)]
+    size = lambda files: sum(os.path.getsize(f.removeprefix("file://")) for f in files)
+    run = index.runs[0]
+    for kind, share in (("keys", 0.1), ("sets", 0.15)):
+        whole = spark.read.parquet(f"file://{tmp_path}/index/{kind}/{run}").inputFiles()
+        scanned = [r[0] for r in ranges[kind].select(F.input_file_name()).distinct().collect()]
+        assert "PartitionFilters: [" in (plan := ranges[kind]._jdf.queryExecution().toString()) and "range" in plan
+        assert 0 < size(scanned) < share * size(whole)
+
+
+def test_a_crash_while_ingesting_leaves_the_state_before(spark, monkeypatch, tmp_path):
+    text = "one two three four five six seven eight nine"
+    items = spark.createDataFrame([(1, 0, text)], "batch_no long, pos long, text string")
+    index = history.HistoryIndex(spark, f"file://{tmp_path}/index").start(spark.createDataFrame([("a b c d e f g h i j k",)], "text string"))
+
+    def crash(*_, **__):
+        raise RuntimeError("crash")
+
+    with monkeypatch.context() as m:
+        m.setattr(history.Manifest, "commit", crash)
+        with pytest.raises(RuntimeError, match="crash"):
+            index.ingest(items)
+    for case in (False, True):
+        assert [tuple(r) for r in history.HistoryIndex(spark, f"file://{tmp_path}/index").ingest(items).collect()] == [(1, 0, case)]
+
+
+def test_a_chain_of_edits_is_resolved_in_one_task(spark, monkeypatch):
+    w = [f"w{i}" for i in range(90)]
+    chain = [(1, i, " ".join(w[2 * i : 2 * i + 16])) for i in range(37)]  # each similar to the next only
+    df = spark.createDataFrame(chain, "batch_no long, pos long, text string")
+    rounds = []
+    plain = history.HistoryIndex._rounds
+    monkeypatch.setattr(history.HistoryIndex, "_rounds", staticmethod(lambda now, later, most: rounds.append(most) or plain(now, later, most)))
+    got = {r["pos"] for r in history.HistoryIndex(spark).ingest(df).where("is_case").collect()}
+    assert got == {p for _, p in expected_cases([], chain)} == set(range(1, 37, 2)) and rounds == [history.ROUNDS, None]
 
 
 def test_history_that_is_empty(spark):
