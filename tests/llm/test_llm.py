@@ -538,10 +538,63 @@ def test_passages_are_all_windows_with_enough_item_words():
     x = np.arange(16)
     x[[7, 8]] = -1
     for front in range(3):  # item words in front move the places, not what is kept
-        w, at = leaks.passages(np.r_[np.arange(50, 50 + front), x])
-        assert at.tolist() == list(range(5 + front)) and len(w) == 5 + front
+        p = leaks.Passages([np.r_[np.arange(50, 50 + front), x].astype(np.int32)])
+        assert (p.at - leaks.MARGIN).tolist() == list(range(5 + front)) and p.row.tolist() == [0] * (5 + front)
     x[9] = -1
-    assert leaks.passages(x)[1].tolist() == []
+    assert leaks.Passages([x.astype(np.int32)]).at.tolist() == [] and leaks.Passages([]).at.tolist() == []
+
+
+def test_products_and_index_equal_plain_ones(monkeypatch):
+    rng = np.random.default_rng(19)
+    lists = [rng.integers(-1, 9, n).astype(np.int32) for n in (30, 12, 5, 80)]
+    idf, thin = rng.random(9) + 1, rng.standard_normal((9, 4))
+    p = leaks.Passages(lists)
+    rows = [(r, w) for r, x in enumerate(lists) for w in leaks.windows_of(x) if (w >= 0).sum() >= leaks.ENOUGH]
+    a = np.array([[idf[j] * (w == j).sum() for j in range(9)] for _, w in rows])
+    assert p.row.tolist() == [r for r, _ in rows]
+    weighted = leaks.with_zero(thin, idf)
+    assert np.allclose(p.project(weighted), a @ thin, atol=1e-4) and np.allclose(p.square(idf), (a * a).sum(axis=1))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    assert np.allclose(p.gram(idf, weighted), a.T @ (a @ thin), atol=1e-4)
+    same = [i == j for i, (_, x) in enumerate(rows) for j, (_, y) in enumerate(rows) if (x == y).all()]
+    assert len(set(p.hashes().tolist())) == len(rows) - (len(same) - len(rows)) // 2
+    # a long text is cut into parts that have every window
+    monkeypatch.setattr(leaks, "LONGEST", 40)
+    long = np.arange(500)
+    parts = leaks.stretches(long)
+    assert all(e - s <= 40 for s, e in parts) and {i for s, e in parts for i in range(s, e - 11)} == set(range(489))
+    # the index finds what comparing with every window finds
+    item = np.repeat(np.arange(40), rng.integers(1, 60, 40))
+    latent = np.cumsum(rng.standard_normal((len(item), 16)), axis=0) + 2 * rng.standard_normal(16)
+    latent = leaks.unit(latent)
+    v = leaks.unit(latent[rng.integers(0, len(latent), 300)] + 0.15 * rng.standard_normal((300, 16)))
+    index = leaks.LatentIndex.of(latent, item)
+    got = {(int(i), int(j)) for p_, w_, _ in index.candidates(v) for i, j in zip(p_, w_, strict=True)}
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(v @ latent.T >= leaks.NEAR)), strict=True)) and len(got) > 300
+
+
+def test_planted_paraphrases(spark, monkeypatch):
+    rng = random.Random(23)
+    items = [(i, " ".join(rng.choice(VOCAB[60:]) for _ in range(rng.randint(14, 30)))) for i in range(60)]
+    docs, want = [], set()
+    for n in range(300):
+        k = rng.randrange(60)
+        w = items[k][1].split()
+        for _ in range(1 + n % 3):  # one to three words replaced, put in or left out
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice([0, 1, 1])] = rng.choice([[], ["other"], [rng.choice(VOCAB)]])
+        around = lambda: [rng.choice(["own", "words", rng.choice(VOCAB), f"own{rng.randrange(99)}"]) for _ in range(rng.randint(0, 30))]
+        docs.append((n, " ".join([*around(), *w, *around()])))
+        want.add((n, k))
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.leaks(d, e).collect()}
+    assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.01 * len(want), (len(got & want), len(got - want))
+    monkeypatch.setattr(leaks, "BLOCK_WINDOWS", 200)  # items asked in blocks give the same
+    monkeypatch.setattr(leaks, "PAIRS", 50)
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(d, e).collect()} == got
+    monkeypatch.setattr(leaks, "MOST_ITEM_WORDS", 100)
+    with pytest.raises(ValueError, match="words of items"):
+        leaks.leaks(d, e)
 
 
 def leaked(spark, told, *items):
