@@ -14,8 +14,8 @@
 4. Candidates are checked on the words, at each of their places, best cosine first, until one passes:
    the longest common subsequence of the item's window and the passage with RUN / 2 words on either
    side, and the answers, the numbers and rarest words of the window, that are repeated there; a window
-   repeated as a whole needs no answers. Before that, a 64-bit signature of the words tells which
-   candidates lack too many words to pass. The longest run in common makes a pair verbatim (RUN words
+   repeated as a whole needs no answers. Before that, 64-bit signatures of the words and of the answers
+   tell which candidates lack too many to pass. The longest run in common makes a pair verbatim (RUN words
    or more).
 
 Null, empty and short texts leak nothing; repeated rows of an item are one item each. The items are a
@@ -52,6 +52,7 @@ LONGEST = 50_000
 CHUNK = 512  # rows of the vocabulary in one partial sum
 SUMMED = 64  # partial sums added up by one task
 LCS_SHARE, ANSWER_SHARE = 0.8, 0.5
+SEEDS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]  # of the signatures
 
 
 class Items:
@@ -161,10 +162,10 @@ class Passages:
         return out[self.at]
 
 
-def signature(numbers: np.ndarray) -> np.ndarray:
+def signature(numbers: np.ndarray, seed: int) -> np.ndarray:
     """A bit of 64 for each word, none for -1."""
     with np.errstate(over="ignore"):
-        bit = (numbers.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
+        bit = (numbers.astype(np.int64).view(np.uint64) * SEEDS[seed]) >> np.uint64(58)
     return np.where(numbers >= 0, np.uint64(1) << bit, np.uint64(0))
 
 
@@ -185,9 +186,9 @@ def angle(cosine: np.ndarray) -> np.ndarray:
 class LatentIndex(NamedTuple):
     """Windows of items in groups, groups in cells; each with the least cosine to its centre at which it can hold a window of a cosine of NEAR."""
 
-    latent: np.ndarray
-    start: np.ndarray  # of the windows of each group, in order of cells
-    stop: np.ndarray
+    latent: np.ndarray  # in order of cells, then groups
+    window: np.ndarray  # the number of each of them
+    start: np.ndarray  # of the windows of each group
     centre: np.ndarray
     least: np.ndarray
     cells: np.ndarray
@@ -198,8 +199,8 @@ class LatentIndex(NamedTuple):
     def of(cls, latent: np.ndarray, item: np.ndarray) -> LatentIndex:
         first = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
         start = np.concatenate([np.arange(a, b, GROUP) for a, b in zip(first, np.r_[first[1:], len(item)], strict=True)])
-        stop = np.r_[start[1:], len(item)]
-        group = np.repeat(np.arange(len(start)), stop - start)
+        size = np.diff(np.r_[start, len(item)])
+        group = np.repeat(np.arange(len(start)), size)
         centre = unit(np.add.reduceat(latent, start, axis=0))
         wide = np.maximum.reduceat(angle((latent * centre[group]).sum(axis=1)), start)
         cells = centre[np.random.default_rng(3).choice(len(centre), math.ceil(math.sqrt(len(centre))), replace=False)]
@@ -210,12 +211,13 @@ class LatentIndex(NamedTuple):
             cells = np.where(np.abs(total).max(axis=1, keepdims=True) > 0, unit(total), cells)
         near = nearest(centre, cells)
         order = np.argsort(near, kind="stable")
-        start, stop, centre, wide, near = start[order], stop[order], centre[order], wide[order], near[order]
+        window = np.argsort(np.argsort(order, kind="stable")[group], kind="stable")
+        centre, wide, near, size = centre[order], wide[order], near[order], size[order]
         used, cell_start = np.unique(near, return_index=True)
         cells = cells[used]
         reach = np.maximum.reduceat(angle((centre * np.repeat(cells, np.diff(np.r_[cell_start, len(near)]), axis=0)).sum(axis=1)) + wide, cell_start)
-        bound = lambda w: np.cos(np.minimum(np.pi, math.acos(NEAR) + w)) - 1e-4
-        return cls(latent, start, stop, centre, bound(wide), cells, bound(reach), np.r_[cell_start, len(near)])
+        bound = lambda w: (np.cos(np.minimum(np.pi, math.acos(NEAR) + w)) - 1e-4).astype(np.float32)
+        return cls(latent[window], window, np.r_[0, np.cumsum(size)], centre, bound(wide), cells, bound(reach), np.r_[cell_start, len(near)])
 
     def candidates(self, v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(row of v, window, cosine) of at least NEAR."""
@@ -223,17 +225,18 @@ class LatentIndex(NamedTuple):
         for c in range(len(self.cells)):
             rows = np.flatnonzero(opened[:, c])
             groups = slice(self.cell_start[c], self.cell_start[c + 1])
-            p, g = np.nonzero(v[rows] @ self.centre[groups].T >= self.least[groups])
-            p, g = rows[p], g + groups.start
-            size = self.stop[g] - self.start[g]
-            for s in blocks(size, PAIRS):
-                n = size[s]
-                pp = np.repeat(p[s], n)
-                w = np.repeat(self.start[g[s]] - np.cumsum(n) + n, n) + np.arange(len(pp))
-                cos = np.einsum("ij,ij->i", v[pp], self.latent[w])
-                hit = cos >= NEAR
-                if hit.any():
-                    yield pp[hit], w[hit], cos[hit]
+            within = v[rows] @ self.centre[groups].T >= self.least[groups]
+            some = within.any(axis=1)
+            rows, within = rows[some], within[some]
+            # the groups of the cell that any of the rows opens, with those rows
+            hit = np.flatnonzero(within.any(axis=0)) + groups.start
+            if not len(hit):
+                continue
+            w = np.concatenate([np.arange(self.start[g], self.start[g + 1]) for g in hit.tolist()])
+            cos = v[rows] @ self.latent[w].T
+            p, q = np.nonzero(cos >= NEAR)
+            if len(p):
+                yield rows[p], self.window[w[q]], cos[p, q]
 
 
 def nearest(v: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -374,9 +377,13 @@ class Checker:
         self.ids, self.texts, self.index = ids, texts, index
         self.item = np.repeat(np.arange(len(texts)), [len(t) - RUN + 1 for t in texts])
         self.targets = np.concatenate([windows_of(t) for t in texts])
-        self.signature = np.bitwise_or.reduce(signature(self.targets), axis=1)
         self.keys = (rare[self.targets].astype(np.int32) << np.arange(RUN, dtype=np.int32)).sum(axis=1, dtype=np.int32)
         self.least = math.ceil(LCS_SHARE * RUN)
+        #: signatures of the words and of the answers of each window
+        self.words = [np.bitwise_or.reduce(signature(self.targets, i), axis=1) for i in range(len(SEEDS))]
+        self.answers = [np.bitwise_or.reduce(signature(np.where(rare[self.targets], self.targets, -1), i), axis=1) for i in range(len(SEEDS))]
+        n = np.bitwise_count(self.keys)
+        self.may_lack = n - np.ceil(ANSWER_SHARE * n).astype(n.dtype)
 
     def check(self, near: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passes, lcs, share of the answers) of the words near passages and windows."""
@@ -391,7 +398,7 @@ class Checker:
         if not len(p.at):
             return {}
         around = np.lib.stride_tricks.sliding_window_view(p.flat, RUN + 2 * MARGIN)
-        has = rolling(signature(p.flat), RUN + 2 * MARGIN, np.bitwise_or)
+        has = [rolling(signature(p.flat, i), RUN + 2 * MARGIN, np.bitwise_or) for i in range(len(SEEDS))]
         # equal windows are looked up once, and checked at each of their places
         _, where, back = np.unique(p.hashes(), return_index=True, return_inverse=True)
         order = np.argsort(back, kind="stable")
@@ -404,9 +411,11 @@ class Checker:
                 for s in blocks(n, PAIRS):
                     k = np.repeat(np.arange(len(q))[s], n[s])
                     o = order[np.repeat(first[i + q[s]] - np.cumsum(n[s]) + n[s], n[s]) + np.arange(len(k))]
-                    # who lacks more words than may be missing can't pass
-                    enough = np.bitwise_count(self.signature[w[k]] & ~has[p.at[o] - MARGIN]) <= RUN - self.least
-                    k, o = k[enough], o[enough]
+                    # each bit that is missing is a word, or an answer, at least; with more missing than may be, none can pass
+                    for theirs, mine in zip(zip(self.answers, self.words, strict=True), has, strict=True):
+                        lacks = ~mine[p.at[o] - MARGIN]
+                        enough = (np.bitwise_count(theirs[0][w[k]] & lacks) <= self.may_lack[w[k]]) & (np.bitwise_count(theirs[1][w[k]] & lacks) <= RUN - self.least)
+                        k, o = k[enough], o[enough]
                     self._first_to_pass(found, p.row[o] * n_items + self.item[w[k]], c[k], w[k], around, p.at[o] - MARGIN)
         return {divmod(key, n_items): x for key, x in found.items()}
 
