@@ -2,15 +2,20 @@
 
 Vectors are scaled to length 1; equal ones form a class, and each class is compared once. Spherical
 k-means on a bounded sample gives cells; every vector is filed under its PROBES nearest cells, so two
-similar vectors share a cell almost surely. In a cell, a vector less the common centre is rotated at
+similar vectors share a cell almost surely. In a cell, a vector less the centre of the cell is rotated at
 random, padded to twice its length, and kept as one bit per dimension; the Hamming distance of two codes and a correction scalar
 each (the inner product of code and vector) estimate their inner product, with an error bound of Z
 standard deviations. Pairs whose upper bound reaches the wanted cosine are reranked with their full
-vectors, which travel as 24-bit fixed point numbers (error of a cosine about 1e-7).
+vectors, which travel as 24-bit fixed point numbers (error of a cosine about 1e-7). Where very many
+pairs would, the wanted cosine of a vector is first raised to that of its k-th best neighbour by the
+estimate, so that what is reranked doesn't grow with the density.
 
-The index is fitted on a sample but holds every vector. Cells larger than BLOCK are cut into blocks
-and compared block by block in separate tasks, so a hot region neither lands in one task nor is cut
-short. A class of any size sends one vector per task of the scan.
+The index is fitted on a sample but holds every vector, in MOST_CELLS cells at most. A cell that grows
+beyond SPLIT vectors with the data is fitted anew in its task, on its own vectors, into cells of about
+CELL, again with PROBES each: what a vector is compared with, and what is shuffled of it, stays the same
+at any size. A task reads cell by cell. Only a cell of more than BLOCK classes is cut into blocks that are
+compared pair by pair in separate tasks, so a hot region neither lands in one task nor is cut short.
+A class of any size sends one vector per task of the scan.
 
 Null vectors, vectors of another length or with null or infinite numbers, and all-zero ones take no
 part. Ties of the rounded cosine go to the smaller seq. An empty table gives no pairs.
@@ -20,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +38,13 @@ from recordloom.session import stored
 PROBES = 4
 CELL = 1500  # classes wanted in a cell
 MOST_CELLS, SAMPLE_PER_CELL, MOST_SAMPLE = 16384, 32, 262_144  # bounds of the fitted index
-BLOCK = 8192
+SPLIT = 8192  # vectors of a cell that are compared without fitting it anew
+BLOCK = 262_144  # classes of a cell in one task: 50 MB of vectors
+DENSE = 8  # times k candidates a vector, from which on the k-th best is sought first
 Z = 4.0  # standard deviations of the error bound
 FIXED = (1 << 23) - 1
 PAIRS_AT_ONCE = 1_000_000
+TASK_BYTES = 1 << 28  # of filed vectors that one task streams
 
 
 def unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,6 +115,11 @@ def turn(dim: int, seed: int = 11) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))[0][:dim]
 
 
+@lru_cache(maxsize=4)
+def _turn(dim: int) -> np.ndarray:
+    return turn(dim)
+
+
 def code_bits(dim: int) -> int:
     """Vectors are padded with zeros to twice their length, up to whole words: more bits, a tighter bound."""
     return 64 * -(-2 * dim // 64)
@@ -135,41 +149,94 @@ class Codes:
         """The cosine about the centre at which two vectors have an inner product of `least`."""
         return (least - self.along[i] - self.along[j] + self.square) / (self.norm[i] * self.norm[j])
 
-    def reach(self, i: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
-        """Per vector, the most differing bits at which a pair with any of the others can still reach `least`."""
-        over = least - self.along[i] - self.along[others].max() + self.square
-        low = np.minimum(over / (self.norm[i] * self.norm[others].max()), over / (self.norm[i] * self.norm[others].min()))
-        return self.most_apart(self.fit[i], np.full(len(i), self.fit[others].min()), low)
+    def reach(self, i: np.ndarray, others: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Per vector, the most differing bits at which a pair with any of the others can still reach the lower `low` of the two."""
+        over = np.minimum(low[i], low[others].min()) - self.along[i] - self.along[others].max() + self.square
+        wanted = np.minimum(over / (self.norm[i] * self.norm[others].max()), over / (self.norm[i] * self.norm[others].min()))
+        return self.most_apart(self.fit[i], np.full(len(i), self.fit[others].min()), wanted)
+
+    def apart(self, i: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Differing bits, len(i) x len(others)."""
+        mine, theirs = self.bits[i], self.bits[others]
+        out = np.bitwise_count(mine[:, None, 0] ^ theirs[None, :, 0])
+        for w in range(1, theirs.shape[1]):
+            more = np.bitwise_count(mine[:, None, w] ^ theirs[None, :, w])
+            out = out + more if self.size < 256 else out.astype(np.uint16) + more
+        return out
 
 
-def similar_pairs(v: np.ndarray, codes: Codes, left: np.ndarray, right: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, cosine) of left x right with a cosine of at least about `least`; for left = right each pair once."""
+def similar_pairs(v: np.ndarray, codes: Codes, left: np.ndarray, right: np.ndarray, low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, cosine) of left x right with a cosine of at least about the lower `low` of the two; for left = right each pair once."""
     if not len(left) or not len(right):
         return
     own = left is right
-    reach = np.minimum(codes.reach(left, right, least), codes.size).astype(np.int64)
+    reach = np.minimum(codes.reach(left, right, low), codes.size).astype(np.int64)
     single = v.astype(np.float32)
     step = max(1, PAIRS_AT_ONCE // (4 * len(right)))
     for at in range(0, len(left), step):
-        i, facing = left[at : at + step], codes.bits[right[at:] if own else right]
-        apart = np.bitwise_count(codes.bits[i][:, None, 0] ^ facing[None, :, 0])
-        for w in range(1, facing.shape[1]):
-            more = np.bitwise_count(codes.bits[i][:, None, w] ^ facing[None, :, w])
-            apart = apart + more if codes.size < 256 else apart.astype(np.uint16) + more
-        p, q = np.nonzero(apart <= reach[at : at + step, None].astype(apart.dtype))
+        i, others = left[at : at + step], right[at:] if own else right
+        apart = codes.apart(i, others)
+        p, q = np.nonzero(apart <= np.maximum(reach[at : at + step, None], -1))
         if own:
             p, q = (x[q > p] for x in (p, q))
         h = apart[p, q]
-        p, q = i[p], right[q + at if own else q]
-        near = h <= codes.most_apart(codes.fit[p], codes.fit[q], codes.wanted(p, q, least))
-        p, q = p[near], q[near]
+        p, q = i[p], others[q]
+        wanted = np.minimum(low[p], low[q])
+        near = h <= codes.most_apart(codes.fit[p], codes.fit[q], codes.wanted(p, q, wanted))
+        p, q, wanted = p[near], q[near], wanted[near]
         for k in range(0, len(p), PAIRS_AT_ONCE):
             pp, qq = p[k : k + PAIRS_AT_ONCE], q[k : k + PAIRS_AT_ONCE]
-            close = np.einsum("ij,ij->i", single[pp], single[qq]) >= least - 1e-4
+            close = np.einsum("ij,ij->i", single[pp], single[qq]) >= wanted[k : k + PAIRS_AT_ONCE] - 1e-4
             pp, qq = pp[close], qq[close]
             yield pp, qq, np.einsum("ij,ij->i", v[pp], v[qq])
 
 
+def lowest(v: np.ndarray, codes: Codes, left: np.ndarray, right: np.ndarray, k: int, least: float) -> np.ndarray:
+    """The cosine that is wanted of each vector: `least`, or where very many pairs reach that, the k-th best of the 4 k whose codes are nearest. A pair below the wanted cosine of both is among the k best of neither."""
+    low = np.full(len(v), least - 1e-6)
+    if min(len(left), len(right)) <= 4 * k:
+        return low
+    some = left[:: max(1, len(left) // 32)]
+    likely = codes.apart(some, right) <= np.minimum(codes.reach(some, right, low), codes.size).astype(np.int64)[:, None]
+    if likely.sum() <= DENSE * k * len(some):
+        return low
+    step = max(1, PAIRS_AT_ONCE // (4 * len(right)))
+    for mine, others in ((left, right),) if left is right else ((left, right), (right, left)):
+        for at in range(0, len(mine), step):
+            i = mine[at : at + step]
+            # the nearest is the vector itself, if it is among the others
+            near = others[np.argpartition(codes.apart(i, others), 4 * k, axis=1)[:, : 4 * k + 1]]
+            cos = np.where(near == i[:, None], -2.0, np.einsum("ij,ikj->ik", v[i], v[near]))
+            low[i] = np.maximum(low[i], np.sort(cos, axis=1)[:, -k] - 2e-6)
+    return low
+
+
+def cell_pairs(v: np.ndarray, left: np.ndarray, right: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, cosine) of the vectors of a cell that may be among each other's k best; a pair may come more than once."""
+    if left is right and len(left) > SPLIT:
+        own = v[left]
+        cells = max(2, len(left) * PROBES // CELL)
+        rng = np.random.default_rng(len(left))
+        fitted = fit_cells(own[rng.choice(len(own), min(len(own), SAMPLE_PER_CELL * cells), replace=False)], cells)
+        near = nearest_cells(own, fitted, PROBES)
+        row, cell = np.repeat(np.arange(len(own)), near.shape[1]), near.ravel()
+        order = np.argsort(cell, kind="stable")
+        bounds = np.flatnonzero(np.diff(cell[order], prepend=-1))
+        parts = np.split(left[row[order]], bounds[1:])
+        if max(map(len, parts)) < 0.7 * len(left):
+            for part in parts:
+                yield from cell_pairs(v, part, part, k, least)
+            return
+        # what can't be told apart is compared as it is
+    every = left if left is right else np.concatenate([left, right])
+    at = v[every]
+    codes = Codes(at, at.mean(axis=0), _turn(v.shape[1]))
+    a = np.arange(len(left))
+    b = a if left is right else np.arange(len(left), len(every))
+    for i, j, cos in similar_pairs(at, codes, a, b, lowest(at, codes, a, b, k, least)):
+        yield every[i], every[j], cos
+
+
 def best_of(a: np.ndarray, cos: np.ndarray, seq: np.ndarray, k: int) -> np.ndarray:
     """Which rows are among the first k of their a, by falling cosine, then rising seq."""
     order = np.lexsort((seq, -cos, a))
@@ -203,10 +270,10 @@ def class_neighbours(vectors: DataFrame, k: int, least: float, dim: int) -> tupl
     # the keys are hashes, so those below a bound are a random sample of the classes; at most MOST_SAMPLE vectors
     got = source.mapInArrow(sampled, "v binary").limit(MOST_SAMPLE).toArrow()["v"].to_pylist()
     sample = np.frombuffer(b"".join(got), np.float32).reshape(-1, dim) if got else np.eye(1, dim, dtype=np.float32)
-    shared = vectors.sparkSession.sparkContext.broadcast((fit_cells(sample, cells), sample.mean(axis=0).astype(np.float64), turn(dim)))
+    shared = vectors.sparkSession.sparkContext.broadcast(fit_cells(sample, cells))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted, seen = shared.value[0], set()
+        fitted, seen = shared.value, set()
         n = np.zeros(len(fitted), np.int64)
         for b in batches:
             _, v = unit_vectors(b.column(1), dim)
@@ -215,11 +282,13 @@ def class_neighbours(vectors: DataFrame, k: int, least: float, dim: int) -> tupl
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["cell", "n"])
 
-    sizes = source.mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(f"n > {BLOCK}").toArrow()  # at most MOST_CELLS rows
-    blocks = {int(c): -(-int(n) // BLOCK) for c, n in zip(sizes["cell"].to_pylist(), sizes["n"].to_pylist(), strict=True)}
+    blocks: dict[int, int] = {}
+    if total > BLOCK:  # else no cell can have more
+        sizes = source.mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(f"n > {BLOCK}").toArrow()  # at most MOST_CELLS rows
+        blocks = {int(c): -(-int(n) // BLOCK) for c, n in zip(sizes["cell"].to_pylist(), sizes["n"].to_pylist(), strict=True)}
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted, least_seq = shared.value[0], {}
+        fitted, least_seq = shared.value, {}
         many = np.ones(len(fitted), np.int64)
         for c, n in blocks.items():
             many[c] = n
@@ -249,45 +318,62 @@ def class_neighbours(vectors: DataFrame, k: int, least: float, dim: int) -> tupl
             yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(mine), pa.array(ck[row]), pa.array(seq[row]), data], names=["task", "block", "ck", "seq", "v"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, centre, rotation = shared.value
-        some = [b for b in batches if b.num_rows]
-        if not some:
-            return
-        whole = pa.Table.from_batches(some)
-        task, block, ck, seq = (whole[c].to_numpy() for c in ("task", "block", "ck", "seq"))
-        order = np.lexsort((seq, ck, task))
-        raw = np.frombuffer(b"".join(c.buffers()[2].to_pybytes()[: len(c) * 3 * dim] if c.offset == 0 else b"".join(c.to_pylist()) for c in whole["v"].chunks), np.uint8).reshape(-1, 3 * dim)
-        # copies of a class from several tasks of the scan: the smallest seq stays
-        keep = order[np.r_[True, (task[order][1:] != task[order][:-1]) | (ck[order][1:] != ck[order][:-1])]]
-        bounds = np.r_[np.flatnonzero(np.r_[True, task[keep][1:] != task[keep][:-1]]), len(keep)]
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            if hi - lo < 2:
+        for cell in by_task(batches):
+            task, block, ck, seq = (cell[c].to_numpy() for c in ("task", "block", "ck", "seq"))
+            order = np.lexsort((seq, ck))
+            # copies of a class from several tasks of the scan: the smallest seq stays
+            at = order[np.r_[True, ck[order][1:] != ck[order][:-1]]]
+            if len(at) < 2:
                 continue
-            at = keep[lo:hi]
+            data = cell["v"].combine_chunks()
+            data = pa.concat_arrays(data.chunks) if isinstance(data, pa.ChunkedArray) else data
+            begin = int.from_bytes(data.buffers()[1].to_pybytes()[4 * data.offset : 4 * data.offset + 4], "little")
+            raw = np.frombuffer(data.buffers()[2], np.uint8, len(data) * 3 * dim, begin).reshape(-1, 3 * dim)
             v = unpack(raw[at], dim)
-            codes = Codes(v, centre, rotation)
-            name = int(task[at[0]])
-            one, two = (name >> 20) & 0xFFFFF, name & 0xFFFFF
+            one, two = (int(task[0]) >> 20) & 0xFFFFF, int(task[0]) & 0xFFFFF
             every = np.arange(len(at))
             left, right = (every, every) if one == two else (every[block[at] == one], every[block[at] == two])
-            parts = list(similar_pairs(v, codes, left, right, least - 1e-6))
+            parts = list(cell_pairs(v, left, right, k, least))
             if not parts:
                 continue
             i, j, cos = (np.concatenate(x) for x in zip(*parts, strict=True))
             cos = np.round(cos, 6)
             i, j, cos = (x[cos >= least] for x in (i, j, cos))
             i, j, cos = np.r_[i, j], np.r_[j, i], np.r_[cos, cos]
+            if len(at) > SPLIT:  # a pair may come from several of its cells
+                _, once = np.unique(i * len(at) + j, return_index=True)
+                i, j, cos = i[once], j[once], cos[once]
             c, s = ck[at], seq[at]
             best = best_of(i, cos, s[j], k)
             i, j, cos = i[best], j[best], cos[best]
             yield pa.RecordBatch.from_arrays([pa.array(c[i]), pa.array(c[j]), pa.array(cos), pa.array(s[j])], names=["a", "b", "cos", "b_seq"])
 
-    tasks = source.mapInArrow(filed, "task long, block long, ck long, seq long, v binary").repartition("task")
+    # a task streams its cells, one in memory at a time
+    size = total * PROBES * (3 * dim + 40)
+    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    tasks = source.mapInArrow(filed, "task long, block long, ck long, seq long, v binary").repartition(parts, "task").sortWithinPartitions("task")
     found = tasks.mapInArrow(compared, "a long, b long, cos double, b_seq long").groupBy("a", "b").agg(F.max("cos").alias("cos"), F.min("b_seq").alias("b_seq"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cos"), "b_seq"))
     return members, found.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
+def by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one cell after another, from batches sorted by `task`."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        task = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[0].column(0)[0].as_py() != task[lo]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _unseen(ck: np.ndarray, seen: set[int]) -> np.ndarray:
     """The places of the keys not met before, each key once."""
     out = []

@@ -296,6 +296,67 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert {tuple(r) for r in neighbours.found(df).collect()} == set(got)
 
 
+def test_cells_that_grow_with_the_data(monkeypatch, spark):
+    """With the number of cells held down: what is filed of a vector stays the same, what it is compared with grows little, and recall stays."""
+    rng = np.random.default_rng(31)
+    monkeypatch.setattr(neighbours, "MOST_CELLS", 2)
+    monkeypatch.setattr(neighbours, "CELL", 200)
+    monkeypatch.setattr(neighbours, "SPLIT", 600)
+    compared, filed = [], []
+    plain = neighbours.similar_pairs
+
+    def counting(v, codes, left, right, low):
+        compared[-1] += len(left) * len(right)
+        return plain(v, codes, left, right, low)
+
+    monkeypatch.setattr(neighbours, "similar_pairs", counting)
+    centres = rng.standard_normal((400, 64))
+    for n in (1500, 6000, 24000):
+        v = centres[rng.integers(0, 400, n)] + 0.35 * rng.standard_normal((n, 64))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        compared.append(0)
+        every = np.arange(n)
+        found = {(min(a, b), max(a, b)) for i, j, c in neighbours.cell_pairs(v, every, every, 10, 0.85) for a, b, x in zip(i.tolist(), j.tolist(), c.tolist(), strict=True) if x >= 0.85}
+        asked = rng.choice(n, 200, replace=False)
+        want = set()
+        for a in asked.tolist():
+            cos = v @ v[a]
+            cos[a] = -2
+            want |= {(min(a, b), max(a, b)) for b in np.argsort(-cos)[:10].tolist() if cos[b] >= 0.85}
+        assert len(found & want) >= 0.97 * len(want)
+    assert compared[2] / 24000 < 2.5 * compared[1] / 6000
+    # through Spark: rows filed per vector don't depend on the size of cells
+    rows = [(i, x.tolist()) for i, x in enumerate(v[:4000])]
+    got = {tuple(r) for r in neighbours.found(spark.createDataFrame(rows, "seq long, embedding array<double>")).collect()}
+    want = brute_neighbours(rows)
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
+
+
+def test_nearest_of_vectors_without_close_ones(spark, monkeypatch):
+    rng = np.random.default_rng(33)
+    v = rng.standard_normal((500, 64))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "seq long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in neighbours.neighbours(df, k=5, least=-1.0).collect():
+        got[r["seq"]].add(r["other"])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cos = np.round(u @ u.T, 6)
+    np.fill_diagonal(cos, -2)
+    want = {i: set(np.argsort(-cos[i], kind="stable")[:5].tolist()) for i in range(500)}
+    assert all(len(x) == 5 for x in got.values()) and sum(len(got[i] & want[i]) for i in want) >= 0.99 * 2500
+    # a dense cloud: only what may be among the k best is reranked
+    dense = np.full(64, 1.0) + 0.2 * rng.standard_normal((3000, 64))
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    every = np.arange(3000)
+    parts = list(neighbours.cell_pairs(dense, every, every, 10, 0.85))
+    assert sum(len(i) for i, _, _ in parts) < 0.1 * 3000 * 2999 / 2
+    cos = np.round(dense @ dense.T, 6)
+    np.fill_diagonal(cos, -2)
+    found = {(a, b) for i, j, _ in parts for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    want = {(min(i, j), max(i, j)) for i in range(3000) for j in np.argsort(-cos[i], kind="stable")[:10].tolist()}
+    assert len({(min(x), max(x)) for x in found} & want) >= 0.99 * len(want)
+
+
 def test_neighbours_without_vectors(spark):
     df = spark.createDataFrame([(1, None), (2, [0.0] * 64)], "seq long, embedding array<double>")
     assert neighbours.found(df).count() == neighbours.found(df.limit(0)).count() == 0
@@ -309,7 +370,7 @@ def test_codes_bound_and_packing():
     assert np.abs(neighbours.unpack(neighbours.pack(v), 64) - v).max() < 1e-7
     every = np.arange(400)
     codes = neighbours.Codes(v, v.mean(axis=0), neighbours.turn(64))
-    found = {(int(i), int(j)) for a, b, _ in neighbours.similar_pairs(v, codes, every, every, 0.85) for i, j in zip(a, b, strict=True)}
+    found = {(int(i), int(j)) for a, b, _ in neighbours.similar_pairs(v, codes, every, every, np.full(400, 0.85)) for i, j in zip(a, b, strict=True)}
     i, j = np.nonzero(np.triu(v @ v.T, 1) >= 0.85)
     want = set(zip(i.tolist(), j.tolist(), strict=True))
     assert want <= found or len(want - found) <= 0.005 * len(want)
