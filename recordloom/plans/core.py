@@ -308,12 +308,14 @@ def stem_terms(s: SparkSession, d: str) -> DataFrame:
     return per.groupBy("stem").agg(F.sum("c").alias("n"), F.count("*").alias("records"))
 
 
-@query(f"""WITH n AS (SELECT n_nationkey AS k, lower(n_name) AS t, {sql_grams('lower(n_name)')} AS g FROM nation)
-SELECT a.k AS a, b.k AS b, round(CASE WHEN a.t = b.t THEN 1 ELSE 2.0 * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)) END, 6) AS similarity FROM n a JOIN n b ON a.k < b.k""")
+@query(f"""WITH t AS (SELECT seq, array_to_string({sql_stems(sql_fold("coalesce(text, '')"))}, ' ') AS a, array_to_string({sql_stems(sql_fold("regexp_replace(coalesce(subject, ''), '[-_.]+', ' ', 'g')"))}, ' ') AS b FROM memories)
+SELECT seq, round(CASE WHEN a = b THEN 1 WHEN a = '' OR b = '' THEN 0 ELSE 2.0 * len(list_intersect({sql_grams('a')}, {sql_grams('b')})) / (len({sql_grams('a')}) + len({sql_grams('b')})) END, 6) AS similarity FROM t""")
 def trigram_similarity(s: SparkSession, d: str) -> DataFrame:
-    n = read(s, d, "nation").select(F.col("n_nationkey").alias("a"), F.lower("n_name").alias("ta"))
-    both = n.join(F.broadcast(n.toDF("b", "tb")), F.col("a") < F.col("b"))  # 25 fixed rows
-    return both.select("a", "b", F.round(X.trigram_similarity(F.col("ta"), F.col("tb")), 6).alias("similarity"))
+    """How far the stems of each record's subject are those of its text."""
+    stems = lambda c: F.array_join(X.content_stems(X.fold(c)), " ")
+    subject = F.regexp_replace(F.coalesce("subject", F.lit("")), "[-_.]+", " ")
+    both = read(s, d, "memories").select("seq", stems(F.coalesce("text", F.lit(""))).alias("a"), stems(subject).alias("b"))
+    return both.select("seq", F.round(X.trigram_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
 def _queries(s: SparkSession, d: str) -> DataFrame:
@@ -451,18 +453,29 @@ def decision_log_lines(s: SparkSession, d: str) -> DataFrame:
     return gatelog.lines(read(s, d, "gate_log")).groupBy("decision").agg(F.count("*").alias("n"), F.count("scope").alias("scopes"), F.count("subject").alias("subjects"), F.sum(F.length("text")).alias("chars"))
 
 
-_STRIP = lambda c: f"regexp_replace({c}, {q(foreign.SPACES)}, '', 'g')"
 _LEAD, _TRAIL = q(f"(?i){foreign.LEADING}"), q(f"(?i){foreign.TRAILING}")
 
 
+def sql_line_ms(c: str) -> str:
+    """Epoch milliseconds of the date of a line, by DuckDB's own calendar; null for impossible ones."""
+    part = lambda i: f"coalesce(try_cast(regexp_extract({c}, {q(foreign.ISO_TIME)}, {i}) AS BIGINT), 0)"
+    millis = f"coalesce(try_cast(left(rpad(regexp_extract({c}, {q(foreign.ISO_TIME)}, 4), 3, '0'), 3) AS BIGINT), 0)"
+    day = lambda d: f"epoch_ms(CAST({d} AS TIMESTAMP))"
+    named = f"try_strptime(left({c}, 3) || ' ' || regexp_extract({c}, '(\\d{{1,2}})[^\\d]+\\d{{4}}$', 1) || ' ' || right({c}, 4), '%b %-d %Y')"
+    return f"""CASE WHEN regexp_full_match({c}, {q(f"{foreign.ISO_DAY}(?:{foreign.ISO_TIME})?")}) THEN CASE WHEN {part(1)} < 24 AND {part(2)} < 60 AND {part(3)} < 60 THEN {day(f"try_cast(left({c}, 10) AS DATE)")} + {part(1)} * 3600000 + {part(2)} * 60000 + {part(3)} * 1000 + {millis} END
+WHEN regexp_matches({c}, '^\\d{{1,2}}/') THEN {day(f"try_strptime({c}, '%-m/%-d/%Y')")} WHEN regexp_full_match({c}, {q("(?i)" + foreign.NAMED_DAY)}) THEN {day(named)} END"""
+
+
 @query(f"""WITH l AS (SELECT doc_id, i - 1 AS line, raw, sum(CAST(regexp_matches(raw, {q(foreign.FENCE)}) AS INT)) OVER (PARTITION BY doc_id ORDER BY i) % 2 AS inside FROM
   (SELECT doc_id, unnest(string_split_regex(text, '\r?\n')) AS raw, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS i FROM documents)),
-b AS (SELECT doc_id, line, {_STRIP(f"regexp_replace(raw, {q(foreign.BULLET)}, '')")} AS body FROM l WHERE inside = 0 AND NOT regexp_matches(raw, {q(foreign.FENCE)}) AND {_STRIP('raw')} <> '' AND NOT regexp_matches(raw, {q(foreign.HEADING)}) AND NOT regexp_matches(raw, {q(foreign.RULE)}) AND NOT regexp_matches(raw, {q(foreign.LABEL)})),
-c AS (SELECT doc_id, line, nullif(regexp_extract(body, {_LEAD}, 1), '') AS lead, CASE WHEN nullif(regexp_extract(body, {_LEAD}, 1), '') IS NOT NULL THEN {_STRIP(f"regexp_replace(body, {_LEAD}, '')")} ELSE body END AS body FROM b),
-t AS (SELECT doc_id, line, lead, CASE WHEN lead IS NULL THEN nullif(regexp_extract(body, {_TRAIL}, 1), '') END AS trail, body FROM c),
-e AS (SELECT doc_id, line, coalesce(lead, trail) AS dated, CASE WHEN trail IS NOT NULL THEN {_STRIP(f"regexp_replace(body, {_TRAIL}, '')")} ELSE body END AS body FROM t)
-SELECT doc_id, CAST(line AS BIGINT) AS line, {_STRIP(f"regexp_replace(body, {q(foreign.QUOTE)}, '', 'g')")} AS entry, dated FROM e WHERE length({_STRIP(f"regexp_replace(body, {q(foreign.QUOTE)}, '', 'g')")}) >= 4""")
+b AS (SELECT doc_id, line, {sql_trim(f"regexp_replace(raw, {q(foreign.BULLET)}, '')")} AS body FROM l WHERE inside = 0 AND NOT regexp_matches(raw, {q(foreign.FENCE)}) AND {sql_trim('raw')} <> '' AND NOT regexp_matches(raw, {q(foreign.HEADING)}) AND NOT regexp_matches(raw, {q(foreign.RULE)}) AND NOT regexp_matches(raw, {q(foreign.LABEL)})),
+c AS (SELECT doc_id, line, nullif(regexp_extract(body, {_LEAD}, 1), '') AS lead, CASE WHEN regexp_matches(body, {_LEAD}) THEN {sql_trim(f"regexp_replace(body, {_LEAD}, '')")} ELSE body END AS body FROM b),
+d AS (SELECT *, {sql_line_ms('lead')} AS lead_ms FROM c),
+t AS (SELECT *, CASE WHEN lead_ms IS NULL THEN nullif(regexp_extract(body, {_TRAIL}, 1), '') END AS trail FROM d),
+e AS (SELECT doc_id, line, CASE WHEN lead_ms IS NOT NULL THEN lead END AS lead, lead_ms, trail, {sql_line_ms('trail')} AS trail_ms, {sql_trim(f"regexp_replace(CASE WHEN trail IS NOT NULL THEN {sql_trim(f'regexp_replace(body, {_TRAIL}, {q('')})')} ELSE body END, {q(foreign.QUOTE)}, '', 'g')")} AS entry FROM t)
+SELECT doc_id, CAST(line AS BIGINT) AS line, entry, coalesce(lead, CASE WHEN trail_ms IS NOT NULL THEN trail END) AS dated, coalesce(lead_ms, trail_ms) AS ms FROM e WHERE length(entry) >= 4""")
 def vendor_text_parse(s: SparkSession, d: str) -> DataFrame:
+    """The statements of lists: a leading date goes; a trailing one is looked for whenever the leading one is no real date."""
     return foreign.text_entries(read(s, d, "documents")).withColumn("line", F.col("line").cast("long"))
 
 

@@ -256,6 +256,10 @@ def test_foreign_lists(spark, tmp_path):
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
     got = [(r["entry"], r["dated"]) for r in foreign.text_entries(df).orderBy("line").collect()]
     assert got == [("Prefers tea", "2026-03-14"), ("Lives in Rome", "2026-01-02"), ("Quoted fact", None), ("dated", "March 14, 2026")]
+    odd = "14/13/2026: likes tea (saved 2026-03-14)\n[2026-02-30] naps at noon [updated: Mar 4, 2026]\n12/31/2025 | runs far (2026-01-01)\n2026-01-02T03:04:05.678Z sings\n\u00a0- walks (saved 2026-13-01)"
+    got = [(r["entry"], r["dated"], r["ms"]) for r in foreign.text_entries(spark.createDataFrame([(1, odd)], "doc_id long, text string")).orderBy("line").collect()]
+    day = lambda *a: int(dt.datetime(*a, tzinfo=dt.UTC).timestamp() * 1000)
+    assert got == [("likes tea", "2026-03-14", day(2026, 3, 14)), ("naps at noon", "Mar 4, 2026", day(2026, 3, 4)), ("runs far (2026-01-01)", "12/31/2025", day(2025, 12, 31)), ("sings", "2026-01-02T03:04:05.678Z", day(2026, 1, 2, 3, 4, 5) + 678), ("walks", None, None)]
     found = foreign.json_entries({"memories": [{"content": "fact one", "create_time": 1700000000}, "fact two", {"nested": {"facts": ["fact three"]}}], "tags": ["not this"]})
     assert found == [("fact one", 1700000000000), ("fact two", None), ("fact three", None)]
     data = io.BytesIO()
@@ -265,7 +269,16 @@ def test_foreign_lists(spark, tmp_path):
         z.writestr("image.png", "x")
     (tmp_path / "export.zip").write_bytes(data.getvalue())
     (tmp_path / "user.json").write_text("{}")
+    deep = tmp_path / "a/b/c/d"
+    (deep / "e").mkdir(parents=True)
+    (deep / "e" / "memory.txt").write_text("- too deep to be read")
     files = foreign.load(spark, str(tmp_path))
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "preferences.txt").write_text("x" * 9_000_000)
+    report = {r["name"].split("/")[-1]: (r["kind"], r["read"]) for r in foreign.sources_report(foreign.load(spark, str(tmp_path))).collect()}
+    assert report == {"memories.md": ("memory", True), "conversations.json": ("conversation", False), "user.json": ("account", False), "preferences.txt": ("memory", True)}
+    assert foreign.load(spark, str(tmp_path)).where("name like '%preferences.txt'").head()["content"] == ""
+    (tmp_path / "other" / "preferences.txt").unlink()
     kinds = {r["name"].split("/")[-1]: r["kind"] for r in files.select("name", foreign.file_kind(F.col("name")).alias("kind")).collect()}
     assert kinds == {"memories.md": "memory", "conversations.json": "conversation", "user.json": "account"}
     rows = foreign.records(foreign.entries(files), "list", F.lit(T0)).collect()
