@@ -1,7 +1,7 @@
 """A store with the gate in front of it: save, recall, forget, expired, compact, export, import.
 
-One writer at a time: the table at `path` is replaced as a whole by each change. Every call takes the
-instant it happens at. Outcomes are DataFrames; each judged candidate goes into the decision log.
+A change appends what is new (sources.segments) under a lock that keeps writers in turn; the manifest it
+ends with can be committed by one writer only. Every call takes the instant it happens at. Outcomes are DataFrames; each judged candidate goes into the decision log.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from recordloom.operators.screen import logged_text, verdict
 from recordloom.session import stored
 from recordloom.sources import gatelog
 from recordloom.sources import store as files
+from recordloom.sources.manifest import writer_lock
+from recordloom.sources.segments import SegmentTable
 
 RECORD = (
     "seq long, id string, text string, type string, subject string, scope string, source string, status string, created_at timestamp, updated_at timestamp, "
@@ -33,17 +35,18 @@ def at(instant: dt.datetime) -> Column:
 
 
 class RecordStore:
-    def __init__(self, spark: SparkSession, path: str, policy: N.Policy = N.Policy(), embedder: Embedder | None = None, log: str | None = None):  # noqa: B008
-        self.spark, self.path, self.policy, self.embedder, self.log = spark, path, policy, embedder, log
+    def __init__(self, spark: SparkSession, path: str, policy: N.Policy = N.Policy(), embedder: Embedder | None = None, log: str | None = None, log_bytes: int | None = None):  # noqa: B008
+        """log_bytes: a log that has grown to so many bytes is set aside before the next lines, in place of the one set aside before."""
+        self.spark, self.path, self.policy, self.embedder, self.log, self.log_bytes = spark, path, policy, embedder, log, log_bytes
 
     # ---- reading ------------------------------------------------------------------------------
 
     def records(self) -> DataFrame:
         """All records, superseded and expired ones too, with seq in store order."""
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
-            return self.spark.createDataFrame([], RECORD)
-        return self.spark.read.schema(RECORD).parquet(self.path)
+        return self._table().rows()
+
+    def _table(self) -> SegmentTable:
+        return SegmentTable(self.spark, self.path, RECORD)
 
     def recall(self, query: str, now: dt.datetime, scope: str | None = None, k: int = 5, include_retired: bool = False) -> DataFrame:
         """The k best records, best first, without their vectors."""
@@ -64,13 +67,10 @@ class RecordStore:
 
     # ---- changing -----------------------------------------------------------------------------
 
-    def _replace(self, df: DataFrame) -> None:
-        files.write_atomically(df.select(*(c.split()[0] for c in RECORD.replace("struct<name:string,version:string>", "struct").split(", "))), self.path)
-
     def _append_log(self, df: DataFrame) -> None:
         if self.log is not None:
             have = set(df.columns)
-            gatelog.append(df.select(*(F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in gatelog.FIELDS)), self.log)
+            gatelog.append(df.select(*(F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in gatelog.FIELDS)), self.log, self.log_bytes)
 
     def save(self, candidates: DataFrame, now: dt.datetime) -> DataFrame:
         """Outcomes (n, id, action, rule, match_id, notice) of candidates(n, text[, content, memory, type, source, subject, scope, client]), offered in order of n (unique, from 0 up).
@@ -109,49 +109,61 @@ class RecordStore:
 
     def _integrate(self, offered: DataFrame, now: dt.datetime, write: bool = True, reason: str | None = None) -> DataFrame:
         """Candidates with action and match_id, after the store was changed by them."""
-        held = stored(self.records(), "held")
-        last = held.agg(F.coalesce(F.max("seq"), F.lit(0))).head()[0]
-        rows = stored(offered.withColumns({"seq": F.col("n") + F.lit(last + 1), "scope": N.scope_key(), "subject": N.subject_key()}), "candidates")
-        # a batch is judged at the instant of the call, whatever instants its records carry
-        judged = integrate.fold(rows.withColumn("created_at", at(now)), held, self.policy)
-        ids = held.select("seq", "id").unionByName(rows.select("seq", "id")).toDF("match_seq", "match_id")
-        outcome = stored(rows.join(judged.select("seq", "action", "match_seq"), "seq").join(ids, "match_seq", "left"), "outcome")
-        accepted = outcome.where(F.col("action").isin("created", "superseded"))
-        if write and accepted.limit(1).count():
-            fresh = accepted.select(
-                "seq", "id", "text", "type", "subject", "scope", "source", F.lit("active").alias("status"), "created_at", F.col("created_at").alias("updated_at"), "expires_at",
-                F.lit(None).cast("string").alias("superseded_by"), F.lit(None).cast("timestamp").alias("superseded_at"), "client", "embedding", F.lit(True).alias("fresh"),
-            )
-            every = held.withColumn("fresh", F.lit(False)).unionByName(fresh).withColumns({"_s": N.scope_key(), "_k": N.subject_key()})
-            # an active record gives way to the next accepted one of its scope and subject; the others have no key to meet on
-            w = Window.partitionBy("_s", F.coalesce("_k", F.concat(F.lit("\0"), F.col("seq").cast("string")))).orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-            nxt = F.min(F.when(F.col("fresh"), F.struct("seq", "id"))).over(w)
-            every = every.withColumn("_n", nxt).withColumn("_r", (F.col("status") == "active") & F.col("_n").isNotNull())
-            retired = {"status": F.when(F.col("_r"), "superseded").otherwise(F.col("status")), "superseded_by": F.when(F.col("_r"), F.col("_n.id")).otherwise(F.col("superseded_by"))}
-            retired |= {c: F.when(F.col("_r"), at(now)).otherwise(F.col(c)) for c in ("superseded_at", "updated_at")}
-            self._replace(age.compacted(every.withColumns(retired), at(now), self.policy))
-        if write:
-            decision = F.when(F.col("action") == "created", "saved").otherwise(F.col("action"))
-            self._append_log(outcome.select(at(now).alias("ts"), decision.alias("decision"), F.lit(reason).cast("string").alias("reason"), "type", "subject", "source", "scope", F.col("client.name").alias("client"), "text"))
+        if not write:
+            return self._judged(self._table(), offered, now)
+        with writer_lock(self.spark, self.path):
+            table = self._table()
+            outcome = self._judged(table, offered, now)
+            accepted = outcome.where(F.col("action").isin("created", "superseded"))
+            if accepted.limit(1).count():
+                fresh = accepted.select(
+                    "seq", "id", "text", "type", "subject", "scope", "source", F.lit("active").alias("status"), "created_at", F.col("created_at").alias("updated_at"), "expires_at",
+                    F.lit(None).cast("string").alias("superseded_by"), F.lit(None).cast("timestamp").alias("superseded_at"), "client", "embedding",
+                )
+                table.append(fresh, self._retired(table.rows(), accepted, now), self._grace_end(now))
+        decision = F.when(F.col("action") == "created", "saved").otherwise(F.col("action"))
+        self._append_log(outcome.select(at(now).alias("ts"), decision.alias("decision"), F.lit(reason).cast("string").alias("reason"), "type", "subject", "source", "scope", F.col("client.name").alias("client"), "text"))
         return outcome
 
+    def _judged(self, table: SegmentTable, offered: DataFrame, now: dt.datetime) -> DataFrame:
+        rows = stored(offered.withColumns({"seq": F.col("n") + F.lit(table.state["last"] + 1), "scope": N.scope_key(), "subject": N.subject_key()}), "candidates")
+        # a batch is judged at the instant of the call, whatever instants its records carry
+        judged = stored(integrate.fold(rows.withColumn("created_at", at(now)), table.rows(), self.policy), "judged")
+        met = judged.where("match_seq is not null").select(F.col("match_seq").alias("seq")).distinct()
+        ids = table.rows().select("seq", "id").unionByName(rows.select("seq", "id")).join(met, "seq", "left_semi").toDF("match_seq", "match_id")
+        return stored(rows.join(judged.select("seq", "action", "match_seq", "near"), "seq").join(ids, "match_seq", "left"), "outcome")
+
+    @staticmethod
+    def _retired(held: DataFrame, accepted: DataFrame, now: dt.datetime) -> DataFrame:
+        """(seq, superseded_by, superseded_at): active records give way to the next accepted one of their scope and subject."""
+        key = ["_s", "_k"]
+        new = accepted.where("subject is not null").select(F.col("scope").alias("_s"), F.col("subject").alias("_k"), "seq", "id")
+        first = new.groupBy(*key).agg(F.min_by("id", "seq").alias("superseded_by"))
+        old = held.where("status = 'active'").select(N.scope_key().alias("_s"), N.subject_key().alias("_k"), "seq").join(first, key).select("seq", "superseded_by")
+        within = new.withColumn("superseded_by", F.lead("id").over(Window.partitionBy(*key).orderBy("seq"))).where("superseded_by is not null").select("seq", "superseded_by")
+        return old.unionByName(within).withColumn("superseded_at", at(now))
+
+    def _grace_end(self, now: dt.datetime) -> int:
+        """Records that expired by this instant (epoch microseconds) are past their grace."""
+        now = now if now.tzinfo else now.replace(tzinfo=dt.UTC)
+        return int(now.timestamp() * 1_000_000) - int(self.policy.grace_days * 86_400_000_000)
+
     def forget(self, ids: DataFrame, now: dt.datetime) -> DataFrame:
         """Results of ids(ask_id, id, scope); the records found are removed and logged."""
-        held = stored(self.records(), "held")
-        results = stored(forget.resolve(held, ids), "forgotten")
-        gone = held.join(results.where("result = 'ok'").select("seq").distinct(), "seq", "left_semi")
-        if gone.limit(1).count():
-            self._append_log(gone.select(at(now).alias("ts"), F.lit("forgotten").alias("decision"), "type", "subject", "source", "scope", F.col("client.name").alias("client"), "text"))
-            self._replace(held.join(gone.select("seq"), "seq", "left_anti"))
+        with writer_lock(self.spark, self.path):
+            table = self._table()
+            results = stored(forget.resolve(table.rows(), ids), "forgotten")
+            gone = results.where("result = 'ok'").select("seq").distinct()
+            if gone.limit(1).count():
+                lines = stored(table.rows().join(gone, "seq", "left_semi").select(at(now).alias("ts"), F.lit("forgotten").alias("decision"), "type", "subject", "source", "scope", F.col("client.name").alias("client"), "text"), "forgotten-lines")
+                table.remove(gone)
+                self._append_log(lines)
         return results
 
     def compact(self, now: dt.datetime) -> int:
         """Removes what is past its grace; returns how many records."""
-        held = stored(self.records(), "held")
-        removed = age.removable(held, at(now), self.policy).count()
-        if removed:
-            self._replace(age.compacted(held, at(now), self.policy))
-        return removed
+        with writer_lock(self.spark, self.path):
+            return self._table().remove_expired(self._grace_end(now))
 
     def export(self, path: str, now: dt.datetime, active_only: bool = False) -> None:
         files.write_export(self.records(), path, now.isoformat(), "recordloom", active_only)

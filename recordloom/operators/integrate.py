@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.operators.normalize import RELATED_AT, Policy, live, scope_key, subject_key, text_key, trust
+from recordloom.operators.normalize import DEFAULT_SCOPE, RELATED_AT, Policy, live, scope_key, subject_key, text_key, trust
 from recordloom.session import stored
 
 
@@ -98,7 +98,27 @@ def chain_ends(df: DataFrame) -> DataFrame:
     return step.join(ends.select("seq", F.lit(True).alias("_ok")), "seq", "left").select("seq", F.when(F.col("_ok"), F.col("end")).alias("end"), F.when(F.col("_ok"), F.col("length")).alias("length"))
 
 
-OUTCOME = "seq long, scope_key string, subject_key string, action string, match_seq long, retired int, related int"
+OUTCOME = "seq long, scope_key string, subject_key string, action string, match_seq long, retired int, related int, near array<struct<seq:long,similarity:double>>"
+HINTS = 3  # of the similar records that an outcome names
+
+
+class Stack:
+    """Vectors of one length that come one by one, and the records they are of."""
+
+    def __init__(self, dim: int):
+        self.vectors, self.records = np.empty((16, dim)), []
+
+    def put(self, r: dict) -> None:
+        n = len(self.records)
+        if n == len(self.vectors):
+            self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
+        self.vectors[n] = r.pop("vector")
+        self.records.append(r)
+
+    def near(self, vector: np.ndarray, least: float) -> list[tuple[float, dict]]:
+        """In order of arrival; similarities to nine digits."""
+        cos = np.round(self.vectors[: len(self.records)] @ vector, 9)
+        return [(float(cos[i]), self.records[i]) for i in np.flatnonzero(cos >= least).tolist()]
 
 
 class ScopeState:
@@ -107,15 +127,15 @@ class ScopeState:
     def __init__(self, duplicate_at: float, related_at: float):
         self.texts: dict[str, list[dict]] = {}
         self.subjects: dict[str, list[dict]] = {}
-        self.vectors: dict[int, list[dict]] = {}
+        self.vectors: dict[int, Stack] = {}
         self.duplicate_at, self.related_at = duplicate_at, related_at
 
     def put(self, r: dict) -> None:
         self.texts.setdefault(r["text_key"], []).append(r)
         if r["subject_key"]:
             self.subjects.setdefault(r["subject_key"], []).append(r)
-        if r["vector"] is not None:
-            self.vectors.setdefault(len(r["vector"]), []).append(r)
+        if (v := r["vector"]) is not None:
+            (self.vectors.get(len(v)) or self.vectors.setdefault(len(v), Stack(len(v)))).put(r)
 
     @staticmethod
     def live(r: dict, now: int) -> bool:
@@ -123,34 +143,33 @@ class ScopeState:
 
     def near(self, vector: np.ndarray | None, now: int) -> list[tuple[float, dict]]:
         """Live records at least related, most similar first."""
-        if vector is None:
-            return []
-        rows = [r for r in self.vectors.get(len(vector), []) if self.live(r, now)]
-        if not rows:
+        if vector is None or len(vector) not in self.vectors:
             return []
-        cos = np.stack([r["vector"] for r in rows]) @ vector
-        return sorted(((float(c), r) for c, r in zip(cos, rows, strict=True) if c >= self.related_at), key=lambda x: -x[0])
+        return sorted(((c, r) for c, r in self.vectors[len(vector)].near(vector, self.related_at) if self.live(r, now)), key=lambda x: -x[0])
 
-    def offer(self, r: dict, now: int) -> tuple[str, int | None, int, int]:
-        """(action, seq of what it met, records retired, related records)."""
+    def offer(self, r: dict, now: int) -> tuple[str, int | None, int, int, list[dict]]:
+        """(action, seq of what it met, records retired, related records, the most similar ones)."""
         for other in self.texts.get(r["text_key"], []):
             if self.live(other, now):
-                return "duplicate", other["seq"], 0, 0
+                return "duplicate", other["seq"], 0, 0, []
         retired: list[dict] = []
         if r["subject_key"]:
             held = [x for x in self.subjects.get(r["subject_key"], []) if x["active"]]
             if held and r["trust"] < max(x["trust"] for x in held):
-                return "conflict", held[0]["seq"], 0, 0
+                return "conflict", held[0]["seq"], 0, 0, []
             for x in held:
                 x["active"] = False
+            if held:
+                self.subjects[r["subject_key"]] = []
             retired = held
         near = [] if retired else self.near(r["vector"], now)
+        hints = [{"seq": x["seq"], "similarity": round(c, 6)} for c, x in near[:HINTS]]
         if near and near[0][0] >= self.duplicate_at:
-            return "possible_duplicate", near[0][1]["seq"], 0, 0
+            return "possible_duplicate", near[0][1]["seq"], 0, 0, hints
         self.put(r)
         if retired:
-            return "superseded", retired[-1]["seq"], len(retired), 0
-        return "created", None, 0, len(near)
+            return "superseded", retired[-1]["seq"], len(retired), 0, []
+        return "created", None, 0, len(near), hints
 
 
 def unit(values: list | None) -> np.ndarray | None:
@@ -165,7 +184,7 @@ def unit(values: list | None) -> np.ndarray | None:
 def fold(candidates: DataFrame, store: DataFrame | None = None, policy: Policy = Policy(), order: str = "seq") -> DataFrame:  # noqa: B008
     """OUTCOME rows of candidates(seq, text, scope, subject, source, created_at, expires_at, embedding) offered in order, after the rows of store.
 
-    Each candidate is judged at its created_at. A scope is streamed through one task in order, holding its texts, subjects and vectors, not its rows: the rule is sequential within a scope."""
+    Each candidate is judged at its created_at. Of the store only active records of the candidates' scopes matter, and only those are shuffled. A scope is streamed through one task in order, holding its texts, subjects and vectors, not its rows: the rule is sequential within a scope."""
     wanted = {"seq": "long", "text": "string", "scope": "string", "subject": "string", "source": "string", "status": "string", "created_at": "timestamp", "expires_at": "timestamp", "embedding": "array<double>"}
 
     def shaped(df: DataFrame, held: bool) -> DataFrame:
@@ -178,7 +197,8 @@ def fold(candidates: DataFrame, store: DataFrame | None = None, policy: Policy =
 
     rows = shaped(candidates, False)
     if store is not None:
-        rows = rows.unionByName(shaped(store, True))
+        scopes = candidates.select(scope_key().alias("scope_key") if "scope" in candidates.columns else F.lit(DEFAULT_SCOPE).alias("scope_key")).distinct()
+        rows = rows.unionByName(shaped(store, True).where("active").join(scopes, "scope_key", "left_semi").select(rows.columns))
     duplicate_at = policy.duplicate_at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,13 +214,21 @@ def fold(candidates: DataFrame, store: DataFrame | None = None, policy: Policy =
                 else:
                     r["active"] = True
                     out.append((r["seq"], scope, r["subject_key"], *state.offer(r, r["created"] or 0)))
-            types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
-            names = ["seq", "scope_key", "subject_key", "action", "match_seq", "retired", "related"]
+            types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.struct([("seq", pa.int64()), ("similarity", pa.float64())]))]
+            names = ["seq", "scope_key", "subject_key", "action", "match_seq", "retired", "related", "near"]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=names)
 
     return rows.repartition("scope_key").sortWithinPartitions("scope_key", F.desc("held"), "_order", "seq").mapInArrow(run, OUTCOME)
 
 
+def standing(accepted: DataFrame, *order: str) -> DataFrame:
+    """Accepted records with the status they have now: a later accepted one of their scope and subject retires them. `order` tells what is later."""
+    keyed = accepted.withColumns({"_s": scope_key(), "_k": subject_key()})
+    last = keyed.where("_k is not null").groupBy("_s", "_k").agg(F.max(F.struct(*order)).alias("_last"))
+    retired = F.col("_last").isNotNull() & (F.struct(*order) < F.col("_last"))
+    return keyed.join(last, ["_s", "_k"], "left").withColumn("status", F.when(retired, "superseded").otherwise("active")).select(*accepted.columns, *(["status"] if "status" not in accepted.columns else []))
+
+
 def import_report(outcomes: DataFrame) -> DataFrame:
     """One row: how many candidates met each fate, and how many were imported."""
     n = lambda a: F.count_if(F.col("action") == a).alias(a)

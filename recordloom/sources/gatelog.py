@@ -25,8 +25,21 @@ def lines(df: DataFrame) -> DataFrame:
     return df.select("ts", "decision", *(given(c).alias(c) for c in ("reason", "type", "subject", "source")), scope.alias("scope"), given("client").alias("client"), cut(F.col("text"), MOST).alias("text"))
 
 
-def append(df: DataFrame, path: str) -> None:
-    """JSON lines in folders by day, without null fields."""
+def rotate(spark, path: str, most_bytes: int) -> bool:  # noqa: ANN001
+    """A log of at least so many bytes is set aside as path.1, in place of the one set aside before; says whether it was."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    log, aside = hadoop.Path(path.rstrip("/")), hadoop.Path(f"{path.rstrip('/')}.1")
+    fs = log.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(log) or fs.getContentSummary(log).getLength() < most_bytes:
+        return False
+    fs.delete(aside, True)
+    return fs.rename(log, aside)
+
+
+def append(df: DataFrame, path: str, most_bytes: int | None = None) -> None:
+    """JSON lines in folders by day, without null fields; a log that has grown to most_bytes is set aside first."""
+    if most_bytes is not None:
+        rotate(df.sparkSession, path, most_bytes)
     lines(df).withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").option("ignoreNullFields", "true").json(path)
 
 

@@ -43,6 +43,7 @@ def iso(c: Column | str, digits: int = 3) -> Column:
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, doc): the JSON documents of a file or folder as whole texts; none if nothing is there."""
+    recover(spark, path)
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
@@ -111,9 +112,22 @@ def envelope(df: DataFrame, exported_at: str, generator: str, active_only: bool
     return rows.select("seq", F.to_json(F.struct(*fields), {"ignoreNullFields": "true"}).alias("record"))
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Ends what a crash has left of write_atomically: if nothing is at path, what was there before comes back."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path.rstrip("/"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(target) and fs.exists(target.getParent()):
+        old = [s.getPath() for s in fs.listStatus(target.getParent()) if s.getPath().getName().startswith(f"{target.getName()}.old-")]
+        if old:
+            fs.rename(old[0], target)
+
+
 def write_atomically(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """df in place of what is at path: written beside it first, then renamed; a failure leaves the old data."""
+    """df in place of what is at path: written beside it first, then renamed; a failure leaves the old data, or lets recover() bring it back."""
     spark = df.sparkSession
+    path = path.rstrip("/")
+    recover(spark, path)
     hadoop = spark._jvm.org.apache.hadoop.fs
     target, fresh, old = (hadoop.Path(p) for p in (path, f"{path}.new-{uuid.uuid4().hex[:8]}", f"{path}.old-{uuid.uuid4().hex[:8]}"))
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())

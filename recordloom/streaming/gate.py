@@ -3,7 +3,8 @@
 supersession_stream keeps, per scope and subject, the greatest trust so far: state of a few bytes per
 key, spread by key. fold_stream applies the exact rule of integrate.fold to each micro-batch against a
 stored table, of which it is the only writer; a batch is written once per batch number, so a repeated
-batch after a failure changes nothing. Rows without a subject are always created.
+batch after a failure changes nothing. The table is only ever added to: what a later record has retired
+follows from the records themselves (integrate.standing). Rows without a subject are always created.
 """
 
 from __future__ import annotations
@@ -17,17 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from recordloom.operators.integrate import fold
+from recordloom.operators.integrate import fold, standing
 from recordloom.operators.normalize import Policy, scope_key, subject_key, trust
 from recordloom.session import shared_dir
+from recordloom.sources.manifest import Folder
 
 
-def file_stream(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """A stream over the parquet files a table was read from, with its schema."""
+def file_stream(spark: SparkSession, df: DataFrame, files_per_batch: int | None = None) -> DataFrame:
+    """A stream over the parquet files a table was read from, with its schema; at most so many files to a micro-batch."""
     names = df.inputFiles()
     folder, first = names[0].rsplit("/", 1)
     # a table of one file may lie beside others
-    raw = spark.readStream.schema(spark.read.parquet(*names).schema).option("pathGlobFilter", first if len(names) == 1 else "*.parquet").parquet(folder)
+    raw = spark.readStream.schema(spark.read.parquet(*names).schema).option("pathGlobFilter", first if len(names) == 1 else "*.parquet")
+    raw = (raw.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else raw).parquet(folder)
     return raw.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in df.schema))
 
 
@@ -71,10 +74,12 @@ def fold_stream(stream: DataFrame, store_path: str, log_path: str, checkpoint: s
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        where = hadoop.Path(store_path)
-        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-        held = spark.read.parquet(store_path).where(F.col("batch") != number).drop("batch") if fs.exists(where) else None
+        there = Folder(spark, store_path).names()
+        held = None
+        if any(n.startswith("batch=") and n != f"batch={number}" for n in there):
+            scopes = batch.select(scope_key().alias("_scope")).distinct()
+            before = spark.read.option("basePath", store_path).parquet(store_path).where(F.col("batch") < number)
+            held = standing(before.withColumn("_scope", scope_key()).join(scopes, "_scope", "left_semi").drop("_scope"), "batch", "seq")
         outcomes = fold(batch, held, policy)
         outcomes.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
         kept = spark.read.parquet(f"{log_path}/batch={number}").where(F.col("action").isin("created", "superseded")).select("seq")

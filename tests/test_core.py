@@ -307,3 +307,53 @@ def test_streams(spark, tmp_path):
     gate.fold_stream(gate.file_stream(spark, table), str(tmp_path / "store"), str(tmp_path / "log"), str(tmp_path / "state")).awaitTermination()
     logged = {r["seq"]: r["action"] for r in spark.read.parquet(str(tmp_path / "log")).collect()}
     assert logged == {r["seq"]: r["action"] for r in integrate.fold(df).collect()}
+
+
+def test_fold_stream_over_batches_and_a_restart(spark, tmp_path):
+    ue = "user-explicit"
+    facts = [("lives in Berlin", "home"), ("lives in Paris", "home"), ("lives in Berlin", "home"), ("likes tea", None), ("likes tea", None), ("lives in Paris", "home"), ("likes Tea", "drink"), ("lives in Rome", "home"), ("lives in Rome", "home"), ("drinks water", "drink"), ("likes tea", "drink")]
+    rows = [(i, t, [None, "x"][i % 7 == 6], s, [ue, "agent-inferred"][i % 5 == 3], T0 + dt.timedelta(days=i), None, [1.0, float(i)] if s is None else None) for i, (t, s) in enumerate(facts)]
+    df = spark.createDataFrame(rows, CANDIDATES)
+    out = lambda n, lo, hi: df.where(F.col("seq").between(lo, hi)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # noqa: E731, ARG005
+    paths = [str(tmp_path / n) for n in ("store", "log", "state")]
+    for n, (lo, hi) in enumerate([(0, 1), (2, 2), (3, 5)]):
+        out(n, lo, hi)
+    table = spark.read.parquet(str(tmp_path / "in"))
+    stream = lambda: gate.file_stream(spark, spark.read.parquet(str(tmp_path / "in")), 1)
+    assert len(table.inputFiles()) == 3
+    gate.fold_stream(stream(), *paths).awaitTermination()
+    for n, (lo, hi) in enumerate([(6, 8), (9, 10)]):
+        out(n, lo, hi)
+        gate.fold_stream(stream(), *paths).awaitTermination()  # a new query goes on where the last one stopped
+    logged = {r["seq"]: (r["action"], r["match_seq"]) for r in spark.read.parquet(paths[1]).collect()}
+    assert logged == {r["seq"]: (r["action"], r["match_seq"]) for r in integrate.fold(df).collect()}
+    assert [logged[i][0] for i in range(3)] == ["created", "superseded", "superseded"]
+    assert spark.read.parquet(paths[1]).select("batch").distinct().count() == 5
+
+
+def test_hints_name_the_most_similar(spark):
+    rows = [(i, f"t{i}", None, None, None, T0, None, [1.0, x]) for i, x in enumerate([0.0, 0.9, 1.2, 1.1, -0.7])]
+    got = {r["seq"]: [(h["seq"], h["similarity"]) for h in r["near"]] for r in integrate.fold(spark.createDataFrame(rows, CANDIDATES)).collect()}
+    assert got[0] == [] and [s for s, _ in got[2]] == [1, 0] and [s for s, _ in got[3]] == [1, 0] and [s for s, _ in got[4]] == [0]
+
+
+def test_a_crash_between_the_renames_loses_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    store.write_atomically(spark.range(3), path)
+    (tmp_path / "t").rename(tmp_path / "t.old-1")  # the moment between the two renames
+    store.write_atomically(spark.range(4), str(tmp_path / "other"))
+    store.recover(spark, path)
+    assert spark.read.parquet(path).count() == 3
+    (tmp_path / "t").rename(tmp_path / "t.old-2")
+    store.write_atomically(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_log_rotation(spark, tmp_path):
+    df = spark.createDataFrame([(T0, "saved", None, None, None, "s", "w", None, "x" * 400)], "ts timestamp, decision string, reason string, type string, subject string, source string, scope string, client string, text string")
+    path = str(tmp_path / "log")
+    for _ in range(3):
+        gatelog.append(df, path, 900)
+    assert spark.read.json(path).count() + spark.read.json(f"{path}.1").count() == 3 if (tmp_path / "log.1").exists() else spark.read.json(path).count() == 3
+    gatelog.append(df, path, 1)
+    assert spark.read.json(path).count() == 1 and (tmp_path / "log.1").exists()
