@@ -169,20 +169,65 @@ def chain_ends(s: SparkSession, d: str) -> DataFrame:
     return integrate.chain_ends(read(s, d, "memories"))
 
 
-@query()
+def sql_fold_rows(order: str, source: str) -> str:
+    """What the fold needs of records or candidates; vectors without a direction are none."""
+    return f"""SELECT {order}, {sql_scope()} AS scope_key, {sql_subject()} AS subject_key, coalesce(lower({sql_trim('text')}), '') AS text_key, CAST({SQL_TRUST} AS BIGINT) AS trust, coalesce(epoch_us(created_at), 0) AS created, epoch_us(expires_at) AS expires,
+CASE WHEN len(list_filter(embedding, lambda x: x IS NULL)) = 0 AND list_sum(list_transform(embedding, lambda x: x * x)) > 0 THEN embedding END AS e FROM ({source})"""
+
+
+def sql_gate_fold(cand: str, held: str) -> str:
+    """The fold as recursion over the candidates of each scope: the state is the list of those accepted so far. cand has c, the order; held has seq.
+
+    A record is active as long as no accepted later candidate has its subject; texts, subjects and vectors that may meet are paired before."""
+    return f"""WITH RECURSIVE c0 AS MATERIALIZED ({cand}), h AS MATERIALIZED ({held}),
+c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY scope_key ORDER BY c) AS n FROM c0),
+same AS MATERIALIZED (SELECT scope_key, subject_key, list(n ORDER BY n) AS ns FROM c WHERE subject_key IS NOT NULL GROUP BY ALL),
+ht AS MATERIALIZED (SELECT c.scope_key, c.n, list({{'seq': h.seq, 'same': coalesce(same.ns, [])}} ORDER BY h.seq) AS l FROM c JOIN h ON h.scope_key = c.scope_key AND h.text_key = c.text_key AND (h.expires IS NULL OR h.expires > c.created) LEFT JOIN same ON same.scope_key = h.scope_key AND same.subject_key = h.subject_key GROUP BY ALL),
+ct AS MATERIALIZED (SELECT c.scope_key, c.n, list({{'seq': p.n, 'same': list_filter(coalesce(same.ns, []), lambda x: x > p.n)}} ORDER BY p.n) AS l FROM c JOIN c p ON p.scope_key = c.scope_key AND p.n < c.n AND p.text_key = c.text_key AND (p.expires IS NULL OR p.expires > c.created) LEFT JOIN same ON same.scope_key = p.scope_key AND same.subject_key = p.subject_key GROUP BY ALL),
+hs AS MATERIALIZED (SELECT scope_key, subject_key, max(trust) AS most, min(seq) AS first, max(seq) AS last, count(*) AS k FROM h WHERE subject_key IS NOT NULL GROUP BY ALL),
+hv AS MATERIALIZED (SELECT c.scope_key, c.n, list({{'seq': h.seq, 'same': coalesce(same.ns, []), 'cos': round(list_cosine_similarity(c.e, h.e), 9)}} ORDER BY round(list_cosine_similarity(c.e, h.e), 9) DESC, h.seq) AS l FROM c JOIN h ON h.scope_key = c.scope_key AND len(c.e) = len(h.e) AND (h.expires IS NULL OR h.expires > c.created) LEFT JOIN same ON same.scope_key = h.scope_key AND same.subject_key = h.subject_key WHERE list_cosine_similarity(c.e, h.e) >= 0.6 - 1e-6 GROUP BY ALL),
+cv AS MATERIALIZED (SELECT c.scope_key, c.n, list({{'seq': p.n, 'same': list_filter(coalesce(same.ns, []), lambda x: x > p.n), 'cos': round(list_cosine_similarity(c.e, p.e), 9)}} ORDER BY round(list_cosine_similarity(c.e, p.e), 9) DESC, p.n) AS l FROM c JOIN c p ON p.scope_key = c.scope_key AND p.n < c.n AND len(c.e) = len(p.e) AND (p.expires IS NULL OR p.expires > c.created) LEFT JOIN same ON same.scope_key = p.scope_key AND same.subject_key = p.subject_key WHERE list_cosine_similarity(c.e, p.e) >= 0.6 - 1e-6 GROUP BY ALL),
+a AS MATERIALIZED (SELECT c.scope_key, c.n, c.c, c.subject_key, c.trust, same.ns, coalesce(ht.l, []) AS ht, coalesce(ct.l, []) AS ct, coalesce(hv.l, []) AS hv, coalesce(cv.l, []) AS cv, hs.most, hs.first, hs.last, hs.k FROM c LEFT JOIN same USING (scope_key, subject_key) LEFT JOIN ht USING (scope_key, n) LEFT JOIN ct USING (scope_key, n) LEFT JOIN hv USING (scope_key, n) LEFT JOIN cv USING (scope_key, n) LEFT JOIN hs USING (scope_key, subject_key)),
+t AS MATERIALIZED (SELECT scope_key, n, trust FROM c),
+f AS (SELECT scope_key, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(n BIGINT, trust BIGINT)[]) AS acc, CAST(NULL AS BIGINT) AS c, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS BIGINT) AS match_held, CAST(NULL AS BIGINT) AS match_cand, CAST(NULL AS BIGINT) AS retired, CAST(NULL AS BIGINT) AS related FROM (SELECT DISTINCT scope_key FROM c0)
+UNION ALL SELECT scope_key, n, CASE WHEN action IN ('created', 'superseded') THEN list_append(acc, {{'n': n, 'trust': trust}}) ELSE acc END, c, action,
+ CASE action WHEN 'duplicate' THEN dup_h WHEN 'conflict' THEN CASE WHEN mine IS NULL THEN first END WHEN 'superseded' THEN CASE WHEN mine IS NULL THEN last END WHEN 'possible_duplicate' THEN CASE WHEN best_h >= best_c THEN near_h END END,
+ CASE action WHEN 'duplicate' THEN CASE WHEN dup_h IS NULL THEN dup_c END WHEN 'conflict' THEN mine WHEN 'superseded' THEN mine WHEN 'possible_duplicate' THEN CASE WHEN best_h < best_c THEN near_c END END,
+ CASE WHEN action = 'superseded' THEN CASE WHEN mine IS NULL THEN k ELSE 1 END ELSE 0 END, CASE WHEN action = 'created' THEN related ELSE 0 END
+FROM (SELECT *, CASE WHEN dup_h IS NOT NULL OR dup_c IS NOT NULL THEN 'duplicate' WHEN has AND trust < top THEN 'conflict' WHEN has THEN 'superseded' WHEN greatest(best_h, best_c) >= 0.88 THEN 'possible_duplicate' ELSE 'created' END AS action
+FROM (SELECT *, mine IS NOT NULL OR k IS NOT NULL AS has, CASE WHEN mine IS NOT NULL THEN list_filter(acc, lambda x: x.n = mine)[1].trust ELSE most END AS top,
+ live_ht[1].seq AS dup_h, live_ct[1].seq AS dup_c, live_hv[1].seq AS near_h, coalesce(live_hv[1].cos, -1) AS best_h, live_cv[1].seq AS near_c, coalesce(live_cv[1].cos, -1) AS best_c, len(live_hv) + len(live_cv) AS related
+FROM (SELECT a.*, f.acc, list_max(list_filter(a.ns, lambda x: list_contains(f.ids, x))) AS mine,
+ list_filter(a.ht, lambda x: NOT list_has_any(x.same, f.ids)) AS live_ht, list_filter(a.ct, lambda x: list_contains(f.ids, x.seq) AND NOT list_has_any(x.same, f.ids)) AS live_ct,
+ list_filter(a.hv, lambda x: x.cos >= 0.6 AND NOT list_has_any(x.same, f.ids)) AS live_hv, list_filter(a.cv, lambda x: x.cos >= 0.6 AND list_contains(f.ids, x.seq) AND NOT list_has_any(x.same, f.ids)) AS live_cv
+FROM (SELECT scope_key, n, acc, list_transform(acc, lambda x: x.n) AS ids FROM f) f JOIN a ON a.scope_key = f.scope_key AND a.n = f.n + 1))))
+SELECT f.c, f.action, f.match_held, m.c AS match_cand, f.retired, f.related FROM f LEFT JOIN c m ON m.scope_key = f.scope_key AND m.n = f.match_cand WHERE f.n > 0"""
+
+
+SQL_GATE_FOLD = f"""SELECT c // 4294967296 AS batch_no, c % 4294967296 AS pos, action, coalesce(match_held, -1 - match_cand) AS match_seq, retired
+FROM ({sql_gate_fold(sql_fold_rows("batch_no * 4294967296 + pos AS c", f"SELECT *, CAST(NULL AS TIMESTAMPTZ) AS expires_at, CAST(NULL AS DOUBLE[]) AS embedding FROM ({SQL_ITEMS})"), sql_fold_rows("seq", "SELECT * FROM memories WHERE coalesce(status, 'active') = 'active'"))})"""
+
+
+@query(SQL_GATE_FOLD)
 def gate_fold_exact(s: SparkSession, d: str) -> DataFrame:
     """The order-dependent fold of all batches into the store."""
     order = F.shiftleft("batch_no", 32) + F.col("pos")
     candidates = items(s, d).withColumn("seq", -1 - order).withColumn("arrival", order)
     held = read(s, d, "memories").withColumn("arrival", F.col("seq"))
-    return integrate.fold(candidates, held, order="arrival").select(F.shiftright(-1 - F.col("seq"), 32).alias("batch_no"), (-1 - F.col("seq")).bitwiseAND((1 << 32) - 1).alias("pos"), "action", "match_seq", "retired")
+    return integrate.fold(candidates, held, order="arrival").select(F.shiftright(-1 - F.col("seq"), 32).alias("batch_no"), (-1 - F.col("seq")).bitwiseAND((1 << 32) - 1).alias("pos"), "action", "match_seq", F.col("retired").cast("long").alias("retired"))
 
 
-@query()
+@query(f"""SELECT {', '.join(f"count(*) FILTER (action = '{a}') AS {a}" for a in ("created", "superseded", "duplicate", "conflict", "possible_duplicate"))}, count(*) FILTER (action IN ('created', 'superseded')) AS imported, count(*) AS total FROM ({SQL_GATE_FOLD})""")
 def fold_report(s: SparkSession, d: str) -> DataFrame:
     return integrate.import_report(gate_fold_exact(s, d))
 
 
+@query(f"""SELECT c AS seq, action, match_cand AS match_seq, retired, related FROM ({sql_gate_fold(sql_fold_rows("seq AS c", "SELECT * FROM memories"), sql_fold_rows("seq", "SELECT * FROM memories WHERE false"))})""")
+def gate_fold_store(s: SparkSession, d: str) -> DataFrame:
+    """All records, in store order, folded into an empty store: with their vectors, so near-duplicates and related records come out, too."""
+    return integrate.fold(read(s, d, "memories")).select("seq", "action", "match_seq", F.col("retired").cast("long").alias("retired"), F.col("related").cast("long").alias("related"))
+
+
 @query(f"WITH i AS ({SQL_ITEMS}) SELECT batch_no, pos, row_number() OVER (PARTITION BY batch_no ORDER BY created_at, pos) AS place FROM i WHERE coalesce(status, 'active') = 'active'")
 def replay_order(s: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
