@@ -1,6 +1,6 @@
 """Recall: ranking stored records for queries.
 
-Queries are a bounded set (MOST_QUERIES, checked) sent to every task; records are scored where they are
+Queries are sent to every task in blocks of BLOCK_QUERIES; records are scored where they are
 read, each task keeps its best rows per query, and only those are shuffled. Scores are fuzzy-lexical,
 blended with the cosine of vectors where the query has one. Ties go to the smaller seq.
 
@@ -9,8 +9,8 @@ Null texts score as empty (0). A blank query asks for the most recent records by
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,9 @@ from recordloom.operators.integrate import unit
 from recordloom.operators.normalize import DUPLICATE_AT, LEXICAL_AT, RELATED_AT, SEMANTIC_AT, live, scope_key
 from recordloom.session import stored
 
-MOST_QUERIES = 10_000
+BLOCK_QUERIES = 10_000
+SCORES_AT_ONCE = 4_000_000  # entries of a matrix
+BLOCK_HELD = 65_536  # records of a scope that one task compares with a block of queries
 TOKEN_WEIGHT, TRIGRAM_WEIGHT, TYPE_BOOST = 0.75, 0.25, 0.15
 _SINGLES = "⺀-⿟々〇〡-〩〸-〻ぁ-ゖゝ-ゟァ-ヺヽ-ヿㇰ-ㇿ㐀-䶿一-鿿豈-龎\U00020000-\U0003FFFF"
 _WORD = re.compile(f"[{_SINGLES}]|[^\\W_{_SINGLES}]+")
@@ -56,36 +58,93 @@ def grams_of(text: str) -> frozenset[str]:
     return frozenset(padded[i : i + 3] for i in range(len(padded) - 2))
 
 
-class Scorer:
-    """Lexical scores of texts for one query; what was found out about a word is kept."""
-
-    def __init__(self, query: str):
-        self.stems = stems_of(query)
-        self.grams = [grams_of(s) for s in self.stems]
-        self.joined = " ".join(self.stems)
-        self.whole = grams_of(self.joined)
-        self.weight = [len(s) for s in self.stems]
-        self.known: dict[str, tuple[float, ...]] = {}
-        self.types = {t for t in ("identity", "project", "preference", "state") if stem_of(t) in self.stems}
-
-    def _word(self, word: str) -> tuple[float, ...]:
+class Asked:
+    """The queries of one scope, and lexical scores of many texts for all of them at once: matrix products over the few words and trigrams the queries have."""
+
+    def __init__(self, names: list, queries: list[str], vectors: list[np.ndarray | None]):
+        self.names = np.array(names, np.int64)
+        self.blank = np.array([not q.strip() for q in queries])
+        stems = [stems_of(q) for q in queries]
+        self.usable = np.array([bool(s) for s in stems])
+        #: distinct words of the queries, and the length each has in each query
+        self.words = sorted({w for s in stems for w in s})
+        number = {w: i for i, w in enumerate(self.words)}
+        self.lengths = np.zeros((len(self.words), len(stems)))
+        for q, s in enumerate(stems):
+            for w in s:
+                self.lengths[number[w], q] += len(w)
+        self.total = np.maximum(self.lengths.sum(axis=0), 1)
+        self.grams = [grams_of(w) for w in self.words]
+        self.having: dict[str, list[int]] = {}
+        for i, g in enumerate(self.grams):
+            for x in g:
+                self.having.setdefault(x, []).append(i)
+        whole = [grams_of(" ".join(s)) for s in stems]
+        self.gram_number = {g: i for i, g in enumerate(sorted({x for w in whole for x in w}))}
+        self.whole = np.zeros((len(self.gram_number), len(stems)), np.float32)
+        for q, w in enumerate(whole):
+            self.whole[[self.gram_number[x] for x in w], q] = 1
+        self.whole_size = np.array([len(w) for w in whole])
+        self.types = {t: np.array([stem_of(t) in s for s in stems]) for t in ("identity", "project", "preference", "state")}
+        self.by_length: dict[int, np.ndarray] = {}
+        for q, v in enumerate(vectors):
+            if v is not None:
+                self.by_length.setdefault(len(v), np.zeros((len(stems), len(v))))[q] = v
+        self.has_vector = np.array([v is not None for v in vectors])
+        self.known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _alike(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """(words of the queries, Dice coefficients) of at least FUZZY_FLOOR."""
         out = self.known.get(word)
         if out is None:
-            g = grams_of(word)
-            dice = [1.0 if s == word else 2 * len(g & q) / (len(g) + len(q)) for s, q in zip(self.stems, self.grams, strict=True)]
+            g, n = grams_of(word), {}
+            for x in g:
+                for i in self.having.get(x, ()):
+                    n[i] = n.get(i, 0) + 1
+            dice = {i: 1.0 if self.words[i] == word else 2 * c / (len(g) + len(self.grams[i])) for i, c in n.items()}
+            dice = {i: d for i, d in dice.items() if d >= FUZZY_FLOOR}
             if len(self.known) > 200_000:
                 self.known.clear()
-            out = self.known[word] = tuple(d if d >= FUZZY_FLOOR else 0.0 for d in dice)
+            out = self.known[word] = (np.fromiter(dice.keys(), np.int64, len(dice)), np.fromiter(dice.values(), float, len(dice)))
+        return out
+
+    def lexical(self, stems: list[list[str]], types: list[str | None]) -> np.ndarray:
+        """texts x queries."""
+        best = np.zeros((len(stems), len(self.words)))
+        at, word, dice = [], [], []
+        shared = np.zeros((len(stems), len(self.gram_number)), np.float32)
+        size = np.zeros(len(stems))
+        for r, s in enumerate(stems):
+            for w in set(s):
+                i, d = self._alike(w)
+                if len(i):
+                    at.append(np.full(len(i), r))
+                    word.append(i)
+                    dice.append(d)
+            g = grams_of(" ".join(s))
+            size[r] = len(g)
+            if hit := [n for x in g if (n := self.gram_number.get(x)) is not None]:
+                shared[r, hit] = 1
+        if at:
+            np.maximum.at(best, (np.concatenate(at), np.concatenate(word)), np.concatenate(dice))
+        token = best @ self.lengths / self.total
+        whole = 2.0 * (shared @ self.whole) / (size[:, None] + self.whole_size)
+        out = TOKEN_WEIGHT * token + TRIGRAM_WEIGHT * whole
+        for t, asks in self.types.items():
+            if asks.any():
+                rows = np.array([x == t for x in types], bool)
+                out[np.ix_(rows, asks)] = np.minimum(1.0, out[np.ix_(rows, asks)] + TYPE_BOOST)
+        out[np.array([not s for s in stems], bool)] = 0
+        out[:, ~self.usable] = 0
         return out
 
-    def score(self, stems: list[str], grams: frozenset[str], joined: str, type_: str | None) -> float:
-        if not self.stems or not stems:
-            return 0.0
-        best = [max(x) for x in zip(*map(self._word, stems), strict=True)]
-        token = sum(w * b for w, b in zip(self.weight, best, strict=True)) / sum(self.weight)
-        trigram = 1.0 if joined == self.joined else 2 * len(grams & self.whole) / (len(grams) + len(self.whole))
-        score = TOKEN_WEIGHT * token + TRIGRAM_WEIGHT * trigram
-        return min(1.0, score + TYPE_BOOST) if type_ in self.types else score
+    def semantic(self, vectors: list[np.ndarray | None]) -> np.ndarray:
+        out = np.zeros((len(vectors), len(self.names)))
+        for n, asked in self.by_length.items():
+            rows = [r for r, v in enumerate(vectors) if v is not None and len(v) == n]
+            if rows:
+                out[rows] += np.stack([vectors[r] for r in rows]) @ asked.T
+        return out
 
 
 def scored_text(text: str | None, subject: str | None) -> str:
@@ -93,65 +152,87 @@ def scored_text(text: str | None, subject: str | None) -> str:
     return f"{text or ''} {extra}" if extra else text or ""
 
 
+HALF = 1e-9  # added before rounding to six digits, so that what ends in a half goes up however it was summed
+
+
 def recall(store: DataFrame, queries: DataFrame, k: int = 5, as_of: F.Column | None = None, include_retired: bool = False) -> DataFrame:
     """(query_id, rank, seq, score, lexical, semantic): the k best records of the scope of each of queries(query_id, query, scope[, vector]).
 
-    store(seq, text, subject, type, scope, status, expires_at[, embedding]). A query without a scope asks in the default one."""
+    store(seq, text, subject, type, scope, status, expires_at[, embedding]). A query without a scope asks in the default one. More than BLOCK_QUERIES queries are asked in blocks of about that many, each in a scan of its own."""
     spark = store.sparkSession
     has_vector = "vector" in queries.columns
-    asked = queries.select("query_id", F.coalesce("query", F.lit("")).alias("query"), scope_key().alias("scope"), (F.col("vector").cast("array<double>") if has_vector else F.lit(None).cast("array<double>")).alias("vector")).limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries at once: ask in blocks")
-    shared = spark.sparkContext.broadcast([tuple(q) for q in asked])
-    visible = store if include_retired or as_of is None else store.where(live(as_of))
-    has_embedding = "embedding" in store.columns and has_vector
+    asked = queries.select("query_id", F.coalesce("query", F.lit("")).alias("query"), scope_key().alias("scope"), (F.col("vector").cast("array<double>") if has_vector else F.lit(None).cast("array<double>")).alias("vector"))
+    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    found = None
+    for i in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.expr(f"pmod(xxhash64(query_id), {blocks}) = {i}"))
+        part = _recall(store if include_retired or as_of is None else store.where(live(as_of)), [tuple(q) for q in block.collect()], k, has_vector)  # about BLOCK_QUERIES rows
+        found = part if found is None else found.unionByName(part)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "seq"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "seq", "score", *(F.round(F.col(c) + HALF, 6).alias(c) for c in ("lexical", "semantic")))
+
+
+def _recall(visible: DataFrame, asked: list[tuple], k: int, has_vector: bool) -> DataFrame:
+    """(query_id, score, seq, lexical, semantic): of each task the k best of each query."""
+    spark = visible.sparkSession
+    shared = spark.sparkContext.broadcast(asked)
+    has_embedding = "embedding" in visible.columns and has_vector
     source = visible.select("seq", "text", "subject", "type", scope_key().alias("scope"), *([F.col("embedding").cast("array<double>").alias("embedding")] if has_embedding else []))
-    source = source.join(F.broadcast(spark.createDataFrame([(s,) for s in {q["scope"] for q in asked}], "scope string")), "scope", "left_semi").select(*source.columns)
+    source = source.join(F.broadcast(spark.createDataFrame([(s,) for s in {q[2] for q in asked}], "scope string")), "scope", "left_semi").select(*source.columns)
+    names = ["query_id", "score", "seq", "lexical", "semantic"]
+    types = [pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
+
+    def scored(asks: Asked, rows: list[tuple]) -> list[np.ndarray]:
+        """(query_id, score, seq, lexical, semantic) of the rows that qualify."""
+        seq = np.array([r[0] for r in rows], np.int64)
+        lexical = asks.lexical([stems_of(scored_text(r[1], r[2])) for r in rows], [r[3] for r in rows])
+        semantic = asks.semantic([unit(r[4]) for r in rows]) if has_embedding else np.zeros_like(lexical)
+        score = np.where(asks.has_vector, LEXICAL_WEIGHT * np.clip(lexical, 0, 1) + SEMANTIC_WEIGHT * np.clip(semantic, 0, 1), lexical)
+        score = np.round(score + HALF, 6)
+        # a blank query asks for the latest records
+        score[:, asks.blank], lexical[:, asks.blank], semantic[:, asks.blank] = seq[:, None], 0, 0
+        r, q = np.nonzero((lexical + HALF >= LEXICAL_AT) | (semantic + HALF >= SEMANTIC_AT) | asks.blank)
+        return [asks.names[q], score[r, q], seq[r], lexical[r, q], semantic[r, q]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_scope: dict[str, list] = {}
         for name, query, scope, vector in shared.value:
-            by_scope.setdefault(scope, []).append((name, query.strip(), Scorer(query), unit(vector)))
-        best: dict[object, list] = {}
+            by_scope.setdefault(scope, []).append((name, query, unit(vector)))
+        by_scope = {s: Asked(*map(list, zip(*q, strict=True))) for s, q in by_scope.items()}
+        best = [np.zeros(0, t.to_pandas_dtype()) for t in types]
         for b in batches:
             columns = b.to_pydict()
-            for i, (seq, text, subject, type_, scope) in enumerate(zip(*(columns[c] for c in ("seq", "text", "subject", "type", "scope")), strict=True)):
-                stems = stems_of(scored_text(text, subject))
-                joined = " ".join(stems)
-                grams = grams_of(joined)
-                own = unit(columns["embedding"][i]) if has_embedding else None
-                for name, query, scorer, vector in by_scope.get(scope, []):
-                    if not query:
-                        entry = (float(seq), -seq, seq, 0.0, 0.0)
-                    else:
-                        lexical = scorer.score(stems, grams, joined, type_)
-                        semantic = float(vector @ own) if vector is not None and own is not None and len(vector) == len(own) else 0.0
-                        if lexical < LEXICAL_AT and semantic < SEMANTIC_AT:
-                            continue
-                        score = lexical if vector is None else LEXICAL_WEIGHT * min(1.0, max(0.0, lexical)) + SEMANTIC_WEIGHT * min(1.0, max(0.0, semantic))
-                        entry = (round(score, 6), -seq, seq, lexical, semantic)
-                    heap = best.setdefault(name, [])
-                    (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, entry)
-        rows = [(name, *e) for name, heap in best.items() for e in heap]
-        types = [pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in zip((0, 1, 3, 4, 5), types, strict=True)], names=["query_id", "score", "seq", "lexical", "semantic"])
-
-    found = source.mapInArrow(run, "query_id long, score double, seq long, lexical double, semantic double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "seq"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "seq", "score", F.round("lexical", 6).alias("lexical"), F.round("semantic", 6).alias("semantic"))
+            rows: dict[str, list] = {}
+            for row in zip(*(columns[c] for c in ("scope", "seq", "text", "subject", "type")), columns["embedding"] if has_embedding else repeat(None)):
+                rows.setdefault(row[0], []).append(row[1:])
+            for scope, of_scope in rows.items():
+                asks = by_scope[scope]
+                step = max(64, SCORES_AT_ONCE // (len(asks.names) + len(asks.words) + len(asks.gram_number)))
+                for i in range(0, len(of_scope), step):
+                    best = [np.concatenate(x) for x in zip(best, scored(asks, of_scope[i : i + step]), strict=True)]
+                    order = np.lexsort((best[2], -best[1], best[0]))
+                    name = best[0][order]
+                    first = np.maximum.accumulate(np.where(np.r_[True, name[1:] != name[:-1]], np.arange(len(name)), 0)) if len(name) else order
+                    order = order[np.arange(len(name)) - first < k]
+                    best = [x[order] for x in best]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(best, types, strict=True)], names=names)
+
+    return source.mapInArrow(run, "query_id long, score double, seq long, lexical double, semantic double")
 
 
 def similar(store: DataFrame, queries: DataFrame, floor: float, as_of: F.Column | None = None, block: int = 4096) -> DataFrame:
     """(seq, other_seq, similarity) of each of queries(seq, scope, embedding) with the records of its scope of at least that cosine, itself left out.
 
-    The queries are spread over blocks of their scope, each block meets the records of the scope that may be similar once: an equi-join on (scope, block), not a cross join; scores are matrix products."""
+    The queries are spread over blocks of their scope, the records over parts of BLOCK_HELD, and each block meets each part once: an equi-join on (scope, block, part), not a cross join; scores are matrix products."""
     visible = store if as_of is None else store.where(live(as_of))
     side = lambda df, q: df.where("embedding is not null").select(scope_key().alias("scope"), "seq", F.col("embedding").cast("array<double>").alias("embedding"), F.lit(q).alias("asks"))
     asks, held = side(queries, True), side(visible, False)
-    counts = asks.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    asks = asks.join(counts, "scope").withColumn("block", F.expr("cast(pmod(xxhash64(seq), blocks) as int)"))
-    held = held.join(counts, "scope").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    both = asks.unionByName(held).select("scope", "block", "asks", "seq", "embedding")
+    counts = asks.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).join(held.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK_HELD).cast("int").alias("parts")), "scope")
+    of = lambda n: F.expr(f"cast(pmod(xxhash64(seq), {n}) as int)")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = asks.join(counts, "scope").withColumn("block", of("blocks")).withColumn("part", every("parts"))
+    held = held.join(counts, "scope").withColumn("part", of("parts")).withColumn("block", every("blocks"))
+    both = asks.unionByName(held).select("scope", (F.col("block") * F.col("parts") + F.col("part")).alias("block"), "asks", "seq", "embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, asked = None, {}
@@ -198,10 +279,12 @@ def near_duplicates(store: DataFrame, as_of: F.Column | None = None, block: int
     alive = F.lit(True) if as_of is None else F.coalesce(live(as_of), F.lit(False))
     rows = store.select("seq", scope_key().alias("scope"), F.col("embedding").cast("array<double>").alias("embedding"), alive.cast("int").alias("alive")).withColumn("usable", F.coalesce((length > 0) & (length < float("inf")), F.lit(False)))
     nodes = stored(rows.where("usable").groupBy("scope", "embedding").agg(F.min("seq").alias("ck"), F.sum("alive").alias("n")), "vectors")
-    counts = nodes.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    asks = nodes.join(counts, "scope").withColumn("block", F.expr("cast(pmod(xxhash64(ck), blocks) as int)")).withColumn("asks", F.lit(True))
-    held = nodes.where("n > 0").join(counts, "scope").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(False))
-    both = asks.unionByName(held).select("scope", "block", "asks", "ck", "n", "embedding")
+    counts = nodes.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.ceil(F.count("*") / (4 * block)).cast("int").alias("parts"))
+    of = lambda n: F.expr(f"cast(pmod(xxhash64(ck), {n}) as int)")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = nodes.join(counts, "scope").withColumn("block", of("blocks")).withColumn("part", every("parts")).withColumn("asks", F.lit(True))
+    held = nodes.where("n > 0").join(counts, "scope").withColumn("part", of("parts")).withColumn("block", every("blocks")).withColumn("asks", F.lit(False))
+    both = asks.unionByName(held).select("scope", (F.col("block") * F.col("parts") + F.col("part")).alias("block"), "asks", "ck", "n", "embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, asked, held_ = None, {}, {}

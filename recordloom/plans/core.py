@@ -384,8 +384,8 @@ b AS (SELECT y.query_id, y.seq, y.x, y.i, max(CASE WHEN dice >= 0.4 THEN dice EL
 k AS (SELECT query_id, seq, sum(length(x) * best) / sum(length(x)) AS token FROM b GROUP BY ALL),
 l AS (SELECT a.query_id, s.seq, s.type, a.qs, a.v, s.e, a.q, coalesce(k.token, 0) AS token, CASE WHEN len(ts) = 0 OR len(qs) = 0 THEN 0 WHEN ts = qs THEN 1.0 ELSE 2.0 * len(list_intersect(tg, qg)) / (len(tg) + len(qg)) END AS whole FROM a JOIN s USING (scope_key) LEFT JOIN k ON k.query_id = a.query_id AND k.seq = s.seq),
 c AS (SELECT query_id, seq, v, q, CASE WHEN len(qs) = 0 THEN 0 ELSE {lexical} END AS lexical, {cosine} AS semantic FROM l),
-r AS (SELECT query_id, seq, CASE WHEN q = '' THEN CAST(seq AS DOUBLE) ELSE round({score}, 6) END AS score, CASE WHEN q = '' THEN 0 ELSE lexical END AS lexical, CASE WHEN q = '' THEN 0 ELSE semantic END AS semantic FROM c WHERE q = '' OR lexical >= 0.1 OR semantic >= 0.35)
-SELECT query_id, rank, seq, score, round(lexical, 6) AS lexical, round(semantic, 6) AS semantic FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank FROM r) WHERE rank <= 5"""
+r AS (SELECT query_id, seq, CASE WHEN q = '' THEN CAST(seq AS DOUBLE) ELSE round({score} + 1e-9, 6) END AS score, CASE WHEN q = '' THEN 0 ELSE lexical END AS lexical, CASE WHEN q = '' THEN 0 ELSE semantic END AS semantic FROM c WHERE q = '' OR lexical + 1e-9 >= 0.1 OR semantic + 1e-9 >= 0.35)
+SELECT query_id, rank, seq, score, round(lexical + 1e-9, 6) AS lexical, round(semantic + 1e-9, 6) AS semantic FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank FROM r) WHERE rank <= 5"""
 
 
 @query(_sql_recall(False))

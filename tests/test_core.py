@@ -162,7 +162,7 @@ def test_age(spark):
     assert {r["seq"] for r in age.short_lives(age.with_expiry(df)).collect()} == {2, 4, 5}
 
 
-def test_recall(spark):
+def test_recall(spark, monkeypatch):
     df = records(spark, [record(1, "jam prefers TypeScript"), record(2, "lives in Berlin", subject="home-city"), record(3, "jam's projects are many", type="project"), record(4, "lives in Berlin", scope="x"), record(5, "old", status="superseded"), record(6, None)])
     ask = lambda *q: spark.createDataFrame([(i, t, None) for i, t in enumerate(q)], "query_id long, query string, scope string")
     now = F.lit(T0)
@@ -170,6 +170,10 @@ def test_recall(spark):
     assert first == {0: 2, 1: 1, 2: 3}
     assert [r["seq"] for r in rank.recall(df, ask(" "), 2, now).orderBy("rank").collect()] == [6, 3]
     assert rank.recall(df.limit(0), ask("berlin"), 5, now).count() == 0
+    many = ask("berln", "typescript preference", "my project", "zebra", " ", "lives")
+    whole = sorted(map(tuple, rank.recall(df, many, 2, now).collect()))
+    monkeypatch.setattr(rank, "BLOCK_QUERIES", 2)  # queries asked in blocks give the same
+    assert sorted(map(tuple, rank.recall(df, many, 2, now).collect())) == whole
 
 
 def test_near_duplicates_of_all_records(spark):
@@ -197,10 +201,12 @@ def test_near_duplicates_of_all_records(spark):
     assert rank.near_duplicates(records(spark, rows).limit(0)).count() == 0
 
 
-def test_similar(spark):
+def test_similar(spark, monkeypatch):
     df = records(spark, [record(1, embedding=[1.0, 0.0]), record(2, embedding=[2.0, 0.1]), record(3, embedding=[0.0, 1.0]), record(4, embedding=[1.0, 0.0], scope="x"), record(5, embedding=[0.0, 0.0]), record(6, embedding=[1.0, 0.0, 0.0]), record(7)])
     assert sorted((r["seq"], r["other_seq"]) for r in rank.similar(df, df, 0.6).collect()) == [(1, 2), (2, 1)]
     assert sorted((r["seq"], r["other_seq"]) for r in rank.similar(df, df, 0.6, block=1).collect()) == [(1, 2), (2, 1)]
+    monkeypatch.setattr(rank, "BLOCK_HELD", 1)
+    assert sorted((r["seq"], r["other_seq"]) for r in rank.similar(df, df, 0.6, block=2).collect()) == [(1, 2), (2, 1)]
 
 
 def test_forget(spark):
