@@ -15,12 +15,15 @@ null; the results of repeated rows are equal.
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 from functools import lru_cache
-from zoneinfo import ZoneInfo
+from zoneinfo import TZPATH, ZoneInfo
 
 import numpy as np
 import pyarrow as pa
@@ -179,6 +182,22 @@ def days_from_civil(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> np.ndarray:
 FIRST_YEAR, LAST_YEAR = 1900, 2100
 
 
+@lru_cache(maxsize=1)
+def zone_version() -> str:
+    """The version of the installed tz database, as its files or package name it; else a digest of the offsets of some zones."""
+    for folder in TZPATH:
+        for name, found in (("+VERSION", r"\S+"), ("tzdata.zi", r"(?<=# version )\S+")):
+            with contextlib.suppress(OSError), open(os.path.join(folder, name), encoding="utf-8") as f:
+                if m := re.search(found, f.readline()):
+                    return m.group()
+    with contextlib.suppress(ImportError):
+        import tzdata
+
+        return tzdata.IANA_VERSION
+    some = [transitions(z) for z in ("Europe/Berlin", "America/New_York", "America/Sao_Paulo", "Asia/Tehran", "Africa/Cairo", "Pacific/Apia")]
+    return hashlib.sha256(b"".join(x.tobytes() for t in some if t for x in t)).hexdigest()[:12]
+
+
 @lru_cache(maxsize=700)
 def transitions(zone: str) -> tuple[np.ndarray, np.ndarray] | None:
     """(local seconds from which each offset holds, offsets in seconds) of a zone of the installed tz database, or None."""
@@ -311,16 +330,21 @@ def to_utc_ms(texts: list[str | None], locales: list[str | None], hints: list[st
     return out, masks
 
 
-def normalised(df: DataFrame, key: str = "entry_id", column: str = "created_at") -> DataFrame:
-    """(key, utc_ms long, utc timestamp, shape string) of df(key, column, locale, tz_hint): one row per row, null where there is no instant."""
+def normalised(df: DataFrame, key: str = "entry_id", column: str = "created_at", zones: str | None = None) -> DataFrame:
+    """(key, utc_ms long, utc timestamp, shape string, zones string) of df(key, column, locale, tz_hint): one row per row, null where there is no instant.
+
+    zones is the version of the tz database (default: the driver's); executors that have another one are refused."""
+    version = zones or zone_version()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if zone_version() != version:
+            raise RuntimeError(f"tz database {zone_version()} on an executor, wanted is {version}")
         for b in batches:
             ms, masks = to_utc_ms(*(b.column(i).to_pylist() for i in (1, 2, 3)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ms, pa.int64()), pa.array(masks, pa.string())], names=[key, "utc_ms", "shape"])
 
     out = df.select(F.col(key).cast("long"), F.col(column).alias("_t"), "locale", "tz_hint").mapInArrow(run, f"`{key}` long, utc_ms long, shape string")
-    return out.withColumn("utc", F.timestamp_millis("utc_ms"))
+    return out.withColumns({"utc": F.timestamp_millis("utc_ms"), "zones": F.lit(version)})
 
 
 def found(raw_entries: DataFrame) -> DataFrame:

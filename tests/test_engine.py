@@ -72,11 +72,15 @@ def test_embedder_that_fails(spark):
     assert [r["embedding"] is None for r in with_embedding(df, hashing_embedder()).collect()] == [False, True, True]
 
 
-def test_command_line(spark, tmp_path):
+def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "memories.md").write_text("- 2026-03-14 - Prefers green tea\n- Lives in Rome\n")
     assert main(["import", str(tmp_path / "s"), str(tmp_path / "memories.md"), "--vendor", "list"]) == 0
+    assert "imported 2 of 2: 2 created" in (out := capsys.readouterr().out) and "read: " in out
     assert main(["export", str(tmp_path / "s"), str(tmp_path / "out")]) == 0
+    assert "exported 2 active and 0 superseded" in capsys.readouterr().out
     assert main(["expired", str(tmp_path / "s")]) == 0
+    assert main(["expired", str(tmp_path / "s"), "--json"]) == 0
+    assert '"total": 0' in capsys.readouterr().out
     assert spark.read.text(str(tmp_path / "out/memories")).count() == 2
 
 

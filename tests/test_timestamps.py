@@ -87,3 +87,10 @@ def test_table(spark):
 )
 def test_padded_and_far_dates(text, zone, want):
     assert ms(text, None, zone) == want
+
+
+def test_versions_of_the_zones_must_agree(spark):
+    df = spark.createDataFrame([(1, "2026-01-02 10:00", None, "Europe/Berlin")], "entry_id long, created_at string, locale string, tz_hint string")
+    assert [r["zones"] for r in X.normalised(df).collect()] == [X.zone_version()] and X.zone_version()
+    with pytest.raises(Exception, match="tz database"):
+        X.normalised(df, zones="1970a").collect()
