@@ -64,17 +64,17 @@ def words(c: Column) -> Column:
 
 
 def stem(c: Column) -> Column:
-    """A few English endings off, where enough is left."""
-    c = F.regexp_replace(c, "^(.{3,}?)(?:ing|edly|ed|ly)$", "$1")
-    c = F.regexp_replace(c, "^(.{2,})ies$", "$1y")
-    return F.regexp_replace(c, "^(.{3,}?)(?:es|s)$", "$1")
+    """A few English endings off, where enough is left. The patterns are tried only on words that end so."""
+    one = lambda w: F.when(w.endswith("ing") | w.endswith("ed") | w.endswith("ly"), F.regexp_replace(w, "^(.{3,}?)(?:ing|edly|ed|ly)$", "$1")).otherwise(w)
+    two = lambda w: F.when(w.endswith("ies"), F.regexp_replace(w, "^(.{2,})ies$", "$1y")).otherwise(w)
+    three = lambda w: F.when(w.endswith("s"), F.regexp_replace(w, "^(.{3,}?)(?:es|s)$", "$1")).otherwise(w)
+    return let(let(let(c, one), two), three)
 
 
 def content_stems(folded: Column) -> Column:
     """Stems of the words that aren't stopwords, or of all if there are no others."""
-    every = words(folded)
-    kept = F.filter(every, lambda w: ~w.isin(*STOPWORDS))
-    return F.transform(F.when(F.size(kept) > 0, kept).otherwise(every), stem)
+    kept = lambda every: let(F.filter(every, lambda w: ~w.isin(*STOPWORDS)), lambda some: F.when(F.size(some) > 0, some).otherwise(every))
+    return F.transform(let(words(folded), kept), stem)
 
 
 def trigrams(c: Column) -> Column:
@@ -84,9 +84,9 @@ def trigrams(c: Column) -> Column:
 
 def trigram_similarity(a: Column, b: Column) -> Column:
     """Dice coefficient of the trigrams; 1 for equal texts, 0 if one is empty."""
-    ga, gb = trigrams(a), trigrams(b)
-    shared = F.size(F.array_intersect(ga, gb))
-    return F.when(a == b, 1.0).when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(2.0 * shared / (F.size(ga) + F.size(gb)))
+    dice = lambda ga, gb: 2.0 * F.size(F.array_intersect(ga, gb)) / (F.size(ga) + F.size(gb))
+    grams = lambda x, y: let(trigrams(x), lambda ga: let(trigrams(y), lambda gb: dice(ga, gb)))
+    return let(a, lambda x: let(b, lambda y: F.when(x == y, 1.0).when((F.length(x) == 0) | (F.length(y) == 0), 0.0).otherwise(grams(x, y))))
 
 
 def token_similarity(a: Column, b: Column) -> Column:

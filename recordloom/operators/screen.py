@@ -8,6 +8,8 @@ lower and upper case letters and digits near a credential word.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,9 @@ SECRET_WORDS = "password|passwd|passphrase|passcode|api[ _-]?key|secret[ _-]?key
 SECRET_VALUE = "[A-Za-z0-9_+/.!@#$%^&*-]*[0-9][A-Za-z0-9_+/.!@#$%^&*-]*"
 ASSIGNED = f"(?:{SECRET_WORDS})(?: (?:for|to|of|on) [A-Za-z0-9._-]{{1,30}})?\\s*(?:[:=]|is)\\s*[\"'`]?(?:{SECRET_VALUE})"
 ENTROPY_FLOOR, TOKEN_LEAST = 3.5, 20
+# What a text must contain before these patterns are tried; each alternative of a pattern has one of them.
+SHAPE_PARTS = ["sk-", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_", "xox", "eyJ", "-----BEGIN ", "earer "]
+WORD_PARTS = ["pass", "key", "token", "secret", "credential"]
 
 RULES = ["too_short", "too_long", "credential", "pleasantry", "no_statement", "question", "passing"]
 REDACTED = ["too_long", "credential"]
@@ -49,12 +54,16 @@ def entropy(token: Column) -> Column:
     return F.aggregate(chars, F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c)))
 
 
+def has_any(c: Column, parts: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, (c.contains(p) for p in parts))
+
+
 def has_secret(text: Column, low: Column) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(f"[A-Za-z0-9_+/=-]{{{TOKEN_LEAST},}}"), F.lit(0))
     mixed = lambda t: t.rlike("[a-z]") & t.rlike("[A-Z]") & t.rlike("[0-9]") & (entropy(t) >= ENTROPY_FLOOR)
     # the words of a credential come first: most texts have none, and then neither a value nor a context
-    worded = low.rlike(SECRET_WORDS) & (low.rlike(f"(?<![a-z0-9_]){ASSIGNED}") | (low.rlike(bounded(SECRET_WORDS)) & F.exists(tokens, mixed)))
-    return text.rlike(SECRET_SHAPES) | worded
+    worded = has_any(low, WORD_PARTS) & (low.rlike(f"(?<![a-z0-9_]){ASSIGNED}") | (low.rlike(bounded(SECRET_WORDS)) & F.exists(tokens, mixed)))
+    return has_any(text, SHAPE_PARTS) & text.rlike(SECRET_SHAPES) | worded
 
 
 def no_statement(tokens: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import text as X
 from recordloom.operators import age, derive, forget, integrate, rank, screen, timestamps
 from recordloom.operators import normalize as N
+from recordloom.session import dealt
 from recordloom.sources import foreign, gatelog, store
 from recordloom.streaming import gate
 
@@ -42,6 +43,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_dealt(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """For queries that work on texts."""
+    return dealt(read(spark, sf_dir, table))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items of all batches, one row each."""
     return read(spark, sf_dir, "export_envelopes").select("batch_no", F.posexplode("memories").alias("pos", "m")).select("batch_no", F.col("pos").cast("long").alias("pos"), "m.*")
@@ -290,18 +296,18 @@ WHEN type IS NULL AND (regexp_matches(lower(t), {q(f"{chr(92)}b(?:{screen.PASSIN
 
 @query(f"SELECT seq, rule, coalesce(rule IN ({q_list(screen.REDACTED)}), false) AS redact, length(t) AS n FROM (SELECT *, {SQL_RULE} AS rule FROM (SELECT *, {_T} AS t FROM memories))")
 def prefilter_verdicts(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "memories").select("seq", screen.verdict().alias("v")).select("seq", "v.rule", "v.redact", F.col("v.n").cast("long").alias("n"))
+    return read_dealt(s, d, "memories").select("seq", screen.verdict().alias("v")).select("seq", "v.rule", "v.redact", F.col("v.n").cast("long").alias("n"))
 
 
 @query(f"SELECT decision, rule, count(*) AS n FROM (SELECT decision, {SQL_RULE} AS rule FROM (SELECT *, {_T} AS t FROM gate_log)) GROUP BY ALL")
 def reject_reason_hist(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "gate_log").select("decision", screen.verdict()["rule"].alias("rule")).groupBy("decision", "rule").agg(F.count("*").alias("n"))
+    return read_dealt(s, d, "gate_log").select("decision", screen.verdict()["rule"].alias("rule")).groupBy("decision", "rule").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT line_no, CASE WHEN rule IN ({q_list(screen.REDACTED)}) THEN '[redacted: ' || length(text) || ' characters]' WHEN length(text) > 100 THEN left(text, 100) || '…' ELSE text END AS logged FROM (SELECT *, {SQL_RULE} AS rule FROM (SELECT *, {_T} AS t FROM gate_log))")
 def logged_texts(s: SparkSession, d: str) -> DataFrame:
-    v = screen.verdict()["redact"]
-    return read(s, d, "gate_log").select("line_no", F.when(v, screen.logged_text(F.col("text"), v)).otherwise(X.cut(F.col("text"), 100)).alias("logged"))
+    logged = lambda v: F.when(v, screen.logged_text(F.col("text"), v)).otherwise(X.cut(F.col("text"), 100))
+    return read_dealt(s, d, "gate_log").select("line_no", X.let(screen.verdict()["redact"], logged).alias("logged"))
 
 
 @query(f"SELECT subject, {sql_subject()} AS subject_key, count(*) AS n FROM memories GROUP BY 1, 2")
@@ -316,17 +322,17 @@ _PHRASE = f"list_filter(string_split_regex(regexp_extract(low, {q(derive.OWNED)}
 @query(f"""SELECT seq, CASE WHEN length(low) > {derive.MOST_CHARS} THEN NULL WHEN {' + '.join(f'CAST({h} AS INT)' for h in _HITS)} = 1 THEN CASE {' '.join(f"WHEN {h} THEN {q(k)}" for k, h in zip(derive.SUBJECTS, _HITS, strict=True))} END
 WHEN NOT ({' OR '.join(_HITS)}) AND (len({_PHRASE}) >= 2 OR (len({_PHRASE}) = 1 AND length({_PHRASE}[1]) >= 3)) THEN array_to_string({_PHRASE}, '-') END AS derived FROM (SELECT seq, lower(text) AS low FROM memories)""")
 def derive_subject(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "memories").select("seq", derive.subject_of(F.col("text")).alias("derived"))
+    return read_dealt(s, d, "memories").select("seq", derive.subject_of(F.col("text")).alias("derived"))
 
 
 @query(f"SELECT seq, CASE WHEN regexp_matches(lower(text), {q(f'{chr(92)}b(?:{derive.IDENTITY}){chr(92)}b')}) THEN 'identity' WHEN regexp_matches(lower(text), {q(f'{chr(92)}b(?:{derive.PREFERENCE}){chr(92)}b')}) THEN 'preference' END AS inferred FROM memories")
 def infer_type(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "memories").select("seq", derive.type_of(F.col("text")).alias("inferred"))
+    return read_dealt(s, d, "memories").select("seq", derive.type_of(F.col("text")).alias("inferred"))
 
 
 @query("SELECT seq, coalesce(len(regexp_extract_all(text, '\\p{L}')) = 0 OR len(regexp_extract_all(text, '\\p{Latin}')) >= 0.8 * len(regexp_extract_all(text, '\\p{L}')), true) AS suits FROM memories")
 def model_language(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "memories").select("seq", derive.suits_model(F.col("text")).alias("suits"))
+    return read_dealt(s, d, "memories").select("seq", derive.suits_model(F.col("text")).alias("suits"))
 
 
 @query(f"SELECT count(*) FILTER (good) AS usable, count(*) FILTER (NOT good) AS quarantined FROM (SELECT (type IS NULL OR type IN ({q_list(N.TYPES)})) AND (source IS NULL OR source IN ({q_list(N.SOURCES)})) AS good FROM memories)")
@@ -342,12 +348,12 @@ def enum_quarantine(s: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT seq, len({sql_words('lower(text)')}) AS n_words, len(list_distinct({sql_words('lower(text)')})) AS n_distinct FROM memories WHERE text IS NOT NULL")
 def token_stats(s: SparkSession, d: str) -> DataFrame:
     w = X.words(F.lower("text"))
-    return read(s, d, "memories").where("text is not null").select("seq", F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
+    return read_dealt(s, d, "memories").where("text is not null").select("seq", F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
 
 
 @query(f"SELECT stem, count(*) AS n, count(DISTINCT seq) AS records FROM (SELECT seq, unnest({sql_stems('folded')}) AS stem FROM (SELECT seq, {sql_fold('text')} AS folded FROM memories WHERE text IS NOT NULL)) GROUP BY 1")
 def stem_terms(s: SparkSession, d: str) -> DataFrame:
-    folded = read(s, d, "memories").where("text is not null").select("seq", X.fold(F.col("text")).alias("folded"))
+    folded = read_dealt(s, d, "memories").where("text is not null").select("seq", X.fold(F.col("text")).alias("folded"))
     each = folded.select("seq", F.explode(X.content_stems(F.col("folded"))).alias("stem"))
     per = each.groupBy("stem", "seq").agg(F.count("*").alias("c"))
     return per.groupBy("stem").agg(F.sum("c").alias("n"), F.count("*").alias("records"))
@@ -359,13 +365,13 @@ def trigram_similarity(s: SparkSession, d: str) -> DataFrame:
     """How far the stems of each record's subject are those of its text."""
     stems = lambda c: F.array_join(X.content_stems(X.fold(c)), " ")
     subject = F.regexp_replace(F.coalesce("subject", F.lit("")), "[-_.]+", " ")
-    both = read(s, d, "memories").select("seq", stems(F.coalesce("text", F.lit(""))).alias("a"), stems(subject).alias("b"))
+    both = read_dealt(s, d, "memories").select("seq", stems(F.coalesce("text", F.lit(""))).alias("a"), stems(subject).alias("b"))
     return both.select("seq", F.round(X.trigram_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
 def _queries(s: SparkSession, d: str) -> DataFrame:
     """Every 50th record asks for its subject in its scope, with its vector."""
-    m = read(s, d, "memories").where("seq % 50 = 0")
+    m = read_dealt(s, d, "memories").where("seq % 50 = 0")
     return m.select(F.col("seq").alias("query_id"), F.regexp_replace(F.coalesce("subject", F.lit("")), "[-_.]+", " ").alias("query"), "scope", F.col("embedding").alias("vector"))
 
 
@@ -390,13 +396,13 @@ SELECT query_id, rank, seq, score, round(lexical + 1e-9, 6) AS lexical, round(se
 
 @query(_sql_recall(False))
 def lexical_recall_topk(s: SparkSession, d: str) -> DataFrame:
-    out = rank.recall(read(s, d, "memories"), _queries(s, d).drop("vector"), 5, as_of())
+    out = rank.recall(read_dealt(s, d, "memories"), _queries(s, d).drop("vector"), 5, as_of())
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(_sql_recall(True))
 def blended_recall(s: SparkSession, d: str) -> DataFrame:
-    return rank.recall(read(s, d, "memories"), _queries(s, d), 5, as_of()).withColumn("rank", F.col("rank").cast("long"))
+    return rank.recall(read_dealt(s, d, "memories"), _queries(s, d), 5, as_of()).withColumn("rank", F.col("rank").cast("long"))
 
 
 _SIMILAR = f"""WITH v AS (SELECT seq, {sql_scope()} AS scope_key, embedding AS e, {SQL_LIVE} AS live FROM memories WHERE len(list_filter(embedding, lambda x: x IS NULL)) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
@@ -521,7 +527,7 @@ e AS (SELECT doc_id, line, CASE WHEN lead_ms IS NOT NULL THEN lead END AS lead,
 SELECT doc_id, CAST(line AS BIGINT) AS line, entry, coalesce(lead, CASE WHEN trail_ms IS NOT NULL THEN trail END) AS dated, coalesce(lead_ms, trail_ms) AS ms FROM e WHERE length(entry) >= 4""")
 def vendor_text_parse(s: SparkSession, d: str) -> DataFrame:
     """The statements of lists: a leading date goes; a trailing one is looked for whenever the leading one is no real date."""
-    return foreign.text_entries(read(s, d, "documents")).withColumn("line", F.col("line").cast("long"))
+    return foreign.text_entries(read_dealt(s, d, "documents")).withColumn("line", F.col("line").cast("long"))
 
 
 @query(f"SELECT CASE WHEN regexp_matches(lower(file_name), {q(foreign.HINT)}) THEN 'memory' ELSE 'other' END AS kind, count(*) AS n FROM raw_entries GROUP BY 1")
@@ -550,9 +556,9 @@ def stream_windows(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p5_found(s: SparkSession, d: str) -> DataFrame:
-    return timestamps.found(read(s, d, "raw_entries"))
+    return timestamps.found(read_dealt(s, d, "raw_entries"))
 
 
 @query()
 def p5_normalised(s: SparkSession, d: str) -> DataFrame:
-    return timestamps.normalised(read(s, d, "raw_entries"))
+    return timestamps.normalised(read_dealt(s, d, "raw_entries"))

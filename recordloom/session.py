@@ -64,6 +64,12 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table that lies in fewer parts than there are cores, dealt to all of them, for work that costs more than a shuffle of the columns it needs; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors, once per application; for clusters that don't have it on their path."""
     sc = spark.sparkContext
