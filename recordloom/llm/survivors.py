@@ -91,11 +91,12 @@ def provenance(df: DataFrame, least: int = 8) -> DataFrame:
     The voting of elect() with strict weights: a row's vote is its trust, then its recency; a source is voted for by its degree of trust."""
     rows = grouped(df, ["source", "subject", "updated_at"], least)
     trusted = F.struct(trust(F.col("source")).alias("trust"), F.col("updated_at").alias("at"))
+    none = F.lit(None)  # only the rows are wanted, not their values
     late = F.struct(F.lit(0).alias("trust"), F.col("updated_at").alias("at"))
     ballots = {
-        "source": (trust(F.col("source")), F.col("source")),
-        "updated": (F.coalesce(F.unix_micros("updated_at").cast("string"), F.lit("")), F.col("updated_at")),
-        "subject": (F.when(has_subject(F.col("subject")), shown(F.col("subject"))), F.col("subject")),
+        "source": (trust(F.col("source")), none),
+        "updated": (F.coalesce(F.unix_micros("updated_at").cast("string"), F.lit("")), none),
+        "subject": (F.when(has_subject(F.col("subject")), shown(F.col("subject"))), none),
     }
     wide = elect(rows, ballots, {"source": trusted, "updated": late, "subject": trusted}, strict=True)
     return wide.select(F.col("first").alias("group_seq"), *(F.coalesce(F.col(f"{f}.seq"), F.lit(-1)).cast("long").alias(f"{f}_seq") for f in ballots))
