@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.llm import bktree, history, leaks, neighbours, pii, split, survivors, tokens
+from recordloom.session import dealt
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
