@@ -219,9 +219,11 @@ class ByteBPE:
         """Of each text: where its words end, in characters; how many ids there are up to there; each with a leading 0."""
         parts = [self.split(SURROGATE.sub("\ufffd", t)) for t in texts]
         entry, words = self._entries(parts)
+        # looked up before the first is given out: who asks for counts between two texts may have the cache reset, and entries are numbered anew then
+        length = self.length[entry]
         ends = np.cumsum(words)
         for p, lo, hi in zip(parts, ends - words, ends, strict=True):
-            yield np.concatenate([[0], np.cumsum(np.fromiter(map(len, p), np.int64, len(p)))]), np.concatenate([[0], np.cumsum(self.length[entry[lo:hi]])])
+            yield np.concatenate([[0], np.cumsum(np.fromiter(map(len, p), np.int64, len(p)))]), np.concatenate([[0], np.cumsum(length[lo:hi])])
 
 
 def encoded(df: DataFrame, key: str = "doc_id", tokenizer: str | None = None) -> DataFrame:

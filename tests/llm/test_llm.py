@@ -558,6 +558,22 @@ def test_split(spark):
     assert all(p["piece"].startswith("p") and p["piece"].rstrip().endswith("w7") for p in split.split(one, limit=120, overlap=0).collect())
 
 
+@needs_tokenizer
+def test_split_where_the_cache_of_words_is_reset(monkeypatch):
+    """A worker's cache that is full is reset between two texts of one block: their counts and pieces stay those of an empty cache."""
+    path, rng = tokens.tokenizer_path(tokens.BYTE_BPE), random.Random(14)
+    word = lambda: "".join(rng.choice("abcdeghiklmnorstuvz") for _ in range(rng.randint(4, 9)))
+    rows = ["\n\n".join(" ".join(word() for _ in range(rng.randint(20, 90))) for _ in range(12)) for _ in range(20)]
+    want = [split.Counted(tokens.ByteBPE.load(path), t, atom=180).pieces(200, 40) for t in rows]
+    monkeypatch.setattr(tokens, "WORDS_KEPT", 500)
+    bpe, resets = tokens.ByteBPE(path), []
+    reset = bpe._reset
+    monkeypatch.setattr(bpe, "_reset", lambda: (resets.append(1), reset()))
+    got = [(int(c[1][-1]), split.Counted(bpe, t, c, 180).pieces(200, 40)) for t, c in zip(rows, bpe.word_counts(rows), strict=True)]
+    assert resets and [p for _, p in got] == want
+    assert [n for n, _ in got] == bpe.count(rows).tolist()
+
+
 # ---- p8 ---------------------------------------------------------------------------------------
 
 
